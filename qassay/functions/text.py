@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from qassay.constants import INVALID_ANSWERS, WHITESPACE
 
-WS_CLASS = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+WS_CLASS = "(?U)[\\s\\x1c-\\x1f]"
+# White space that is not already one plain space.
+WS_UNTIDY = "(?U)[\\s\\x1c-\\x1f&&[^ ]][\\s\\x1c-\\x1f]*| [\\s\\x1c-\\x1f]+"
 WS_INLINE = "[\\t\\x0b-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 
@@ -32,7 +34,7 @@ def first_filled(*texts: Column) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    return F.regexp_replace(F.lower(strip(text)), f"{WS_CLASS}+", " ")
+    return F.regexp_replace(F.lower(strip(text)), WS_UNTIDY, " ")
 
 
 def is_invalid_answer(text: Column) -> Column:
