@@ -85,16 +85,22 @@ def coerce_score(value: Column) -> Column:
 
     Numbers are truncated, text counts only when it is an integer, booleans never do.
     """
-    kind = F.schema_of_variant(value)
-    as_text = strip(F.try_variant_get(value, "$", "string"))
-    number = (
-        F.when(value.isNull() | kind.isin("BOOLEAN", "VOID"), F.lit(None))
-        .when(kind == "STRING", F.when(as_text.rlike("^[+-]?[0-9]+$"), as_text.try_cast("double")))
-        .otherwise(F.try_variant_get(value, "$", "double"))
-        .cast("double")
-    )
-    whole = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("int")
-    return F.when(whole.between(1, 5), whole)
+
+    def number(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        text = strip(F.try_variant_get(v, "$", "string"))
+        return (
+            F.when(v.isNull() | kind.isin("BOOLEAN", "VOID"), F.lit(None))
+            .when(kind == "STRING", F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("double")))
+            .otherwise(F.try_variant_get(v, "$", "double"))
+            .cast("double")
+        )
+
+    def score(x: Column) -> Column:
+        whole = F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x)).cast("int")
+        return F.when(whole.between(1, 5), whole)
+
+    return bind(bind(value, number), score)
 
 
 def rank_to_points(rank: Column, n: Column) -> Column:

@@ -75,6 +75,5 @@ def clean_markdown(text: Column) -> Column:
 
 def strip_code_fence(text: Column) -> Column:
     """Inside of a fenced block when the whole text is one, else the stripped text."""
-    s = strip(text)
     fence = "(?is)^```(?:json)?\\s*(.*?)```\\s*$"
-    return F.when(s.rlike(fence), strip(F.regexp_extract(s, fence, 1))).otherwise(s)
+    return bind(strip(text), lambda s: F.when(s.rlike(fence), strip(F.regexp_extract(s, fence, 1))).otherwise(s))

@@ -12,40 +12,33 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qassay.operators.ranking import settle
+
 DRAW_BLOCK = 1 << 14
 
 
 def _bins(values: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Per group: n, sum, and the sorted histogram as structs {value, count}."""
+    """Per group: n, sum, and the sorted histogram as structs {v, c, hi} with running counts hi."""
+    running = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         values.filter(F.col(value).isNotNull())
         .groupBy(*group, value)
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.count(F.lit(1)).alias("c"))
+        .withColumn("hi", F.sum("c").over(running))
         .groupBy(*group)
         .agg(
-            F.sum("_c").alias("n"),
-            F.sum(F.col(value) * F.col("_c")).alias("_sum"),
-            F.array_sort(
-                F.collect_list(F.struct(F.col(value).cast("double").alias("v"), F.col("_c").alias("c")))
-            ).alias("_bins"),
+            F.sum("c").alias("n"),
+            F.sum(F.col(value) * F.col("c")).alias("_sum"),
+            F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), "c", "hi"))).alias("_bins"),
         )
     )
 
 
 def _by_draws(bins: DataFrame, group: list[str], n_boot: int, seed: int) -> DataFrame:
-    # Cumulative histogram; the first bin starts the fold.
-    first = F.array(F.struct(F.col("_bins")[0]["v"].alias("v"), F.col("_bins")[0]["c"].alias("hi")))
-    upto = F.aggregate(
-        F.slice("_bins", F.lit(2), F.size("_bins")),
-        first,
-        lambda acc, b: F.array_append(
-            acc, F.struct(b["v"].alias("v"), (F.element_at(acc, -1)["hi"] + b["c"]).alias("hi"))
-        ),
-    )
     block = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / DRAW_BLOCK))
     draws = F.sequence(
         F.col("_blk") * DRAW_BLOCK, F.least((F.col("_blk") + 1) * DRAW_BLOCK, F.col("n")) - 1
@@ -55,12 +48,12 @@ def _by_draws(bins: DataFrame, group: list[str], n_boot: int, seed: int) -> Data
         F.col("n"),
     )
     return (
-        bins.select(*group, "n", upto.alias("_upto"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("_boot"))
+        bins.select(*group, "n", "_bins", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("_boot"))
         .repartition(*group, "_boot")
         .withColumn("_blk", F.explode(block))
         .withColumn("_j", F.explode(draws))
-        .select(*group, "_boot", "_upto", draw.alias("_u"))
-        .select(*group, "_boot", F.get(F.filter("_upto", lambda b: b["hi"] > F.col("_u")), F.lit(0))["v"].alias("_v"))
+        .select(*group, "_boot", "_bins", draw.alias("_u"))
+        .select(*group, "_boot", F.get(F.filter("_bins", lambda b: b["hi"] > F.col("_u")), F.lit(0))["v"].alias("_v"))
         .groupBy(*group, "_boot")
         .agg(F.avg("_v").alias("_mean"))
     )
@@ -98,10 +91,13 @@ def bootstrap_mean(
     """Point estimate and percentile interval of the mean per group."""
     keys = list(group) or ["_all"]
     rows = values if group else values.withColumn("_all", F.lit(0))
-    bins = _bins(rows, keys, value)
-    boots = _by_draws(bins.filter(F.col("n") <= draw_limit), keys, n_boot, seed).unionByName(
-        _by_counts(bins.filter(F.col("n") > draw_limit), keys, n_boot, seed)
-    )
+    # One row per group; settled because it is read several times and decides which way is needed.
+    bins = settle(_bins(rows, keys, value))
+    small, large = bins.filter(F.col("n") <= draw_limit), bins.filter(F.col("n") > draw_limit)
+    if large.limit(1).count() == 0:
+        boots = _by_draws(small, keys, n_boot, seed)
+    else:
+        boots = _by_draws(small, keys, n_boot, seed).unionByName(_by_counts(large, keys, n_boot, seed))
     alpha = (1.0 - ci_level) / 2.0
     ends = boots.groupBy(*keys).agg(F.percentile("_mean", F.array(F.lit(alpha), F.lit(1.0 - alpha))).alias("_q"))
     low, high = F.col("_q")[0], F.col("_q")[1]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus", "splits", "evaluation", "ranking", "cases")
+MODULES = ("corpus", "splits", "evaluation", "ranking", "cases", "interchange")
 
 
 def load_all() -> None:

@@ -46,10 +46,13 @@ labelled AS (SELECT *, chr(CAST(64 + row_number() OVER (PARTITION BY eval_id ORD
 @query("listwise_labels", f"WITH {_LABELS_SQL} SELECT eval_id, label, condition, pred FROM labelled")
 def listwise_labels(t: Tables):
     labelled = listwise.listwise_labels(tasks(t))
-    entries = F.explode(F.arrays_zip("labels", F.map_values("label_to_condition").alias("conds"), "label_preds")).alias("_e")
-    return labelled.select("eval_id", entries).select(
-        "eval_id", F.col("_e.labels").alias("label"), F.col("_e")["1"].alias("condition"), F.col("_e.label_preds").alias("pred")
+    entries = F.transform(
+        "labels",
+        lambda lab, i: F.struct(
+            lab.alias("label"), F.try_element_at("label_to_condition", lab).alias("condition"), F.get("label_preds", i).alias("pred")
+        ),
     )
+    return labelled.select("eval_id", F.explode(entries).alias("_e")).select("eval_id", "_e.*")
 
 
 @query(

@@ -100,12 +100,15 @@ def scan_judge_summaries(
 
     The schema must hold condition, model_id_from_rows and input_jsonl.
     """
-    child = F.regexp_extract(_path(), "/([^/]+)/" + file_name.replace(".", "\\.") + "$", 1)
+    name = file_name.replace(".", "\\.")
+    # A summary written by Spark is a folder of that name with part files in it.
+    path = F.regexp_replace(_path(), f"/{name}/[^/]+$", f"/{file_name}")
+    child = F.regexp_extract(path, f"/([^/]+)/{name}$", 1)
     return (
         spark.read.schema(schema)
         .option("multiLine", "true")
         .json(f"{folder}/*/{file_name}")
-        .withColumn("_path", _path())
+        .withColumn("_path", path)
         .withColumn("_child", child)
         .filter(~F.col("_child").startswith(".") & ~F.contains(F.col("_child"), F.lit(".bad_")))
         .withColumn("condition", summary_condition(F.col("_path")))
