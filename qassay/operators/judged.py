@@ -63,10 +63,13 @@ def tier_profile(rows: DataFrame) -> DataFrame:
         .withColumn("refusal_gold_pct", F.bround(100.0 * F.col("_ref") / F.col("n"), 1))
         .drop("_ref")
     )
-    for c in lengths:
-        median = value_at_rank(narrow, ["tier"], c, lambda n: F.floor(n / 2) + 1)
-        out = out.join(median.withColumnRenamed(c, f"median_{c}"), "tier")
-    return out
+    # One histogram of all three lengths for the medians.
+    long = narrow.unpivot(["tier"], list(lengths), "length", "words")
+    medians = value_at_rank(long, ["tier", "length"], "words", lambda n: F.floor(n / 2) + 1)
+    wide = medians.groupBy("tier").agg(
+        *[F.max(F.when(F.col("length") == c, F.col("words"))).alias(f"median_{c}") for c in lengths]
+    )
+    return out.join(wide, "tier")
 
 
 def label_shares(rows: DataFrame, label: Column, n: int) -> DataFrame:

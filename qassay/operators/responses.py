@@ -9,26 +9,24 @@ from qassay.constants import CATEGORY_VALUES, EVAL_DIMENSIONS, JUDGE_DIMENSIONS
 from qassay.functions.judging import coerce_score, pick_category, quality_tier, rank_to_points
 from qassay.functions.text import bind, head, strip, strip_code_fence
 
-PAIR_PATTERN = (
-    '\\{[^{}]*"question"\\s*:\\s*"((?:\\\\.|[^"])*)"\\s*,\\s*"answer"\\s*:\\s*"((?:\\\\.|[^"])*)"\\s*\\}'
-)
+_STRING = '"([^"\\\\]*+(?:\\\\.[^"\\\\]*+)*+)"'
+PAIR_PATTERN = f'\\{{[^{{}}]*"question"\\s*:\\s*{_STRING}\\s*,\\s*"answer"\\s*:\\s*{_STRING}\\s*\\}}'
 ONE_PAIR_PATTERN = '(?s)\\{[^{}]*"question"[^{}]*"answer"[^{}]*\\}'
 
 
 def parse_json(text: Column) -> Column:
     """VARIANT of a text that is one JSON value and nothing else; null otherwise.
 
-    The JSON reader stops after the first value, so text after it is caught by writing the value out
-    again and comparing the number of structural characters outside of strings.
+    The JSON reader ignores whatever follows the first value, so the text is read inside a list and
+    inside an object: text after the value, or a bracket too many, spoils at least one of them.
     """
 
-    def bare(x: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(x, '"(?:\\\\.|[^"\\\\])*"', '""'), "[^{}\\[\\]:,\"]", "")
+    def whole(x: Column) -> Column:
+        listed = F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
+        held = F.try_parse_json(F.concat(F.lit('{"v":'), x, F.lit("}")))
+        return F.when(listed.isNotNull(), F.try_variant_get(held, "$.v", "variant"))
 
-    def checked(x: Column) -> Column:
-        return bind(F.try_parse_json(x), lambda v: F.when(F.length(bare(x)) == F.length(bare(F.to_json(v))), v))
-
-    return bind(strip(text), checked)
+    return bind(strip(text), whole)
 
 
 def has_field(v: Column, key: str) -> Column:
