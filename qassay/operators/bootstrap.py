@@ -12,10 +12,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qassay.functions.text import bind
 from qassay.operators.ranking import settle
 
 DRAW_BLOCK = 1 << 14
@@ -38,6 +39,11 @@ def _bins(values: DataFrame, group: list[str], value: str) -> DataFrame:
     )
 
 
+def _tasks(df: DataFrame) -> int:
+    """Replicas are few small rows that grow into many draws, so their number of tasks is set, not adapted."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _by_draws(bins: DataFrame, group: list[str], n_boot: int, seed: int) -> DataFrame:
     block = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / DRAW_BLOCK))
     draws = F.sequence(
@@ -47,13 +53,16 @@ def _by_draws(bins: DataFrame, group: list[str], n_boot: int, seed: int) -> Data
         F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "_boot", "_j")), 1, 8), 16, 10).cast("bigint"),
         F.col("n"),
     )
+
+    def taken(u: Column) -> Column:
+        return F.get(F.filter("_bins", lambda b: b["hi"] > u), F.lit(0))["v"]
+
     return (
         bins.select(*group, "n", "_bins", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("_boot"))
-        .repartition(*group, "_boot")
+        .repartition(_tasks(bins), *group, "_boot")
         .withColumn("_blk", F.explode(block))
         .withColumn("_j", F.explode(draws))
-        .select(*group, "_boot", "_bins", draw.alias("_u"))
-        .select(*group, "_boot", F.get(F.filter("_bins", lambda b: b["hi"] > F.col("_u")), F.lit(0))["v"].alias("_v"))
+        .select(*group, "_boot", bind(draw, taken).alias("_v"))
         .groupBy(*group, "_boot")
         .agg(F.avg("_v").alias("_mean"))
     )
@@ -62,7 +71,7 @@ def _by_draws(bins: DataFrame, group: list[str], n_boot: int, seed: int) -> Data
 def _by_counts(bins: DataFrame, group: list[str], n_boot: int, seed: int) -> DataFrame:
     replicas = bins.select(
         *group, "n", "_bins", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("_boot")
-    ).repartition(*group, "_boot")
+    ).repartition(_tasks(bins), *group, "_boot")
     fields = [replicas.schema[g] for g in group]
     schema = T.StructType([*fields, T.StructField("_boot", T.IntegerType()), T.StructField("_mean", T.DoubleType())])
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from qassay.functions.judging import document_id
 from qassay.functions.text import ascii_tokens
 from qassay.operators.chunking import equal_windows
+from qassay.operators.ranking import lookup_join
 from qassay.operators.scoring import mean4
 
 TIER_SEVERITY = ("high", "medium", "low", "drop", "unknown")
@@ -68,31 +69,28 @@ def majority_tier(rows: DataFrame) -> DataFrame:
 def window_hits(
     docs: DataFrame, qa: DataFrame, n_windows: int = 5, threshold: float = 0.12, exclude_tiers: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Per document window: share of its tokens found in the document's questions and answers, and the hit flag."""
+    """Per document window: share of its tokens found in the document's questions and answers, and the hit flag.
+
+    Only documents with enough question/answer tokens are tokenised; the windows of the others are counted.
+    """
     rows = qa_rows(qa, exclude_tiers)
     tokens = qa_tokens(rows)
     enough = (
         tokens.groupBy("document_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 3).select("document_id")
     )
-    windows = docs.select(
-        "document_id", F.posexplode(equal_windows(F.col("context"), n_windows)).alias("window", "_w")
-    ).select("document_id", "window", ascii_tokens(F.array_join("_w", " ")).alias("_t"))
+    flagged = lookup_join(docs.select("document_id", "context"), enough.withColumn("_qa", F.lit(True)), ["document_id"], "left")
+    found = F.when(F.col("_qa"), ascii_tokens(F.array_join("_w", " ")))
     shared = (
-        windows.join(enough, "document_id", "left_semi")
-        .select("document_id", "window", F.explode("_t").alias("token"))
-        .join(tokens, ["document_id", "token"])
+        flagged.select("document_id", "_qa", F.posexplode(equal_windows(F.col("context"), n_windows)).alias("window", "_w"))
+        .select("document_id", "window", F.explode_outer(found).alias("token"))
+        .join(tokens.withColumn("_hit", F.lit(1)), ["document_id", "token"], "left")
         .groupBy("document_id", "window")
-        .agg(F.count(F.lit(1)).alias("_s"))
-    )
-    overlap = F.coalesce(F.try_divide(F.col("_s"), F.col("_n")), F.lit(0.0))
-    return (
-        windows.select("document_id", "window", F.size("_t").alias("_n"))
-        .join(shared, ["document_id", "window"], "left")
-        .select(
-            "document_id", "window", F.bround(overlap, 6).alias("overlap"),
-            F.coalesce(F.col("_s").isNotNull() & (overlap >= threshold), F.lit(False)).alias("hit"),
-        )
+        .agg(F.count("_hit").alias("_s"), F.count("token").alias("_n"))
     )
+    overlap = F.coalesce(F.try_divide("_s", "_n"), F.lit(0.0))
+    return shared.select(
+        "document_id", "window", F.bround(overlap, 6).alias("overlap"), (F.col("_n") > 0) & (overlap >= threshold)
+    ).toDF("document_id", "window", "overlap", "hit")
 
 
 def coverage_per_doc(hits: DataFrame, qa: DataFrame, exclude_tiers: tuple[str, ...] = ()) -> DataFrame:
