@@ -10,9 +10,7 @@ def scan_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Files *.md and *.markdown with their stem as source; invalid bytes become replacement characters."""
     file_name = F.regexp_extract(F.url_decode("_metadata.file_path"), "([^/]+)$", 1)
     return (
-        spark.read.option("wholetext", "true")
-        .option("pathGlobFilter", "*.{md,markdown}")
-        .text(path)
+        spark.read.text(path, wholetext=True, pathGlobFilter="*.{md,markdown}")
         .select(
             F.regexp_replace(file_name, "\\.(md|markdown)$", "").alias("source"),
             F.make_valid_utf8("value").alias("md"),
