@@ -51,14 +51,14 @@ def _shared(field: str, arms: Sequence[str]) -> Column:
     return F.coalesce(*[blank_to_null(F.col(a)[field]) for a in arms])
 
 
-def _cases(wide: DataFrame, pattern: str, arms: Sequence[str], gap: Column, run: Sequence[str]) -> DataFrame:
+def _cases(wide: DataFrame, pattern: str | Column, arms: Sequence[str], gap: Column, run: Sequence[str]) -> DataFrame:
     parts = []
     for a in arms:
         parts += [F.col(a)[f].alias(f"{a}_{f}") for f in ("pred", "refusal_class", "gold_alignment", "grounding", "brief_reason")]
     return wide.select(
         *run,
         "eval_id",
-        F.lit(pattern).alias("pattern"),
+        (F.lit(pattern) if isinstance(pattern, str) else pattern).alias("pattern"),
         _shared("question", arms).alias("question"),
         _shared("gold", arms).alias("gold"),
         _shared("context_preview", arms).alias("context_preview"),
@@ -88,36 +88,53 @@ def gap_pairs(
     return _cases(wide.filter(hit), "judge_gap", [baseline, candidate], c - b, run)
 
 
-def gap_triples(
-    wide: DataFrame, candidate: str, baselines: Sequence[str], run: Sequence[str] = RUN,
-    baseline_max: float = 2.0, candidate_min: float = 4.0, min_gap: float = 2.0,
-) -> DataFrame:
-    arms = [candidate, *baselines]
+def _gap_hit(
+    candidate: str, baselines: Sequence[str], baseline_max: float = 2.0, candidate_min: float = 4.0, min_gap: float = 2.0
+) -> tuple[Column, Column]:
+    """Test and score gap of an answerable question only the candidate gets right."""
     c = _score(candidate, "gold_alignment")
-    hit = ~is_refusal_gold(_shared("gold", arms)) & (c >= candidate_min)
+    hit = ~is_refusal_gold(_shared("gold", [candidate, *baselines])) & (c >= candidate_min)
     for b in baselines:
         s = _score(b, "gold_alignment")
         hit = hit & (s <= baseline_max) & (c - s >= min_gap)
-    gap = F.least(*[c - _score(b, "gold_alignment") for b in baselines])
-    return _cases(wide.filter(hit), "judge_gap", arms, gap, run)
+    return hit, F.least(*[c - _score(b, "gold_alignment") for b in baselines])
 
 
-def refusal_triples(wide: DataFrame, candidate: str, baselines: Sequence[str], run: Sequence[str] = RUN) -> DataFrame:
-    arms = [candidate, *baselines]
-    hit = is_refusal_gold(_shared("gold", arms)) & is_refusal_like(F.col(candidate)["refusal_class"])
+def _refusal_hit(candidate: str, baselines: Sequence[str]) -> tuple[Column, Column]:
+    """Test and score gap of an unanswerable question only the candidate declines."""
+    hit = is_refusal_gold(_shared("gold", [candidate, *baselines])) & is_refusal_like(F.col(candidate)["refusal_class"])
     for b in baselines:
         hit = hit & is_invented(F.col(b)["refusal_class"])
-    gap = _score(candidate, "gold_alignment") - F.greatest(*[_score(b, "gold_alignment") for b in baselines])
-    return _cases(wide.filter(hit), "refusal", arms, gap, run)
+    return hit, _score(candidate, "gold_alignment") - F.greatest(*[_score(b, "gold_alignment") for b in baselines])
+
+
+def gap_triples(
+    wide: DataFrame, candidate: str, baselines: Sequence[str], run: Sequence[str] = RUN, **limits: float
+) -> DataFrame:
+    hit, gap = _gap_hit(candidate, baselines, **limits)
+    return _cases(wide.filter(hit), "judge_gap", [candidate, *baselines], gap, run)
+
+
+def refusal_triples(wide: DataFrame, candidate: str, baselines: Sequence[str], run: Sequence[str] = RUN) -> DataFrame:
+    hit, gap = _refusal_hit(candidate, baselines)
+    return _cases(wide.filter(hit), "refusal", [candidate, *baselines], gap, run)
+
+
+def triple_cases(wide: DataFrame, candidate: str, baselines: Sequence[str], run: Sequence[str] = RUN) -> DataFrame:
+    """Both kinds of triple case in one pass; a question is answerable or not, so it is one kind at most."""
+    refusal, refusal_gap = _refusal_hit(candidate, baselines)
+    answer, answer_gap = _gap_hit(candidate, baselines)
+    pattern = F.when(refusal, "refusal").otherwise("judge_gap")
+    gap = F.when(refusal, refusal_gap).otherwise(answer_gap)
+    return _cases(wide.filter(refusal | answer), pattern, [candidate, *baselines], gap, run)
 
 
 def mine_auto(wide: DataFrame, candidate: str, baselines: Sequence[str], n: int, run: Sequence[str] = RUN) -> DataFrame:
     """Best n refusal cases per run, or best n gap cases of runs that have no refusal case."""
-    refusals = refusal_triples(wide, candidate, baselines, run)
-    gaps = gap_triples(wide, candidate, baselines, run)
-    have = refusals.select(*run).distinct()
-    chosen = refusals.unionByName(gaps.join(have, list(run), "left_anti"))
-    return top_n(chosen, n, F.desc("score_gap"), F.asc("eval_id"), group=run)
+    best = (F.desc("score_gap"), F.asc("eval_id"))
+    heads = top_n(triple_cases(wide, candidate, baselines, run), n, *best, group=[*run, "pattern"])
+    has_refusal = F.max(F.col("pattern") == "refusal").over(Window.partitionBy(*run))
+    return heads.withColumn("_r", has_refusal).filter(~F.col("_r") | (F.col("pattern") == "refusal")).drop("_r")
 
 
 def answer_wins(
@@ -150,7 +167,7 @@ def refusal_wins(
 
 def case_catalog(wide: DataFrame, candidate: str, baselines: Sequence[str], run: Sequence[str] = RUN) -> DataFrame:
     """Triple cases of all runs with a stable id."""
-    cases = refusal_triples(wide, candidate, baselines, run).unionByName(gap_triples(wide, candidate, baselines, run))
+    cases = triple_cases(wide, candidate, baselines, run)
     return cases.withColumn("case_id", F.concat_ws("/", *run, "pattern", "eval_id"))
 
 

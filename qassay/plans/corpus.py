@@ -389,16 +389,32 @@ def answer_requests(t: Tables):
     return slim[0].unionByName(slim[1]).unionByName(slim[2])
 
 
-@query("sft_chat_rows")
+_TARGET = "to_json({'grounding': CAST(grounding AS INT), 'relevance': CAST(relevance AS INT), 'document_necessity': CAST(document_necessity AS INT), 'overall': CAST(overall AS INT), 'refuse_expected': refuse_expected, 'brief_reason': brief_reason})"
+_PAIR_JSON = f"to_json({{'question': {s.strip('question')}, 'answer': {s.strip('answer')}}})"
+
+
+def _chat_sql(system: str, user: str, target: str) -> str:
+    turns = [("system", s.quote(system)), ("user", user), ("assistant", f"CAST({target} AS VARCHAR)")]
+    return "md5(CAST(to_json([" + ", ".join(f"{{'role': '{r}', 'content': {c}}}" for r, c in turns) + "]) AS VARCHAR))"
+
+
+_JUDGE_USER = fill_sql(requests.JUDGE_TEMPLATE, context="context[1:8000]", question="question", answer=s.strip("answer"))
+_GEN_USER = fill_sql(requests.GENERATE_TEMPLATE, pairs="1", passage=s.strip("context"))
+
+
+@query(
+    "sft_chat_rows",
+    f"""SELECT eval_id, 'judge' AS kind, CAST({_TARGET} AS VARCHAR) AS target_json, {_chat_sql('Score answers.', _JUDGE_USER, _TARGET)} AS messages_md5 FROM v_judged WHERE {_TRAINABLE}
+UNION ALL SELECT eval_id, 'generator', CAST({_PAIR_JSON} AS VARCHAR), {_chat_sql('Write questions.', _GEN_USER, _PAIR_JSON)} FROM v_judged WHERE {_USABLE}""",
+)
 def sft_chat_rows(t: Tables):
     rows = splitting.trainable_judged_rows(t.judged)
-    judge = requests.sft_judge_rows(rows, "Score answers.").select(
-        "eval_id", F.lit("judge").alias("kind"), "target_json", F.to_json("messages").alias("messages")
-    )
-    gen = requests.sft_generator_rows(splitting.usable_rows(t.judged), "Write questions.").select(
-        "eval_id", F.lit("generator").alias("kind"), "target_json", F.to_json("messages").alias("messages")
-    )
-    return judge.unionByName(gen)
+    parts = [
+        requests.sft_judge_rows(rows, "Score answers.").withColumn("kind", F.lit("judge")),
+        requests.sft_generator_rows(splitting.usable_rows(t.judged), "Write questions.").withColumn("kind", F.lit("generator")),
+    ]
+    slim = [p.select("eval_id", "kind", "target_json", F.md5(F.to_json("messages")).alias("messages_md5")) for p in parts]
+    return slim[0].unionByName(slim[1])
 
 
 @query(

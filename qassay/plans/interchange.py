@@ -15,7 +15,7 @@ from qassay.operators import responses, splitting
 from qassay.plans import sqltext as s
 from qassay.plans.registry import query, scratch
 from qassay.plans.views import ARMS, Tables, h, h_sql
-from qassay.sources import discovery, jsonl, shards
+from qassay.sources import discovery, jsonl, markdown, shards
 from qassay.streaming.spans import start_span_rollup
 
 # ---- files
@@ -83,6 +83,16 @@ def filter_conditions(t: Tables):
     return discovery.filter_conditions(t.pred, ["baseline_b", "candidate"]).select("eval_id", "condition", "condition_order")
 
 
+@query("scan_markdown", "SELECT length(md) AS n_chars, md5(md) AS md_md5 FROM v_md")
+def scan_markdown(t: Tables):
+    path = scratch(t.spark, "markdown")
+    # One file per document; Spark ends each with one line break and chooses the names.
+    t.md.select("md").write.option("maxRecordsPerFile", 1).text(path)
+    rows = markdown.scan_markdown(t.spark, path, file_glob="*.txt")
+    body = F.regexp_replace("md", "\\n\\z", "")
+    return rows.select(F.length(body).alias("n_chars"), F.md5(body).alias("md_md5"))
+
+
 _SUMMARY_SCHEMA = "condition string, model_id_from_rows string, input_jsonl string, n_rows bigint, mean_overall double"
 
 

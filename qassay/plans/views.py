@@ -23,7 +23,7 @@ def h(a: Column, b: Column, m: int) -> Column:
 
 def arm_score(conv: Column, turn: Column, arm: int, k: int) -> Column:
     if k == 4:  # gold alignment moves apart from the other scores
-        return 1 + (conv * (3 + arm) + turn * (5 + 2 * arm) + arm) % 5
+        return 1 + (conv * (3 + arm) + turn * (5 + 2 * arm) + arm + (arm + 1) * F.floor(conv / 5)) % 5
     return 1 + (conv * (7 + 2 * arm) + turn * (3 + arm) + k * (arm + 1) + arm * arm) % 5
 
 
@@ -231,7 +231,7 @@ def h_sql(a: str, b: str, m: int) -> str:
 
 def arm_score_sql(arm: int, k: int) -> str:
     if k == 4:
-        return f"(1 + (conv_id * {3 + arm} + turn * {5 + 2 * arm} + {arm}) % 5)"
+        return f"(1 + (conv_id * {3 + arm} + turn * {5 + 2 * arm} + {arm} + {arm + 1} * (conv_id // 5)) % 5)"
     return f"(1 + (conv_id * {7 + 2 * arm} + turn * {3 + arm} + {k * (arm + 1) + arm * arm}) % 5)"
 
 

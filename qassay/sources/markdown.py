@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def scan_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """Files *.md and *.markdown with their stem as source; invalid bytes become replacement characters."""
+def scan_markdown(spark: SparkSession, path: str, file_glob: str = "*.{md,markdown}") -> DataFrame:
+    """Files with their stem as source, *.md and *.markdown unless told otherwise; invalid bytes become replacement characters."""
     file_name = F.regexp_extract(F.url_decode("_metadata.file_path"), "([^/]+)$", 1)
     return (
-        spark.read.text(path, wholetext=True, pathGlobFilter="*.{md,markdown}")
+        spark.read.text(path, wholetext=True, pathGlobFilter=file_glob)
         .select(
             F.regexp_replace(file_name, "\\.(md|markdown)$", "").alias("source"),
             F.make_valid_utf8("value").alias("md"),
