@@ -15,21 +15,29 @@ def confusion(rows: DataFrame, left: str, right: str) -> DataFrame:
 
 def cohen_kappa(rows: DataFrame, left: str, right: str) -> DataFrame:
     """Kappa of two label columns; 1 or 0 when chance agreement is already complete."""
-    cells = confusion(rows.filter(F.col(left).isNotNull() & F.col(right).isNotNull()), left, right)
-    total = cells.agg(F.sum("n_rows")).scalar()
-    lm = cells.groupBy(F.col(left).alias("_l")).agg(F.sum("n_rows").alias("_a"))
-    rm = cells.groupBy(F.col(right).alias("_l")).agg(F.sum("n_rows").alias("_b"))
-    chance = lm.join(rm, "_l").agg(
-        F.coalesce(F.sum(F.col("_a").cast("double") / total * (F.col("_b") / total)), F.lit(0.0))
-    ).scalar()
-    agreed = F.coalesce(F.sum(F.when(F.col(left) == F.col(right), F.col("n_rows"))), F.lit(0))
-    stats = cells.agg(F.sum("n_rows").alias("n"), agreed.alias("n_agree"))
-    observed = F.col("n_agree") / F.col("n")
-    # Same closeness test as a relative tolerance of 1e-9 between 1 - pe and 0: only an exact 0 passes.
+    both = rows.filter(F.col(left).isNotNull() & F.col(right).isNotNull())
+    n, zero = F.col("n_rows"), F.lit(0)
+    agreed = F.when(F.col(left) == F.col(right), n).otherwise(zero)
+    # Each cell counts once for its left label and once for its right label.
+    sides = F.array(
+        F.struct(F.col(left).alias("label"), n.alias("a"), zero.cast("bigint").alias("b"), agreed.alias("same")),
+        F.struct(F.col(right).alias("label"), zero.cast("bigint").alias("a"), n.alias("b"), zero.cast("bigint").alias("same")),
+    )
+    labels = (
+        confusion(both, left, right)
+        .select(F.explode(sides).alias("_s"))
+        .groupBy("_s.label")
+        .agg(F.sum("_s.a").alias("a"), F.sum("_s.b").alias("b"), F.sum("_s.same").alias("same"))
+    )
+    total = Window.partitionBy(F.lit(0))
+    share = F.col("a") / F.sum("a").over(total) * (F.col("b") / F.sum("b").over(total))
+    stats = labels.withColumn("_p", share).agg(F.sum("a").alias("n"), F.sum("same").alias("n_agree"), F.sum("_p").alias("chance"))
+    observed, chance = F.col("n_agree") / F.col("n"), F.col("chance")
+    # Full chance agreement leaves nothing to correct for.
     kappa = F.when(1.0 - chance == 0.0, F.when(F.abs(observed - 1.0) <= 1e-9, 1.0).otherwise(0.0)).otherwise(
         (observed - chance) / (1.0 - chance)
     )
-    return stats.select(
+    return stats.filter(F.col("n") > 0).select(
         "n", F.bround(observed, 6).alias("agreement"), F.bround(chance, 6).alias("chance"), F.bround(kappa, 6).alias("kappa")
     )
 
@@ -46,20 +54,19 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("w"))
     )
 
-    def ranks(side: str) -> DataFrame:
-        running = Window.partitionBy(F.lit(0)).orderBy(side).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return (
-            cells.groupBy(side)
-            .agg(F.sum("w").alias("_c"))
-            .select(side, (F.sum("_c").over(running) - F.col("_c") + (F.col("_c") + 1) / 2).alias(f"r{side}"))
-        )
-
-    n = cells.agg(F.sum("w")).scalar()
-    mid = (n + 1) / 2
-    dx, dy, w = F.col("rx") - mid, F.col("ry") - mid, F.col("w")
+    every = Window.partitionBy(F.lit(0))
+
+    def rank(side: str):
+        upto = every.orderBy(side).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        same = F.sum("w").over(Window.partitionBy(side))
+        return F.sum("w").over(upto) - same + (same + 1) / 2
+
+    w, mid = F.col("w"), (F.col("total") + 1) / 2
+    dx, dy = F.col("rx") - mid, F.col("ry") - mid
     moments = (
-        cells.join(ranks("x"), "x")
-        .join(ranks("y"), "y")
+        cells.withColumn("rx", rank("x"))
+        .withColumn("ry", rank("y"))
+        .withColumn("total", F.sum("w").over(every))
         .agg(F.sum("w").alias("n"), F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
     )
     usable = (F.col("n") >= 2) & (F.col("xx") > 0) & (F.col("yy") > 0)

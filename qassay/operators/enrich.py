@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qassay.constants import DEBIAS_RUBRIC_VERSION, EVAL_DIMENSIONS, JUDGE_DIMENSIONS
@@ -233,14 +233,13 @@ def match_baselines(conditions: DataFrame, name: str = "condition", role: str =
     Conditions are model arms; both sides are a handful of rows.
     """
     family = conditions.select(name, role, suffix_family(F.col(name)).alias("family"))
-    base = family.filter(F.col(role) == "baseline")
-    per_family = base.groupBy("family").agg(F.min(name).alias("_same"))
-    only = base.agg(F.when(F.count(F.lit(1)) == 1, F.min(name))).scalar()
+    base = F.when(F.col(role) == "baseline", F.col(name))
+    same, every = Window.partitionBy("family"), Window.partitionBy(F.lit(0))
+    only = F.when(F.count(base).over(every) == 1, F.min(base).over(every))
     return (
-        family.filter(F.col(role) == "candidate")
-        .join(per_family, "family", "left")
-        .select(F.col(name).alias("challenger"), "family", F.coalesce("_same", only).alias("baseline"))
-        .filter(F.col("baseline").isNotNull())
+        family.withColumn("baseline", F.coalesce(F.min(base).over(same), only))
+        .filter((F.col(role) == "candidate") & F.col("baseline").isNotNull())
+        .select(F.col(name).alias("challenger"), "family", "baseline")
     )
 
 

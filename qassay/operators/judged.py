@@ -109,19 +109,22 @@ def tier_weights(rows: DataFrame) -> DataFrame:
 
 
 def ceiling_gap(table: DataFrame, ceiling: str, baseline: str | None, value: str = "mean_gold_alignment") -> DataFrame:
-    """Gap to the ceiling arm and share of its gain over the baseline; reference arms are left out."""
+    """Gap to the ceiling arm and share of its gain over the baseline; reference arms are left out.
+
+    The table has one row per arm, so both reference values are read off it with a window.
+    """
+    arms = Window.partitionBy(F.lit(0))
 
     def of(name: str | None) -> Column:
-        hit = table.filter(F.col("condition") == F.lit(name)).agg(F.max(value))
-        return hit.scalar() if name else F.lit(None).cast("double")
+        return F.max(F.when(F.col("condition") == F.lit(name), F.col(value))).over(arms)
 
-    top, base = of(ceiling), of(baseline)
-    denominator = top - base
-    gain = F.when(F.abs(denominator) > 1e-9, (F.col(value) - base) / denominator)
-    return table.filter((F.col("condition") != ceiling) & ~F.col("condition").startswith("REF_")).select(
+    known = table.withColumn("_top", of(ceiling)).withColumn("_base", of(baseline))
+    denominator = F.col("_top") - F.col("_base")
+    gain = F.when(F.abs(denominator) > 1e-9, (F.col(value) - F.col("_base")) / denominator)
+    return known.filter((F.col("condition") != ceiling) & ~F.col("condition").startswith("REF_")).select(
         "condition",
         value,
-        F.bround(top - F.col(value), 4).alias("gap_to_ceiling"),
+        F.bround(F.col("_top") - F.col(value), 4).alias("gap_to_ceiling"),
         F.bround(gain, 4).alias("recovery_vs_baseline"),
         F.bround(100.0 * gain, 1).alias("pct_of_ceiling_gain"),
     )
