@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qassay.constants import EVAL_DIMENSIONS, JUDGE_DIMENSIONS, MISSING_FIELDS_ERROR, TIERS
+from qassay.constants import (
+    EVAL_DIMENSIONS,
+    JUDGE_DIMENSIONS,
+    MISSING_FIELDS_ERROR,
+    TIER_WEIGHT_PRESETS,
+    TIERS,
+)
 from qassay.functions.judging import answer_type, is_refusal_gold, question_starter
 from qassay.functions.text import word_count
 from qassay.operators.ranking import value_at_rank
@@ -96,15 +102,22 @@ def tier_topics(rows: DataFrame, n: int = 5) -> DataFrame:
     return label_shares(rows, topic, n)
 
 
-def tier_weights(rows: DataFrame) -> DataFrame:
-    """Share of each usable tier."""
-    total = Window.partitionBy(F.lit(0))
-    return (
+def tier_weights(rows: DataFrame, preset: str = "frequency") -> DataFrame:
+    """Weight of each usable tier: its share of the rows, or a fixed preset."""
+    counts = (
         rows.select(tier_label().alias("tier"))
         .filter(F.col("tier").isin("high", "medium", "low"))
         .groupBy("tier")
         .agg(F.count(F.lit(1)).alias("n_rows"))
-        .withColumn("weight", F.bround(F.col("n_rows") / F.sum("n_rows").over(total), 6))
+    )
+    if preset == "frequency":
+        total = Window.partitionBy(F.lit(0))
+        return counts.withColumn("weight", F.bround(F.col("n_rows") / F.sum("n_rows").over(total), 6))
+    if preset not in TIER_WEIGHT_PRESETS:
+        raise ValueError(f"unknown preset {preset}; choose frequency or one of {list(TIER_WEIGHT_PRESETS)}")
+    high, medium, low = TIER_WEIGHT_PRESETS[preset]
+    return counts.withColumn(
+        "weight", F.when(F.col("tier") == "high", high).when(F.col("tier") == "medium", medium).otherwise(low)
     )
 
 

@@ -220,3 +220,23 @@ def test_stream_equals_batch(spark, tmp_path):
     start_span_rollup(spark.readStream.schema(schema).json(source), out, state).awaitTermination()
     got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
     assert got == [("a", 2, 5.5, 4.5), ("b", 1, 2.0, 2.0)]
+
+
+def test_tier_weights_presets(spark):
+    from qassay.operators import judged
+
+    rows = spark.createDataFrame([("high",), ("high",), ("low",), ("drop",), (None,)], "t string").select(F.struct(F.col("t").alias("quality_tier")).alias("llm_judge"))
+    assert {r.tier: r.weight for r in judged.tier_weights(rows).collect()} == {"high": 0.666667, "low": 0.333333}
+    assert {r.tier: r.weight for r in judged.tier_weights(rows, "tier").collect()} == {"high": 0.6, "low": 0.1}
+    with pytest.raises(ValueError):
+        judged.tier_weights(rows, "other")
+
+
+def test_ceiling_gap_degenerate(spark):
+    from qassay.operators import judged
+
+    table = spark.createDataFrame([("REF_a", 4.0), ("base", 4.0), ("cand", 3.0), ("REF_b", 5.0), ("none", None)], "condition string, mean_gold_alignment double")
+    got = {r.condition: (r.gap_to_ceiling, r.recovery_vs_baseline) for r in judged.ceiling_gap(table, "REF_a", "base").collect()}
+    assert got == {"base": (0.0, None), "cand": (1.0, None), "none": (None, None)}
+    got = {r.condition: r.recovery_vs_baseline for r in judged.ceiling_gap(table, "REF_b", "cand").collect()}
+    assert got == {"base": 0.5, "cand": 0.0, "none": None}
