@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -24,11 +25,15 @@ def build_session(cpus: str = "8", app: str = "qassay") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for cut lineage: the cluster's own setting wins, a scratch folder is for tests only."""
+    """Shared folder for cut lineage, from spark.checkpoint.dir. Only a session whose executors live in the driver's own
+    process (master local[...]) may go without the setting; on a cluster its absence is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    folder = configured or os.path.join(tempfile.mkdtemp(prefix="qassay-ckpt-"))
-    spark.sparkContext.setCheckpointDir(folder)
+    context = spark.sparkContext
+    folder = configured or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = os.path.join(tempfile.gettempdir(), f"qassay-{uuid.uuid4().hex}")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder
