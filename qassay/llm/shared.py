@@ -64,3 +64,8 @@ def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd
         held = [frame.iloc[cut:]]
     if held:
         yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+
+
+def row_keys(*cols) -> list:
+    """Two 64-bit hashes k1, k2 that name the rows with these values; rows that repeat share their name. Never null, so plain equi-joins hold nulls."""
+    return [F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit("second"), *reversed(cols)).alias("k2")]
