@@ -12,7 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to the least node of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("least"))
-    return both.filter("b > a").join(least, "a").select(F.col("least").alias("a"), "b").filter("a < b").distinct()
+    return both.filter("b > a").join(least, "a").select(F.col("least").alias("a"), "b").filter("a < b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -23,8 +23,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(own).filter("_a < _b").distinct().select(F.col("_a").alias("a"), F.col("_b").alias("b"))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre or has one single centre."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("centre"), F.lit(0).alias("leaf"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("centre"), F.lit(1).alias("leaf")))
+    return ends.groupBy("node").agg(F.max("centre").alias("centre"), F.sum("leaf").alias("leaf")).filter("centre + leaf > 1").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -35,11 +38,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
     edges = settle(edges, "edges")
-    mark = _mark(edges)
-    while mark[0]:
+    while not _all_stars(edges):
         edges = settle(_small_star(_large_star(edges)), "edges")
-        before, mark = mark, _mark(edges)
-        if mark == before:
-            break
     members = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return members.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

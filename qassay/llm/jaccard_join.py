@@ -5,9 +5,9 @@ each token with probability s. From the root, a run picks 1 / threshold coordina
 tokens there; a bucket is a path of shared tokens.
 
 - A bucket of at most `bucket_limit` sets is compared by brute force on the signatures.
-- A larger bucket is compared with one of its sets. Jaccard distance obeys the triangle inequality: what is within the join distance of that
-  centre can only have partners within twice that distance, and those are linked to the centre, so it leaves. The rest is split again by the
-  same rule. After `max_depth` splits all that is left in a bucket is linked to its centre.
+- A larger bucket is compared with one of its sets. Jaccard distance obeys the triangle inequality: a set of similarity `cover` or more to that
+  centre only has partners of similarity cover + threshold - 1 or more to it. All of those are linked to the centre, so it leaves. The rest is
+  split again by the same rule. After `max_depth` splits all that is left in a bucket is linked to its centre.
 - Runs are repeated so often that a pair at the threshold meets with the probability `recall`; all runs go through one job.
 
 Links so far are candidates and a superset. Their connected components are cut into blocks of bounded size, and each pair of blocks is verified
@@ -142,9 +142,9 @@ def _compare_small(least_share: float):
     return link
 
 
-def _split_large(threshold: float, slack: float, deepest: bool):
+def _split_large(threshold: float, cover: float, slack: float, deepest: bool):
     """Rows (bucket, set_no, sign, centre, centre_sign) -> links to the centre (bucket null) and rows of the next buckets (b null)."""
-    wide = 2 * threshold - 1 - slack
+    wide = cover + threshold - 1 - slack
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +153,7 @@ def _split_large(threshold: float, slack: float, deepest: bool):
             share = (sign == _signs(batch.column("centre_sign"))).mean(axis=1)
             other = no != centre
             near = np.flatnonzero(other & ((share >= wide) | deepest))
-            away = np.flatnonzero(other & (share < threshold + slack / 2)) if not deepest else near[:0]
+            away = np.flatnonzero(other & (share < cover + slack / 2)) if not deepest else near[:0]
             nodes = mix(bucket[away].view(np.uint64))
             a, b, next_bucket = [centre[near]], [no[near]], [np.zeros(len(near), dtype=np.int64)]
             for at, coords in chosen_coordinates(nodes, threshold):
@@ -168,7 +168,7 @@ def _split_large(threshold: float, slack: float, deepest: bool):
     return split
 
 
-def candidate_links(sets: DataFrame, threshold: float, bucket_limit: int, max_depth: int, slack: float) -> DataFrame:
+def candidate_links(sets: DataFrame, threshold: float, bucket_limit: int, max_depth: int, cover: float, slack: float) -> DataFrame:
     """Candidate links (a, b) between sets (set_no, sign, paths)."""
     rows, found = sets.select("set_no", F.explode("paths").alias("bucket")), []
     signs = sets.select("set_no", "sign")
@@ -184,7 +184,7 @@ def candidate_links(sets: DataFrame, threshold: float, bucket_limit: int, max_de
             break
         centres = signs.select(F.col("set_no").alias("centre"), F.col("sign").alias("centre_sign"))
         split = large.join(centres, "centre").select("bucket", "set_no", "sign", "centre", "centre_sign")
-        split = settle(split.mapInArrow(_split_large(threshold, slack, depth == max_depth), "a long, b long, bucket long"), "split")
+        split = settle(split.mapInArrow(_split_large(threshold, cover, slack, depth == max_depth), "a long, b long, bucket long"), "split")
         found.append(split.filter(F.col("bucket").isNull()).select("a", "b"))
         rows = split.filter(F.col("b").isNull()).select(F.col("a").alias("set_no"), "bucket")
     links = found[0]
@@ -207,40 +207,52 @@ def _gram_rows(k: int):
 
 
 def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every left with every right set, by products of bounded strips of their incidence matrices."""
+    """Sizes of the intersections of every left with every right set: shingles in few sets pair by pair, frequent ones by matrix products."""
     a, b = np.concatenate(left), np.concatenate(right)
     common = np.intersect1d(np.unique(a), np.unique(b), assume_unique=True)
-    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    shape = (len(left), len(right))
+    if not len(common):
+        return np.zeros(shape, dtype=np.int64)
 
     def cells(sets, flat):
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        col = np.searchsorted(common, flat)
-        col[col == len(common)] = 0
-        right_one = common[col] == flat if len(common) else np.zeros(len(flat), dtype=bool)
-        row, col = row[right_one], col[right_one]
-        order = np.argsort(col, kind="stable")
-        return row[order], col[order]
-
-    (row_a, col_a), (row_b, col_b) = cells(left, a), cells(right, b)
+        row, col = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.minimum(np.searchsorted(common, flat), len(common) - 1)
+        held = np.flatnonzero(common[col] == flat)
+        held = held[np.argsort(col[held], kind="stable")]
+        return row[held], col[held], np.bincount(col[held], minlength=len(common))
+
+    (row_a, col_a, in_a), (row_b, col_b, in_b) = cells(left, a), cells(right, b)
+    frequent = in_a * in_b > max(16, shape[0] * shape[1] // 200)
+    out = np.zeros(shape[0] * shape[1], dtype=np.int64)
+    first_b = np.cumsum(in_b) - in_b
+    rare = np.flatnonzero(~frequent[col_a])
+    many = in_b[col_a[rare]]
+    cuts = np.searchsorted(np.cumsum(many), np.arange(0, many.sum(), 1 << 21), side="left")
+    for at, end in zip(cuts, np.append(cuts[1:], len(rare)), strict=True):
+        own, n = rare[at:end], many[at:end]
+        other = np.repeat(first_b[col_a[own]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out += np.bincount(np.repeat(row_a[own], n) * shape[1] + row_b[other], minlength=len(out))
+    out = out.reshape(shape)
+    dense = np.cumsum(frequent) - 1
+    sides = [(n, row[frequent[col]], dense[col[frequent[col]]]) for n, row, col in ((shape[0], row_a, col_a), (shape[1], row_b, col_b))]
     strip = 4096
-    for at in range(0, len(common), strip):
+    for at in range(0, int(frequent.sum()), strip):
         parts = []
-        for n, row, col in ((len(left), row_a, col_a), (len(right), row_b, col_b)):
+        for n, row, col in sides:
             first, last = np.searchsorted(col, [at, at + strip])
-            m = np.zeros((n, min(strip, len(common) - at)), dtype=np.float32)
+            m = np.zeros((n, min(strip, int(frequent.sum()) - at)), dtype=np.float32)
             m[row[first:last], col[first:last] - at] = 1
             parts.append(m)
-        out += parts[0] @ parts[1].T
+        out += (parts[0] @ parts[1].T).astype(np.int64)
     return out
 
 
 def _linked(left: list[np.ndarray], right: list[np.ndarray], bound: Fraction) -> np.ndarray:
-    """Whether shared / union >= bound, exactly. Counts stay below 2**24, where float32 is exact, or are intersected one by one."""
+    """Whether shared / union >= bound, in whole numbers."""
     sizes = [np.array([len(s) for s in side], dtype=np.int64) for side in (left, right)]
-    if len(left) * len(right) <= 4 or max(sizes[0].max(), sizes[1].max()) >= 1 << 24:
+    if len(left) * len(right) <= 4:
         shared = np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in right] for x in left], dtype=np.int64)
     else:
-        shared = _shared_counts(left, right).astype(np.int64)
+        shared = _shared_counts(left, right)
     union = sizes[0][:, None] + sizes[1][None, :] - shared
     return shared * bound.denominator >= union * bound.numerator
 
@@ -273,7 +285,7 @@ def _verify(bound: Fraction):
     return verify
 
 
-def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.9999, bucket_limit: int = 64, max_depth: int = 12, slack: float = 0.13, block_sets: int = 1500, block_grams: int = 1_500_000) -> DataFrame:
+def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.9999, bucket_limit: int = 64, max_depth: int = 12, cover: float = 0.6, slack: float = 0.13, block_sets: int = 1500, block_grams: int = 1_500_000) -> DataFrame:
     """One row per row of docs: doc_id, k1 and k2 (name of the row), class_id (least doc_id of its group of linked documents), n_links (other rows
     whose shingle sets have a Jaccard similarity of at least threshold, copies included), is_first (it names the first row of its class).
 
@@ -288,7 +300,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     sets = sets.select("set_id", "copies", "p.*", F.monotonically_increasing_id().alias("set_no"))
     sets = settle(sets, "sets")
 
-    component = settle(connected_components(candidate_links(sets, threshold, bucket_limit, max_depth, slack)), "candidates")
+    component = settle(connected_components(candidate_links(sets, threshold, bucket_limit, max_depth, cover, slack)), "candidates")
     named = component.withColumnRenamed("node", "set_no").join(sets.select("set_no", "copies", "k1", "k2", "n_grams"), "set_no")
     blocks = F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n_grams") / block_grams)).cast("int").alias("blocks")
     named = named.join(named.groupBy("component").agg(blocks), "component")
