@@ -285,7 +285,7 @@ def _verify(bound: Fraction):
     return verify
 
 
-def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.9999, bucket_limit: int = 64, max_depth: int = 12, cover: float = 0.6, slack: float = 0.13, block_sets: int = 1500, block_grams: int = 1_500_000) -> DataFrame:
+def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.9999, bucket_limit: int = 256, max_depth: int = 12, cover: float = 0.6, slack: float = 0.13, block_sets: int = 1500, block_grams: int = 1_500_000) -> DataFrame:
     """One row per row of docs: doc_id, k1 and k2 (name of the row), class_id (least doc_id of its group of linked documents), n_links (other rows
     whose shingle sets have a Jaccard similarity of at least threshold, copies included), is_first (it names the first row of its class).
 
