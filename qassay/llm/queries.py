@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qassay.llm import decontaminate, jaccard_join, line_dedup, quality_rules
+from qassay.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +121,15 @@ FROM counts
 )
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_definition("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def tokenizer_definition(name: str) -> str:
+    """A public tokenizer file, read on the driver; its size does not depend on the tables."""
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
