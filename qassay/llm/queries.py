@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qassay.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules
+from qassay.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules
+from qassay.llm.shared import crc32_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +134,10 @@ def tokenizer_definition(name: str) -> str:
     """A public tokenizer file, read on the driver; its size does not depend on the tables."""
     with open(public_tokenizers.path(name), encoding="utf-8") as f:
         return f.read()
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language_id.fit(docs.filter(crc32_mod("doc_id", 5) != 0))
+    return language_id.identify(docs, net).select("doc_id", (crc32_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
