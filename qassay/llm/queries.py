@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qassay.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules
+from qassay.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules, toxicity
 from qassay.llm.shared import crc32_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = language_id.fit(docs.filter(crc32_mod("doc_id", 5) != 0))
     return language_id.identify(docs, net).select("doc_id", (crc32_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = toxicity.fit(docs, labels.filter(crc32_mod("doc_id", 4) != 2))
+    scored = toxicity.score_toxicity(docs, net)
+    return scored.select("doc_id", (crc32_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -48,3 +48,13 @@ class Adam:
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def scatter_add(size: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Rows of values summed by their target row."""
+    out = np.zeros((size, *values.shape[1:]), dtype=values.dtype)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(at[order]) != 0))
+        out[at[order][starts]] = np.add.reduceat(values[order], starts, axis=0)
+    return out
