@@ -136,7 +136,7 @@ def shingle_frequency(texts: DataFrame, shared) -> dict[int, int]:
 
 
 def _match(docs: DataFrame, shared) -> DataFrame:
-    """Hit spans (merged, in words, last included) and occurring items of each (doc_id, text_key, text) row."""
+    """Hit spans (merged, in words, last included) and occurring items of each (doc_id, text_key, text[, row]) row."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -151,11 +151,14 @@ def _match(docs: DataFrame, shared) -> DataFrame:
                     n_words.append(len(own))
                     spans.append(_merge(start, index.lengths[window]))
                     found.append(sorted({index.items[w] for w in np.unique(window)}))
-            arrays = [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(found, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "n_words", "spans", "items"])
+            out = batch.remove_column(2)
+            made = {"n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, pa.list_(span)), "items": pa.array(found, pa.list_(pa.string()))}
+            for name, values in made.items():
+                out = out.append_column(name, values)
+            yield out
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(match, f"doc_id {kind}, text_key long, n_words long, spans {SPANS}, items array<string>")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+    return docs.mapInArrow(match, f"{kept}, n_words long, spans {SPANS}, items array<string>")
 
 
 def _merge(start: np.ndarray, length: np.ndarray) -> list[dict]:
@@ -176,15 +179,16 @@ def _index(rows: pd.DataFrame, window: int, shingle: int) -> WindowIndex:
     return WindowIndex(words, lengths, list(rows["item_id"]), shingle)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shingle: int = 5, block_windows: int = 200_000) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shingle: int = 5, block_windows: int = 200_000, keep_row: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_words, spans (merged runs of hit words, both ends included, ascending) and items (occurring item ids as
-    sorted distinct strings).
+    sorted distinct strings); with keep_row also row, a struct of all columns of docs.
 
     Null and empty texts have no words. Items with a null id are left out. Repeated rows keep one row each with equal results; an item text that
     stands under two ids gives both. An empty benchmark leaves every document clean, and other columns of either input are not looked at.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
+    row = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if keep_row else []
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"), *row)
     windows = item_windows(benchmark.filter(F.col(item_id).isNotNull()), window, item_id, item_text)
     blocks = max(1, -(-windows.count() // block_windows))
     block_of = F.pmod(F.xxhash64("words"), F.lit(blocks))
@@ -200,7 +204,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     if result is None:
         none = F.expr(f"cast(array() as {SPANS})")
         counted = own.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long"))
-        return counted.select("doc_id", "n_words", none.alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+        return counted.select("doc_id", *(["row"] if keep_row else []), "n_words", none.alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     return result.drop("text_key")
 
 
@@ -221,4 +225,4 @@ def _join_blocks(left: DataFrame, right: DataFrame) -> DataFrame:
                 merged.append(_merge(first, last - first + 1))
             yield batch.set_column(batch.schema.get_field_index("spans"), "spans", pa.array(merged, batch.schema.field("spans").type))
 
-    return joined.select("doc_id", "text_key", "n_words", spans.alias("spans"), items.alias("items")).mapInArrow(merge, left.schema)
+    return joined.select(*left.columns[:-2], spans.alias("spans"), items.alias("items")).mapInArrow(merge, left.schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qassay.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules, toxicity
+from qassay.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, pseudonyms, quality_rules, token_counts, toxicity, warc_revisits
 from qassay.llm.shared import crc32_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,51 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = toxicity.fit(docs, labels.filter(crc32_mod("doc_id", 4) != 2))
     scored = toxicity.score_toxicity(docs, net)
     return scored.select("doc_id", (crc32_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op10_pseudonyms")
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), key="a key of the test tables")
+    return found.select("doc_id", "text", F.size("found").cast("long").alias("n_replaced"))
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_definition("byte_bpe_50k.json"))
+
+
+@query(
+    "op9_warc_revisits",
+    r"""
+WITH urls AS (
+  SELECT page_id AS p, html, url,
+         regexp_replace(regexp_replace(lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^[^@]*@|:(80|443)?$', '', 'g'), '^(www|m)\.', '') AS host,
+         regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS path,
+         list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(ref|utm_[a-z]+)(=|$)'))) AS params
+  FROM pages
+),
+base AS (
+  SELECT p, '"' || substr(md5(html), 1, 16) || '"' AS tag,
+         CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS u
+  FROM urls
+),
+responses AS (SELECT u, max(p) AS p, p * 10 AS ts, max_by(tag, p) AS tag FROM base WHERE u IS NOT NULL GROUP BY u, p * 10),
+revisits AS (
+  SELECT p, u, p * 10 + 5 + (p % 7) * 1000 AS ts, CASE WHEN p % 5 = 0 THEN NULL WHEN p % 4 = 3 THEN '"stale"' ELSE tag END AS tag,
+         CASE WHEN p % 5 = 0 THEN 'd' || p END AS modified
+  FROM base
+),
+joined AS (
+  SELECT v.*, r.p AS rp, r.ts AS rts, r.tag AS rtag,
+         CASE WHEN r.p IS NULL THEN 'orphan' WHEN v.tag IS NOT NULL AND v.tag = r.tag OR v.tag IS NULL AND v.modified = 'd' || r.p THEN 'resolved' ELSE 'mismatch' END AS verdict
+  FROM revisits v ASOF LEFT JOIN responses r ON v.u = r.u AND v.ts > r.ts
+)
+SELECT p * 2 + 1 AS record_id, u AS canonical_url, rp * 2 AS matched_id, verdict,
+       CASE WHEN verdict = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: ' || rtag || chr(10) || 'server: origin' END AS headers
+FROM joined
+""",
+)
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_revisits.resolve_revisits(warc_revisits.page_captures(table(spark, sf_dir, "pages")))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"])))
+    return found.withColumn("headers", F.array_join(lines, "\n"))

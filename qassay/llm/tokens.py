@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 _BEYOND_LATIN = re.compile(r"[^\x00-ɏ‐-„…€]")
 
 
-def _byte_of() -> dict[str, int]:
+def byte_of() -> dict[str, int]:
     """Byte-level vocabularies write printable Latin-1 bytes as themselves and the others as the characters from U+0100 on, in order."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = [b for b in range(256) if b not in printable]
@@ -25,7 +25,7 @@ def _byte_of() -> dict[str, int]:
 
 class ByteTokenizer:
     def __init__(self, definition: str, pattern: str):
-        byte_of, model = _byte_of(), json.loads(definition)
+        byte_of, model = byte_of(), json.loads(definition)
         special = {t["content"] for t in model.get("added_tokens", [])}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
         self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from qassay.llm.shared import text_chunks
 from qassay.llm.training import Adam, labelled_sample, scatter_add, sigmoid
@@ -230,18 +231,25 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return net
 
 
-def score_toxicity(docs: DataFrame, net: GatedNet, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs' ids with the score of each text: doc_id, score (0 to 1), one row per row.
+def score_rows(docs: DataFrame, net: GatedNet, name: str, text: str = "text") -> DataFrame:
+    """docs with the score of each text as a further column of that name, which must be new; rows stay in their partitions.
 
-    A null or empty text is one window of padding and gets the score of that; without labelled rows of both kinds the score is the share seen, or
-    one half. Equal texts get equal scores; other columns are not looked at; an empty table gives an empty result.
+    A null or empty text is one window of padding and gets the score of that; without labelled rows of both kinds the score comes from the share of
+    labels alone. Equal texts get equal scores, and an empty table gives an empty result.
     """
+    if name in docs.columns:
+        raise ValueError(f"column {name} exists")
     shared = docs.sparkSession.sparkContext.broadcast(net)
+    at_text = docs.columns.index(text)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, chunk in text_chunks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(chunk)), pa.array(shared.value.score(chunk), pa.float64())], ["doc_id", "score"])
+            for at, chunk in text_chunks(batch.column(at_text)):
+                yield batch.slice(at, len(chunk)).append_column(name, pa.array(shared.value.score(chunk), pa.float64()))
+
+    return docs.mapInArrow(apply, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return own.mapInArrow(apply, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double")
+
+def score_toxicity(docs: DataFrame, net: GatedNet, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and score (0 to 1) of each row of docs, see score_rows; other columns are not looked at."""
+    return score_rows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), net, "score").select("doc_id", "score")
