@@ -25,9 +25,9 @@ def byte_of() -> dict[str, int]:
 
 class ByteTokenizer:
     def __init__(self, definition: str, pattern: str):
-        byte_of, model = byte_of(), json.loads(definition)
+        table, model = byte_of(), json.loads(definition)
         special = {t["content"] for t in model.get("added_tokens", [])}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+        ranks = {bytes(table[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
         self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.exact = Tokenizer.from_str(definition)
         self.exact.encode_special_tokens = True
