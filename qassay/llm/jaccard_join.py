@@ -226,7 +226,7 @@ def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     first_b = np.cumsum(in_b) - in_b
     rare = np.flatnonzero(~frequent[col_a])
     many = in_b[col_a[rare]]
-    cuts = np.searchsorted(np.cumsum(many), np.arange(0, many.sum(), 1 << 21), side="left")
+    cuts = np.searchsorted(np.cumsum(many), np.arange(0, max(1, many.sum()), 1 << 21), side="left")
     for at, end in zip(cuts, np.append(cuts[1:], len(rare)), strict=True):
         own, n = rare[at:end], many[at:end]
         other = np.repeat(first_b[col_a[own]] - np.cumsum(n) + n, n) + np.arange(n.sum())

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qassay.llm.shared import text_chunks
-from qassay.llm.training import Adam, labelled_sample
+from qassay.llm.training import Adam, collect_texts, draw
 
 WIDTHS = (2, 3, 4)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -133,7 +133,8 @@ class ByteNet:
 def fit(rows: DataFrame, lang: str = "lang", text: str = "text", per_language: int = 600, chars: int = 1500) -> ByteNet:
     """A network trained on at most per_language labelled rows of each language, chars code points of each. Null labels and texts are left out."""
     rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and length(text) > 0")
-    sample, counts = labelled_sample(rows, "lang", per_language, chars)
+    drawn, counts = draw(rows, "lang", per_language, "text")
+    sample = collect_texts(drawn, "lang", per_language, chars)
     net = ByteNet(sorted(counts))
     if counts:
         net.train([t.encode() for t in sample["text"]], np.searchsorted(net.languages, sample["lang"].to_numpy(dtype=object)))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from qassay.llm.shared import text_chunks
-from qassay.llm.training import Adam, labelled_sample, scatter_add, sigmoid
+from qassay.llm.training import Adam, collect_texts, draw, scatter_add, sigmoid
 from qassay.llm.words import mix
 
 _NOT_LETTERS = re.compile(r"[\W_]+")
@@ -194,8 +194,10 @@ class GatedNet:
 
     def summaries(self, texts: list[bytes]) -> np.ndarray:
         """Per text, over the probabilities of all its windows: mean, maximum, share above one half, logit of the mean, log of their number."""
+        if not texts:
+            return np.zeros((0, 5))
         tokens = [t.decode(errors="replace").lower().split() for t in texts]
-        sizes = np.array([len(t) for t in tokens])
+        sizes = np.array([len(t) for t in tokens], dtype=np.int64)
         counts = 1 + np.maximum(0, -(-(sizes - self.window) // self.stride))
         room = (counts - 1) * self.stride + self.window
         flat = np.zeros(room.sum(), dtype=np.int64)
@@ -220,10 +222,13 @@ class GatedNet:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1500, chars: int = 4000) -> GatedNet:
-    """A network trained on at most per_class labelled rows of each label (0 and 1), chars code points of each. Null labels and texts are left out."""
+    """A network trained on at most per_class labelled rows of each label (0 and 1), chars code points of each. Null labels and texts are left out;
+    of rows that share an id one is taken."""
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("toxic")).filter(F.col("toxic").isin(0, 1)).distinct()
+    drawn, counts = draw(known, "toxic", per_class, "_id")
     own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).filter("length(text) > 0")
-    sample, counts = labelled_sample(own.join(known, "_id"), "toxic", per_class, chars)
+    texts = own.join(F.broadcast(drawn), "_id").dropDuplicates(["_id", "toxic"])  # drawn is bounded by per_class, so no text is shuffled before
+    sample = collect_texts(texts, "toxic", per_class, chars)
     net = GatedNet()
     y = sample["toxic"].to_numpy(dtype=np.int64) if len(sample) else np.zeros(0, dtype=np.int64)
     weight = np.array([counts[c] / max(1, (y == c).sum()) for c in y.tolist()])

@@ -8,25 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(rows: DataFrame, label: str, per_class: int, chars: int, text: str = "text") -> tuple[pd.DataFrame, dict]:
-    """At most per_class rows of each label, drawn evenly by a hash of the text over all rows, and the count of all rows by label.
+_SPAN = 1 << 30
 
-    Each row gives a stretch of at most chars code points from a hashed place in its text. Classes are counted first; what reaches the driver is
-    bounded by per_class, chars and the number of labels.
-    """
+
+def draw(rows: DataFrame, label: str, per_class: int, key: str) -> tuple[DataFrame, dict]:
+    """About 1.3 * per_class rows of each label, drawn evenly by a hash of key over all rows, with that hash as _order; and all rows' counts by label."""
     counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
-    if not counts:
-        return pd.DataFrame({"text": [], label: []}), counts
-    order: Column = F.pmod(F.xxhash64(text, F.lit("sample")), F.lit(1 << 30))
-    bound = F.lit(0)
+    bound: Column = F.lit(0)
     for value, n in counts.items():
-        bound = F.when(F.col(label) == F.lit(value), F.lit(int(min(1.0, 1.3 * per_class / n + 20 / n) * (1 << 30)))).otherwise(bound)
-    room = F.greatest(F.length(text) - chars, F.lit(0))
-    start = (F.pmod(F.xxhash64(text, F.lit("place")), room + 1) + 1).cast("int")
-    drawn = rows.withColumn("_order", order).filter(F.col("_order") < bound)
-    drawn = drawn.select(F.substring(F.col(text), start, F.lit(chars)).alias("text"), label, "_order").toPandas()
-    drawn = drawn.sort_values(["_order", "text"], kind="stable").groupby(label, sort=True).head(per_class)
-    return drawn.drop(columns="_order").reset_index(drop=True), counts
+        bound = F.when(F.col(label) == F.lit(value), F.lit(int(min(1.0, 1.3 * per_class / n + 20 / n) * _SPAN))).otherwise(bound)
+    drawn = rows.withColumn("_order", F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(_SPAN)))
+    return drawn.filter(F.col("_order") < bound), counts
+
+
+def collect_texts(drawn: DataFrame, label: str, per_class: int, chars: int) -> pd.DataFrame:
+    """text and label of at most per_class drawn rows of each label: a stretch of at most chars code points from a hashed place in each text."""
+    room = F.greatest(F.length("text") - chars, F.lit(0))
+    start = (F.pmod(F.xxhash64("text", F.lit("place")), room + 1) + 1).cast("int")
+    found = drawn.select(F.substring(F.col("text"), start, F.lit(chars)).alias("text"), label, "_order").toPandas()
+    found = found.sort_values(["_order", "text"], kind="stable").groupby(label, sort=True).head(per_class)
+    return found.drop(columns="_order").reset_index(drop=True)
 
 
 class Adam:
