@@ -160,13 +160,13 @@ def slice_metrics(
     classified: DataFrame, results: DataFrame, scored: DataFrame, fields: Sequence[str], baseline: str,
     conditions: Sequence[str],
 ) -> DataFrame:
-    """Per slice value and condition: points, F1, exact match and win rate against the baseline.
+    """Per slice value and condition: points, F1, exact match and win rate against the baseline. Results with an error do not count.
 
     Slices are exploded only after the per-question facts are joined, so nothing is joined per slice.
     """
     ranks = F.col("ranks_by_condition")
     per_question = (
-        results.select("eval_id", "points_by_condition", "ranks_by_condition")
+        ranked_ok(results).select("eval_id", "points_by_condition", "ranks_by_condition")
         .withColumn("condition", F.explode(F.array(*[F.lit(c) for c in conditions])))
         .withColumn("points", F.try_element_at("points_by_condition", F.col("condition")))
         .withColumn("_r", F.try_element_at(ranks, F.col("condition")))

@@ -27,9 +27,9 @@ def nearest_rank(n: Column, p: float) -> Column:
 
 
 def timing_stats(times: DataFrame, by: str = "step", value: str = "duration_s") -> DataFrame:
-    """Sum, mean, range and nearest-rank percentiles per group."""
+    """Sum, mean, range and nearest-rank percentiles per group; rows without a value do not count."""
     marks = nth_keys(
-        times,
+        times.filter(F.col(value).isNotNull()),
         value,
         lambda n: {"p50": nearest_rank(n, 0.50), "p90": nearest_rank(n, 0.90)},
         group=[by],
@@ -50,7 +50,7 @@ def timing_stats(times: DataFrame, by: str = "step", value: str = "duration_s")
             hms(F.avg(v)).alias("mean_hms"),
             hms(F.sum(v)).alias("total_hms"),
         )
-        .join(ranks, by)
+        .join(ranks, by, "left")
     )
 
 

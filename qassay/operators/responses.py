@@ -39,14 +39,14 @@ def is_object(v: Column) -> Column:
 
 
 def _object_with(text: Column, key: str) -> Column:
-    """JSON object that has the key: the whole (fenced) text, else the widest {...} around the quoted key."""
+    """JSON object that has the key: the whole (fenced) text; only if that is not JSON, the widest {...} around the quoted key."""
 
     def piece(s: Column) -> Column:
         inner = parse_json(F.nullif(F.regexp_extract(s, f'(?s)\\{{.*"{key}".*\\}}', 0), F.lit("")))
         return bind(inner, lambda v: F.when(is_object(v), v))
 
     def find(s: Column) -> Column:
-        return bind(parse_json(s), lambda v: F.when(is_object(v) & has_field(v, key), v).otherwise(piece(s)))
+        return bind(parse_json(s), lambda v: F.when(v.isNotNull(), F.when(is_object(v) & has_field(v, key), v)).otherwise(piece(s)))
 
     return bind(strip_code_fence(text), find)
 

@@ -144,7 +144,7 @@ def swap_merge_ranks(t: Tables):
 
 _SLICES_SQL = f"""{_SCORED},
 cls AS (SELECT eval_id, unnest([{{'field': 'topic', 'value': document_topic}}, {{'field': 'size', 'value': CASE WHEN length(answer) < 300 THEN 'short' WHEN length(answer) < 900 THEN 'mid' ELSE 'unknown' END}}]) AS sl FROM v_qa),
-r AS (SELECT eval_id, condition, points, rank_value FROM v_rank),
+r AS (SELECT eval_id, condition, points, rank_value FROM v_rank WHERE error IS NULL),
 grid AS (SELECT q.eval_id, a.condition FROM (SELECT DISTINCT eval_id FROM r) q, (SELECT unnest(['candidate', 'baseline_a', 'baseline_b']) AS condition) a),
 facts AS (SELECT g.eval_id, g.condition, r.points, sc.token_f1, sc.exact_match,
   CASE WHEN g.condition <> 'baseline_a' THEN CASE WHEN r.rank_value < b.rank_value THEN 1.0::DOUBLE WHEN r.rank_value > b.rank_value THEN 0.0::DOUBLE WHEN r.rank_value = b.rank_value THEN 0.5::DOUBLE END END AS outcome

@@ -240,3 +240,42 @@ def test_ceiling_gap_degenerate(spark):
     assert got == {"base": (0.0, None), "cand": (1.0, None), "none": (None, None)}
     got = {r.condition: r.recovery_vs_baseline for r in judged.ceiling_gap(table, "REF_b", "cand").collect()}
     assert got == {"base": 0.5, "cand": 0.0, "none": None}
+
+
+def test_slice_metrics_leaves_out_failed_rankings(spark):
+    from qassay.operators.listwise import slice_metrics
+
+    results = spark.createDataFrame(
+        [("q1", {"a": 2.0}, {"a": 1.0}, None), ("q2", None, None, "parse_error")],
+        "eval_id string, points_by_condition map<string,double>, ranks_by_condition map<string,double>, error string",
+    )
+    classified = spark.createDataFrame([("q1", "t"), ("q2", "t")], "eval_id string, topic string")
+    scored = spark.createDataFrame([("q1", "a", 1.0, 1.0), ("q2", "a", 0.0, 0.0)], "eval_id string, condition string, token_f1 double, exact_match double")
+    got = slice_metrics(classified, results, scored, ["topic"], "b", ["a"]).first()
+    assert (got.n_questions, got.mean_token_f1) == (1, 1.0)
+
+
+def test_timing_stats_ignores_missing_values(spark):
+    from qassay.operators.resources import timing_stats
+
+    rows = [("s", float(i)) for i in range(1, 11)] + [("s", None)] * 10 + [("none", None)]
+    got = {r.step: r for r in timing_stats(spark.createDataFrame(rows, "step string, duration_s double")).collect()}
+    assert (got["s"].p50_s, got["s"].p90_s, got["none"].n, got["none"].p50_s) == (5.0, 9.0, 0, None)
+
+
+def test_listwise_answer_inside_a_list_is_no_ranking(spark):
+    from qassay.operators.responses import parse_listwise
+
+    rows = [({"A": "x", "B": "y"}, '[{"ranking": ["A", "B"]}]'), ({"A": "x", "B": "y"}, 'so {"ranking": ["A", "B"]} it is')]
+    got = parse_listwise(spark.createDataFrame(rows, "label_to_condition map<string,string>, raw string")).collect()
+    assert [r.error for r in got] == ["parse_error", None]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from qassay.session import ensure_checkpoint_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="local-cluster[2,1,1024]")
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
