@@ -108,17 +108,26 @@ def coverage_per_doc(hits: DataFrame, qa: DataFrame, exclude_tiers: tuple[str, .
     )
 
 
+def _covered() -> Column:
+    """Coverage before rounding, so that means are rounded once."""
+    return F.col("n_hits") / F.col("n_windows")
+
+
 def _share(per_doc_at_least: float) -> Column:
-    return F.bround(100.0 * F.count_if(F.col("coverage") >= per_doc_at_least) / F.count(F.lit(1)), 2)
+    return F.bround(100.0 * F.count_if(_covered() >= per_doc_at_least) / F.count(F.lit(1)), 2)
 
 
-def coverage_summary(per_doc: DataFrame) -> DataFrame:
-    """Mean and median coverage and shares of well covered documents; coverage has few distinct values."""
+def coverage_summary(per_doc: DataFrame, qa: DataFrame, exclude_tiers: tuple[str, ...] = ()) -> DataFrame:
+    """Mean and median coverage and shares of well covered documents; coverage has few distinct values.
+
+    Question/answer rows count if their tier is kept, also those of documents too short for windows.
+    """
+    kept = qa_rows(qa, exclude_tiers).agg(F.count(F.lit(1))).scalar()
     return per_doc.agg(
         F.count(F.lit(1)).alias("n_documents"),
-        F.sum("n_qa").alias("n_qa_rows"),
-        mean4(F.col("coverage")).alias("mean_coverage"),
-        F.bround(F.percentile("coverage", 0.5), 4).alias("median_coverage"),
+        F.first(kept).alias("n_qa_rows"),
+        mean4(_covered()).alias("mean_coverage"),
+        F.bround(F.percentile(_covered(), 0.5), 4).alias("median_coverage"),
         _share(0.8).alias("pct_ge_80"),
         _share(0.4).alias("pct_ge_40"),
     )
@@ -133,7 +142,7 @@ def coverage_by_position(hits: DataFrame) -> DataFrame:
 
 def coverage_by_tier(per_doc: DataFrame) -> DataFrame:
     return per_doc.groupBy("majority_tier").agg(
-        F.count(F.lit(1)).alias("n_documents"), mean4(F.col("coverage")).alias("mean_coverage")
+        F.count(F.lit(1)).alias("n_documents"), mean4(_covered()).alias("mean_coverage")
     )
 
 

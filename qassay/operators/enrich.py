@@ -106,25 +106,24 @@ def align_arms(
     fields: Sequence[str],
     keys: Sequence[str] = ("eval_id",),
     arm: str = "condition",
-    order: str | None = None,
+    order: str = "ord",
 ) -> DataFrame:
-    """One row per key with a struct column per arm (null where the arm has no row, last row wins).
+    """One row per key with a struct column per arm (null where the arm has no row; of repeats the last by ``order`` wins).
 
     One shuffle with map-side combine; the state per key is one row per arm however often a key repeats.
     """
     block = F.struct(*[F.col(f) for f in fields])
-    rank = F.col(order) if order else F.lit(0)
     named = [
-        F.max_by(F.when(F.col(arm) == a, block), F.when(F.col(arm) == a, rank)).alias(a) for a in arms
+        F.max_by(F.when(F.col(arm) == a, block), F.when(F.col(arm) == a, F.col(order))).alias(a) for a in arms
     ]
     return rows.filter(F.col(arm).isin(*arms)).groupBy(*keys).agg(*named)
 
 
 def paired_delta(
-    rows: DataFrame, challenger: str, baseline: str, value: str, keys: Sequence[str] = ("eval_id",)
+    rows: DataFrame, challenger: str, baseline: str, value: str, keys: Sequence[str] = ("eval_id",), order: str = "ord"
 ) -> DataFrame:
     """Value of both arms and their difference on keys that have both."""
-    wide = align_arms(rows.filter(F.col(value).isNotNull()), [challenger, baseline], [value], keys)
+    wide = align_arms(rows.filter(F.col(value).isNotNull()), [challenger, baseline], [value], keys, order=order)
     c, b = F.col(challenger)[value], F.col(baseline)[value]
     return wide.filter(c.isNotNull() & b.isNotNull()).select(
         *keys, c.alias("challenger_value"), b.alias("baseline_value"), (c - b).alias("delta")
@@ -155,9 +154,9 @@ def arm_sizes(rows: DataFrame, arms: Sequence[str], keys: Sequence[str] = ("eval
     )
 
 
-def swap_merge_scores(passes: DataFrame, key: str = "eval_id", answer: str = "answer") -> DataFrame:
+def swap_merge_scores(passes: DataFrame, key: str = "eval_id", answer: str = "answer", order: str = "ord") -> DataFrame:
     """Merge gold-first and prediction-first judgements of the same rows (column presentation)."""
-    wide = align_arms(passes, ["gold_first", "pred_first"], ["llm_judge", answer], [key], arm="presentation")
+    wide = align_arms(passes, ["gold_first", "pred_first"], ["llm_judge", answer], [key], arm="presentation", order=order)
     g, p = F.col("gold_first.llm_judge"), F.col("pred_first.llm_judge")
     g_bad, p_bad = _failed(F.col("gold_first")), _failed(F.col("pred_first"))
     both = ~g_bad & ~p_bad
@@ -191,18 +190,19 @@ def _failed(side: Column) -> Column:
 
 
 def rejudge_upsert(
-    main: DataFrame, redone: DataFrame, min_delta: float = 0.0, key: str = "eval_id", score: str = "gold_alignment"
+    main: DataFrame, redone: DataFrame, min_delta: float = 0.0, key: str = "eval_id", score: str = "gold_alignment", order: str = "ord"
 ) -> DataFrame:
-    """Rows with the new score where one exists, all of it only if the overall mean rises by more than min_delta."""
-    new = redone.select(key, F.col(score).alias("_new"), F.lit(True).alias("_hit"))
+    """Rows with every re-judged column put in where a new row exists, all of it only if the overall mean rises by more than min_delta.
+
+    Of several new rows of a key the last by ``order`` counts. Columns only ``main`` has, and ``order`` itself, stay.
+    """
+    fields = [c for c in main.columns if c in redone.columns and c not in (key, order)]
+    new = first_per_key(redone, [key], order, largest=True).select(key, F.struct(*fields).alias("_new"))
     joined = main.join(new, key, "left")
-    gain = joined.agg(F.avg(F.coalesce("_new", score)) - F.avg(score)).scalar()
-    use = F.col("_hit").isNotNull() & F.coalesce(gain > min_delta, F.lit(False))
-    return (
-        joined.withColumn("replaced", use)
-        .withColumn(score, F.when(use, F.col("_new")).otherwise(F.col(score)))
-        .drop("_new", "_hit")
-    )
+    gain = joined.agg(F.avg(F.coalesce(F.col("_new")[score], F.col(score))) - F.avg(score)).scalar()
+    use = F.col("_new").isNotNull() & F.coalesce(gain > min_delta, F.lit(False))
+    chosen = [F.when(use, F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in main.columns]
+    return joined.select(*chosen, use.alias("replaced"))
 
 
 def train_overlap(rows: DataFrame, train: DataFrame, key: str = "document_id") -> DataFrame:

@@ -14,7 +14,7 @@ from qassay.constants import (
 )
 from qassay.functions.judging import answer_type, is_refusal_gold, question_starter
 from qassay.functions.text import word_count
-from qassay.operators.ranking import value_at_rank
+from qassay.operators.ranking import first_per_key, value_at_rank
 from qassay.operators.scoring import mean4
 
 
@@ -158,9 +158,11 @@ def select_failures(wide: DataFrame, mode: str, low: float = 2.0) -> DataFrame:
     return wide.filter(test)
 
 
-def rejudge_compare(old: DataFrame, new: DataFrame, key: str = "eval_id", score: str = "gold_alignment") -> DataFrame:
-    """Changes of re-judged rows and the mean of the whole set with them put in."""
-    redone = new.select(key, F.col(score).cast("double").alias("_new")).filter(F.col("_new").isNotNull())
+def rejudge_compare(
+    old: DataFrame, new: DataFrame, key: str = "eval_id", score: str = "gold_alignment", order: str = "ord"
+) -> DataFrame:
+    """Changes of re-judged rows (the last of each key) and the mean of the whole set with them put in."""
+    redone = first_per_key(new, [key], order, largest=True).select(key, F.col(score).cast("double").alias("_new")).filter(F.col("_new").isNotNull())
     both = old.select(key, F.col(score).cast("double").alias("_old")).filter(F.col("_old").isNotNull()).join(
         redone, key, "left"
     )

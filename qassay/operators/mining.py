@@ -28,16 +28,18 @@ CASE_FIELDS = ("question", "gold", "pred", "context_preview", "grounding", "gold
 PREVIEW_CHARS = 800
 
 
-def prepare_arms(rows: DataFrame) -> DataFrame:
-    """Judged rows with the refusal class and the context cut to a preview."""
+def prepare_arms(rows: DataFrame, preview_chars: int = PREVIEW_CHARS) -> DataFrame:
+    """Judged rows with the refusal class and a preview of the context."""
     return rows.withColumn("refusal_class", refusal_class(F.col("pred"))).withColumn(
-        "context_preview", head(F.col("context"), PREVIEW_CHARS)
+        "context_preview", head(F.col("context"), preview_chars)
     )
 
 
-def wide_arms(rows: DataFrame, arms: Sequence[str], run: Sequence[str] = RUN) -> DataFrame:
-    """One row per run and question that every arm answered, one struct per arm."""
-    wide = align_arms(prepare_arms(rows), arms, CASE_FIELDS, [*run, "eval_id"])
+def wide_arms(
+    rows: DataFrame, arms: Sequence[str], run: Sequence[str] = RUN, order: str = "ord", preview_chars: int = PREVIEW_CHARS
+) -> DataFrame:
+    """One row per run and question that every arm answered, one struct per arm; of repeats the last by ``order`` wins."""
+    wide = align_arms(prepare_arms(rows, preview_chars), arms, CASE_FIELDS, [*run, "eval_id"], order=order)
     for a in arms:
         wide = wide.filter(F.col(a).isNotNull())
     return wide
@@ -171,6 +173,19 @@ def case_catalog(wide: DataFrame, candidate: str, baselines: Sequence[str], run:
     return cases.withColumn("case_id", F.concat_ws("/", *run, "pattern", "eval_id"))
 
 
+def with_context(
+    cases: DataFrame, rows: DataFrame, arms: Sequence[str], run: Sequence[str] = RUN, order: str = "ord"
+) -> DataFrame:
+    """Cases with the whole context (column context) next to its preview; only contexts of cases are shuffled.
+
+    The context is the first one that is not blank in the order of ``arms``, as for the preview.
+    """
+    keys = [*run, "eval_id"]
+    wanted = rows.select(*keys, "condition", "context", order).join(cases.select(*keys).distinct(), keys, "left_semi")
+    whole = align_arms(wanted, arms, ["context"], keys, order=order)
+    return cases.join(whole.select(*keys, _shared("context", arms).alias("context")), keys, "left")
+
+
 def catalog_summary(cases: DataFrame) -> DataFrame:
     """Case counts by model, dataset, pattern, run and overall, from one small table of counts."""
     counts = cases.groupBy("model", "dataset", "pattern").agg(F.count(F.lit(1)).alias("_n"))
@@ -185,19 +200,19 @@ def catalog_summary(cases: DataFrame) -> DataFrame:
     ).select("grouping", *[F.coalesce(d, F.lit("*")).alias(d) for d in dims], "n_cases")
 
 
-def grounded_rates(rows: DataFrame, arms: Sequence[str], ungrounded_max: float = 2.0) -> DataFrame:
+def grounded_rates(rows: DataFrame, arms: Sequence[str], ungrounded_max: float = 2.0, order: str = "ord") -> DataFrame:
     """Per model and arm, by dataset and pooled, over questions every arm answered.
 
     Each row is reduced to three small flags before the shuffle; the pooled rows are summed from the
     per-dataset counts.
     """
     flags = rows.select(
-        "model", "dataset", "eval_id", "condition",
+        "model", "dataset", "eval_id", "condition", order,
         is_refusal_gold(F.col("gold")).alias("unans"),
         is_invented(refusal_class(F.col("pred"))).alias("answered"),
         F.col("grounding").cast("double").alias("g"),
     )
-    wide = align_arms(flags, arms, ["unans", "answered", "g"], ["model", "dataset", "eval_id"])
+    wide = align_arms(flags, arms, ["unans", "answered", "g"], ["model", "dataset", "eval_id"], order=order)
     for a in arms:
         wide = wide.filter(F.col(a).isNotNull())
     long = wide.select(

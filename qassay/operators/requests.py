@@ -196,18 +196,29 @@ def sft_generator_rows(rows: DataFrame, system: str, template: str = GENERATE_TE
     )
 
 
-def request_ids(rows: DataFrame, raw_id: str = "chunk_id", order: str = "ord") -> DataFrame:
-    """Ids of [a-zA-Z0-9_-], at most 64 long; later rows with a taken id get their position as a suffix."""
+def request_ids(rows: DataFrame, raw_id: str = "chunk_id", order: str = "ord", fallback: str | None = None) -> DataFrame:
+    """Unique ids of [a-zA-Z0-9_-], at most 64 long; rows whose id is taken get their position as a suffix.
+
+    A position is in one suffixed id only, so a clash is one between a plain id and a suffixed id; the plain one then gets its
+    position too. Rows without a raw id use the ``fallback`` column, then their position. Joins are on unique ids or positions.
+    """
     indexed = with_row_index(rows, order)
-    clean = F.btrim(F.regexp_replace(F.coalesce(raw_id, F.lit("")), "[^a-zA-Z0-9_-]", "_"), F.lit("_"))
+    raw = [F.nullif(F.col(c), F.lit("")) for c in (raw_id, fallback) if c]
+    clean = F.btrim(F.regexp_replace(F.coalesce(*raw, F.lit("")), "[^a-zA-Z0-9_-]", "_"), F.lit("_"))
     fallback = F.concat(F.lit("row_"), F.col("row_index").cast("string"))
     base = indexed.withColumn("_id", head(F.coalesce(F.nullif(clean, F.lit("")), fallback), 64))
-    firsts = base.groupBy("_id").agg(F.min("row_index").alias("_first"))
-    suffixed = head(F.concat(head(F.col("_id"), 54), F.lit("_"), F.col("row_index").cast("string")), 64)
+    position = F.col("row_index").cast("string")
+    suffixed = F.concat(F.left("_id", F.least(F.lit(54), 63 - F.length(position))), F.lit("_"), position)
+    firsts = base.groupBy("_id").agg(F.min("row_index").alias("row_index"))
+    # First rows whose plain id looks like the suffixed id of a row (_by), whether or not that row needs it.
+    alike = firsts.join(base.select(suffixed.alias("_id"), F.col("row_index").alias("_by")), "_id").select("row_index", "_by")
+    plain = firsts.select("row_index").join(alike, "row_index", "left_anti")
+    taken = alike.join(plain.select(F.col("row_index").alias("_by")), "_by", "left_anti").select("row_index")
+    keep = firsts.select("row_index").join(taken, "row_index", "left_anti").withColumn("_keep", F.lit(True))
     return (
-        base.join(firsts, "_id")
-        .withColumn("request_id", F.when(F.col("row_index") == F.col("_first"), F.col("_id")).otherwise(suffixed))
-        .drop("_id", "_first")
+        base.join(keep, "row_index", "left")
+        .withColumn("request_id", F.when(F.col("_keep"), F.col("_id")).otherwise(suffixed))
+        .drop("_id", "_keep")
     )
 
 

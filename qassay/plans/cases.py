@@ -65,11 +65,11 @@ def coverage_per_doc(t: Tables):
 
 @query(
     "coverage_summary",
-    f"""WITH {_HITS_SQL} SELECT count(*) AS n_documents, CAST(sum(n_qa) AS BIGINT) AS n_qa_rows, {s.r('avg(coverage)')} AS mean_coverage, {s.r('median(coverage)')} AS median_coverage,
-  {s.r('100.0 * count(*) FILTER (WHERE coverage >= 0.8) / count(*)', 2)} AS pct_ge_80, {s.r('100.0 * count(*) FILTER (WHERE coverage >= 0.4) / count(*)', 2)} AS pct_ge_40 FROM per_doc""",
+    f"""WITH {_HITS_SQL} SELECT count(*) AS n_documents, (SELECT count(*) FROM qa) AS n_qa_rows, {s.r('avg(n_hits / n_windows)')} AS mean_coverage, {s.r('median(n_hits / n_windows)')} AS median_coverage,
+  {s.r('100.0 * count(*) FILTER (WHERE n_hits / n_windows >= 0.8) / count(*)', 2)} AS pct_ge_80, {s.r('100.0 * count(*) FILTER (WHERE n_hits / n_windows >= 0.4) / count(*)', 2)} AS pct_ge_40 FROM per_doc""",
 )
 def coverage_summary(t: Tables):
-    return coverage.coverage_summary(_per_doc(t))
+    return coverage.coverage_summary(_per_doc(t), _qa(t), exclude_tiers=("drop",))
 
 
 @query(
@@ -82,7 +82,7 @@ def coverage_by_position(t: Tables):
 
 @query(
     "coverage_by_tier",
-    f"WITH {_HITS_SQL} SELECT majority_tier, count(*) AS n_documents, {s.r('avg(coverage)')} AS mean_coverage FROM per_doc GROUP BY 1",
+    f"WITH {_HITS_SQL} SELECT majority_tier, count(*) AS n_documents, {s.r('avg(n_hits / n_windows)')} AS mean_coverage FROM per_doc GROUP BY 1",
 )
 def coverage_by_tier(t: Tables):
     return coverage.coverage_by_tier(_per_doc(t))
@@ -210,9 +210,17 @@ def _catalog(t: Tables):
     return mining.case_catalog(_wide(t), CANDIDATE, BASELINES)
 
 
-@query("case_catalog", f"WITH {_CASES_SQL} SELECT case_id, model, dataset, pattern, score_gap, candidate_gold_alignment FROM cases")
+@query(
+    "case_catalog",
+    f"""WITH {_CASES_SQL}
+SELECT case_id, model, dataset, pattern, score_gap, candidate_gold_alignment, length(context) AS context_chars, md5(context) AS context_md5
+FROM cases LEFT JOIN (SELECT model, dataset, eval_id, CASE WHEN {s.strip('context')} <> '' THEN context END AS context FROM v_pred WHERE condition = 'candidate')
+  USING (model, dataset, eval_id)""",
+)
 def case_catalog(t: Tables):
-    return _catalog(t).select("case_id", "model", "dataset", "pattern", "score_gap", "candidate_gold_alignment")
+    cases = mining.with_context(_catalog(t), t.pred, ARMS)
+    context = [F.length("context").cast("long").alias("context_chars"), F.md5("context").alias("context_md5")]
+    return cases.select("case_id", "model", "dataset", "pattern", "score_gap", "candidate_gold_alignment", *context)
 
 
 @query(

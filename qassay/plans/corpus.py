@@ -420,8 +420,10 @@ def sft_chat_rows(t: Tables):
 @query(
     "request_ids",
     f"""WITH p AS (SELECT eval_id, row_number() OVER (ORDER BY ord) - 1 AS row_index,
-  trim(regexp_replace('q/' || document_id || '?', '[^a-zA-Z0-9_-]', '_', 'g'), '_')[1:64] AS id FROM v_qa)
-SELECT eval_id, CASE WHEN row_index = min(row_index) OVER (PARTITION BY id) THEN id ELSE (id[1:54] || '_' || row_index)[1:64] END AS request_id FROM p""",
+  trim(regexp_replace('q/' || document_id || '?', '[^a-zA-Z0-9_-]', '_', 'g'), '_')[1:64] AS id FROM v_qa), f AS (SELECT id, min(row_index) AS row_index FROM p GROUP BY 1),
+a AS (SELECT f.row_index, p.row_index AS k FROM f JOIN p ON f.id = p.id[1:54] || '_' || p.row_index),
+taken AS (SELECT row_index FROM a WHERE k NOT IN (SELECT row_index FROM f) OR k IN (SELECT row_index FROM a))
+SELECT eval_id, CASE WHEN row_index IN (SELECT row_index FROM f) AND row_index NOT IN (SELECT row_index FROM taken) THEN id ELSE id[1:54] || '_' || row_index END AS request_id FROM p""",
 )
 def request_ids(t: Tables):
     rows = t.qa.select("eval_id", "ord", F.concat(F.lit("q/"), "document_id", F.lit("?")).alias("raw_id"))

@@ -395,7 +395,7 @@ def swap_merge_scores(t: Tables):
             F.when(~bad, "single").alias("quality_tier"), F.lit("v").alias("prompt_version"),
             F.when(bad, "parse_error").alias("error"),
         )
-        return t.qa.select("eval_id", "answer", F.lit(name).alias("presentation"), block.alias("llm_judge"))
+        return t.qa.select("eval_id", "answer", "ord", F.lit(name).alias("presentation"), block.alias("llm_judge"))
 
     first = judged_pass("gold_first", conv % 11 == 0, F.lit(0), conv % 2 == 0)
     second = judged_pass("pred_first", conv % 13 == 0, (turn % 3 == 0).cast("int"), turn % 4 == 0)
@@ -411,14 +411,14 @@ _REDONE = f"(SELECT eval_id, least(5, gold_alignment + CASE WHEN turn % 4 = 0 TH
 
 
 def _main(t: Tables):
-    return t.pred.filter("condition = 'candidate'").select("eval_id", "conv_id", "turn", "gold_alignment")
+    return t.pred.filter("condition = 'candidate'").select("eval_id", "conv_id", "turn", "gold_alignment", "ord")
 
 
 def _redone(t: Tables):
     """Failed rows judged again, some better and some worse."""
     step = F.when(F.col("turn") % 4 == 0, 2).otherwise(-1)
     new = F.least(F.lit(5.0), F.col("gold_alignment") + step)
-    return _main(t).filter("gold_alignment <= 2").select("eval_id", new.alias("gold_alignment"))
+    return _main(t).filter("gold_alignment <= 2").select("eval_id", "ord", new.alias("gold_alignment"))
 
 
 @query(

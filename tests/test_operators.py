@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qassay import schemas
-from qassay.operators import agreement, bootstrap, coverage, enrich, listwise, normalize, requests, responses, scoring
+from qassay.operators import agreement, bootstrap, coverage, enrich, judged, listwise, mining, normalize, requests, responses, scoring
 from qassay.sources import discovery, jsonl, markdown, shards
 from qassay.streaming.spans import start_span_rollup
 
@@ -61,7 +61,7 @@ def test_swap_merge_uses_the_pass_that_worked(spark):
     half = (5.0, 4.0, 3.0, 5.0, 5.0, True, " b", "high", "v", None)
     bad = (None,) * 9 + ("parse_error",)
     rows = [("1", "gold_first", ok), ("1", "pred_first", half), ("2", "gold_first", bad), ("2", "pred_first", half), ("3", "gold_first", ok)]
-    df = spark.createDataFrame(rows, f"eval_id string, presentation string, llm_judge struct<{block}>").withColumn("answer", F.lit("x"))
+    df = spark.createDataFrame(rows, f"eval_id string, presentation string, llm_judge struct<{block}>").withColumn("answer", F.lit("x")).withColumn("ord", F.lit(1))
     out = {r.eval_id: r for r in enrich.swap_merge_scores(df).collect()}
     one = out["1"].llm_judge
     assert (one.grounding, one.gold_alignment, one.refuse_expected, one.brief_reason, one.quality_tier) == (4.5, 2.5, True, "a | b", "high")
@@ -167,6 +167,37 @@ def test_request_ids_are_unique(spark):
     assert ids == ["a_b", "a_b_1", "row_2", "x" * 64, "x" * 54 + "_4"]
 
 
+def test_request_ids_of_plain_ids_that_look_suffixed(spark):
+    def ids(*raw):
+        df = spark.createDataFrame([(r, i) for i, r in enumerate(raw)], "chunk_id string, ord int")
+        return [r.request_id for r in requests.request_ids(df).orderBy("ord").collect()]
+
+    assert ids("x", "x", "x_1") == ["x", "x_1", "x_1_2"]
+    assert ids("x", "x_2", "x") == ["x", "x_2_1", "x_2"]
+    assert ids("x", "y", "y_1") == ["x", "y", "y_1"]
+    assert ids("x", "x", "x_1", "x_1_2") == ["x", "x_1", "x_1_2", "x_1_2_3"]
+    df = spark.createDataFrame([(None, "d", 0), ("", None, 1)], "chunk_id string, document_id string, ord int")
+    out = requests.request_ids(df, fallback="document_id").orderBy("ord").collect()
+    assert [r.request_id for r in out] == ["d", "row_1"]
+
+
+def test_upsert_takes_the_last_whole_row(spark):
+    main = spark.createDataFrame([("1", 1.0, "low", "m"), ("2", 3.0, "high", "m")], "eval_id string, gold_alignment double, tier string, own string")
+    redone = spark.createDataFrame([("1", 5.0, "high", 2), ("1", 2.0, "drop", 1)], "eval_id string, gold_alignment double, tier string, ord int")
+    out = [tuple(r) for r in enrich.rejudge_upsert(main, redone).orderBy("eval_id").collect()]
+    assert out == [("1", 5.0, "high", "m", True), ("2", 3.0, "high", "m", False)]
+    assert [tuple(r)[:2] for r in enrich.rejudge_upsert(main, redone, min_delta=9.0).orderBy("eval_id").collect()] == [("1", 1.0), ("2", 3.0)]
+    assert judged.rejudge_compare(main, redone).first().n_compared == 1
+
+
+def test_cases_get_the_whole_context_back(spark):
+    fields = "model string, dataset string, eval_id string, condition string, context string, ord int"
+    rows = spark.createDataFrame([("m", "d", "1", "a", "old", 1), ("m", "d", "1", "a", "x" * 2000, 2), ("m", "d", "1", "b", "other", 1), ("m", "d", "2", "a", "y", 1)], fields)
+    cases = spark.createDataFrame([("m", "d", "1", "refusal")], "model string, dataset string, eval_id string, pattern string")
+    out = mining.with_context(cases, rows, ["a", "b"]).collect()
+    assert [(r.eval_id, len(r.context)) for r in out] == [("1", 2000)]
+
+
 def test_normalisers(spark):
     df = spark.createDataFrame(
         [("1", "t", " c ", "q", ([" a ", ""],), "s"), ("2", "t", "c", "q", ([],), "s"), ("3", "t", " ", "q", (["a"],), "s"), ("4", "", "c", "q", None, "s")],
