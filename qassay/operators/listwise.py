@@ -18,7 +18,7 @@ def listwise_tasks(
     predictions: DataFrame,
     conditions: Sequence[str],
     require_all: bool = True,
-    order: str | None = None,
+    order: str = "ord",
 ) -> DataFrame:
     """Questions with the conditions that gave a valid prediction and those predictions, as parallel arrays."""
     conditions = sorted(conditions)

@@ -73,7 +73,7 @@ def test_listwise_labels_are_a_permutation(spark):
     questions = spark.createDataFrame([(str(i), "q", "c", "g") for i in range(20)], "eval_id string, question string, context string, gold string")
     preds = spark.createDataFrame(
         [(str(i), c, "nan" if (i == 0 and c == "b") else f"{c}{i}") for i in range(20) for c in "abc"], "eval_id string, condition string, pred string"
-    )
+    ).withColumn("ord", F.lit(1))
     tasks = listwise.listwise_tasks(questions, preds, ["c", "a", "b"])
     assert tasks.count() == 19
     for r in listwise.listwise_labels(tasks).collect():
