@@ -227,17 +227,18 @@ def suffix_family(name: Column) -> Column:
     )
 
 
-def match_baselines(conditions: DataFrame, name: str = "condition", role: str = "role") -> DataFrame:
-    """Each candidate with the first baseline of its family, or the only baseline there is.
+def match_baselines(conditions: DataFrame, name: str = "condition", role: str = "role", order: Sequence[str] = ("condition",)) -> DataFrame:
+    """Each candidate with the first baseline of its family by the order columns (the place on a leaderboard), or the only baseline there is.
 
     Conditions are model arms; both sides are a handful of rows.
     """
-    family = conditions.select(name, role, suffix_family(F.col(name)).alias("family"))
+    family = conditions.select(name, role, suffix_family(F.col(name)).alias("family"), F.struct(*order).alias("_place"))
     base = F.when(F.col(role) == "baseline", F.col(name))
+    first = F.min_by(base, F.when(base.isNotNull(), F.col("_place")))
     same, every = Window.partitionBy("family"), Window.partitionBy(F.lit(0))
     only = F.when(F.count(base).over(every) == 1, F.min(base).over(every))
     return (
-        family.withColumn("baseline", F.coalesce(F.min(base).over(same), only))
+        family.withColumn("baseline", F.coalesce(first.over(same), only))
         .filter((F.col(role) == "candidate") & F.col("baseline").isNotNull())
         .select(F.col(name).alias("challenger"), "family", "baseline")
     )

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qassay.functions import judging
-from qassay.operators import bootstrap, listwise, requests
+from qassay.operators import bootstrap, enrich, listwise, requests
 from qassay.plans import sqltext as s
 from qassay.plans.corpus import fill_sql
 from qassay.plans.evaluation import _SCORED, scored
 from qassay.plans.registry import query
 from qassay.plans.views import ARMS, Tables
 
-N_BOOT = 200
+N_BOOT = 2000
 
 # ---- tasks
 
@@ -222,17 +222,19 @@ def candidate_beats(t: Tables):
 # ---- bootstrap
 
 
-def _boot_sql(values: str, keys: str = "") -> str:
-    """Resampling of a relation (keys, v): draw j of replica b takes row md5(seed:b:j) mod n in value order."""
-    k, on = (f"{keys}, ", f"PARTITION BY {keys} ") if keys else ("", "")
-    using = f"USING ({keys}, u)" if keys else "USING (u)"
+def _interval(ci: DataFrame, values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """n and point, and whether the interval lies where the normal approximation puts it."""
+    v = F.col(value).cast("double")
+    wide = values.filter(v.isNotNull()).groupBy(*keys).agg(F.avg(v).alias("_m"), (F.stddev_pop(v) / F.sqrt(F.count(v))).alias("_se"))
+    slack = 0.5 * F.col("_se") + 1 / F.col("n")
+    fits = (F.abs(F.col("ci_low") - F.col("_m") + 1.96 * F.col("_se")) <= slack) & (F.abs(F.col("ci_high") - F.col("_m") - 1.96 * F.col("_se")) <= slack)
+    return ci.join(wide, keys).select(*[c for c in ci.columns if c not in ("ci_low", "ci_high", "excludes_zero")], F.bround("_se", 4).alias("se"), fits.alias("fits"))
+
+
+def _boot_sql(values: str, keys: str) -> str:
+    """Sizes, means, standard errors of a relation (keys, v); random intervals are held against them."""
     return f"""vals AS ({values}),
-idx AS (SELECT {k}v, row_number() OVER ({on}ORDER BY v) - 1 AS u FROM vals),
-sizes AS (SELECT {k}count(*) AS n, avg(v) AS m FROM vals {f'GROUP BY {keys}' if keys else ''}),
-draws AS (SELECT {k}b, ('0x' || md5('42:' || b || ':' || j)[1:8])::BIGINT % n AS u FROM (SELECT {k}n, b, unnest(range(n)) AS j FROM (SELECT {k}n, unnest(range({N_BOOT})) AS b FROM sizes))),
-boots AS (SELECT {k}b, avg(v) AS m FROM draws JOIN idx {using} GROUP BY {k}b),
-ends AS (SELECT {k}quantile_cont(m, {(1.0 - 0.95) / 2.0!r}::DOUBLE) AS lo, quantile_cont(m, {1.0 - (1.0 - 0.95) / 2.0!r}::DOUBLE) AS hi FROM boots {f'GROUP BY {keys}' if keys else ''}),
-ci AS (SELECT {k}n, {s.r('m')} AS point, {s.r('lo')} AS ci_low, {s.r('hi')} AS ci_high, lo > 0 OR hi < 0 AS excludes_zero FROM sizes JOIN ends {f'USING ({keys})' if keys else 'ON true'})"""
+ci AS (SELECT {keys}, count(*) AS n, {s.r('avg(v)')} AS point, {s.r('stddev_pop(v) / sqrt(count(*))')} AS se, TRUE AS fits FROM vals GROUP BY {keys})"""
 
 
 @query(
@@ -240,13 +242,17 @@ ci AS (SELECT {k}n, {s.r('m')} AS point, {s.r('lo')} AS ci_low, {s.r('hi')} AS c
     f"WITH {_boot_sql('SELECT condition, gold_alignment AS v FROM v_pred WHERE gold_alignment IS NOT NULL', 'condition')} SELECT * FROM ci",
 )
 def bootstrap_mean(t: Tables):
-    return bootstrap.bootstrap_mean(t.pred, "gold_alignment", ["condition"], n_boot=N_BOOT)
+    return _interval(bootstrap.bootstrap_mean(t.pred, "gold_alignment", ["condition"], n_boot=N_BOOT), t.pred, ["condition"], "gold_alignment")
 
 
-@query("bootstrap_mean_counts")
-def bootstrap_mean_counts(t: Tables):
-    """The same interval by multinomial counts over the histogram, the way large groups are done."""
-    return bootstrap.bootstrap_mean(t.pred, "gold_alignment", ["condition"], n_boot=10_000, draw_limit=0)
+@query(
+    "bootstrap_share",
+    f"""SELECT condition, count(*) AS n, {s.r('avg(CASE WHEN gold_alignment >= 3 THEN 1.0 ELSE 0.0 END)')} AS point, TRUE AS inside FROM v_pred WHERE gold_alignment IS NOT NULL GROUP BY 1""",
+)
+def bootstrap_share(t: Tables):
+    """Another statistic than the mean."""
+    ci = bootstrap.bootstrap_statistic(t.pred, "gold_alignment", ["condition"], n_boot=N_BOOT, statistic=bootstrap.share_at_least(3))
+    return ci.select("condition", "n", "point", F.col("point").between(F.col("ci_low"), F.col("ci_high")).alias("inside"))
 
 
 _PAIRS = [("candidate", "baseline_a"), ("candidate", "baseline_b"), ("baseline_b", "baseline_a")]
@@ -258,16 +264,18 @@ def _pairs(t: Tables) -> DataFrame:
 
 _DELTAS = """SELECT c.condition AS challenger, b.condition AS baseline, c.gold_alignment AS c_value, b.gold_alignment AS b_value, c.gold_alignment - b.gold_alignment AS v
 FROM v_pred c JOIN v_pred b USING (eval_id) WHERE c.gold_alignment IS NOT NULL AND b.gold_alignment IS NOT NULL
-  AND (c.condition, b.condition) IN (('candidate', 'baseline_a'), ('candidate', 'baseline_b'), ('baseline_b', 'baseline_a'))"""
+  AND (c.condition, b.condition) IN ({pairs})"""
+_ALL_PAIRS = _DELTAS.format(pairs="('candidate', 'baseline_a'), ('candidate', 'baseline_b'), ('baseline_b', 'baseline_a')")
 
 
 @query(
     "bootstrap_paired",
-    f"""WITH {_boot_sql(_DELTAS, 'challenger, baseline')} SELECT ci.*, {s.r('cm')} AS challenger_mean, {s.r('bm')} AS baseline_mean
+    f"""WITH {_boot_sql(_ALL_PAIRS, 'challenger, baseline')} SELECT ci.*, {s.r('cm')} AS challenger_mean, {s.r('bm')} AS baseline_mean
 FROM ci JOIN (SELECT challenger, baseline, avg(c_value) AS cm, avg(b_value) AS bm FROM vals GROUP BY 1, 2) USING (challenger, baseline)""",
 )
 def bootstrap_paired(t: Tables):
-    return bootstrap.bootstrap_paired(t.pred, _pairs(t), "gold_alignment", n_boot=N_BOOT)
+    ci = bootstrap.bootstrap_paired(t.pred, _pairs(t), "gold_alignment", n_boot=N_BOOT)
+    return _interval(ci, bootstrap.pair_deltas(t.pred, _pairs(t), "gold_alignment"), ["challenger", "baseline"], "delta")
 
 
 @query(
@@ -276,15 +284,24 @@ def bootstrap_paired(t: Tables):
 SELECT ci.*, wins, losses, ties FROM ci JOIN (SELECT condition, {_WINS} FROM o GROUP BY 1) USING (condition)""",
 )
 def bootstrap_win_rate(t: Tables):
-    return bootstrap.bootstrap_outcomes(listwise.outcomes(t.rank, "baseline_a"), n_boot=N_BOOT)
+    outcomes = listwise.outcomes(t.rank, "baseline_a")
+    return _interval(bootstrap.bootstrap_outcomes(outcomes, n_boot=N_BOOT), outcomes, ["condition"], "outcome")
+
+
+_MATCHED = _DELTAS.format(
+    pairs="SELECT 'candidate', condition FROM v_pred WHERE condition <> 'candidate' AND gold_alignment IS NOT NULL GROUP BY 2 ORDER BY avg(gold_alignment) DESC, condition LIMIT 1"
+)
 
 
 @query(
     "bootstrap_leaderboard",
     f"""WITH {_boot_sql(f'''SELECT 'arm' AS kind, condition AS name, gold_alignment AS v FROM v_pred WHERE gold_alignment IS NOT NULL
-UNION ALL SELECT 'pair', challenger || '_vs_' || baseline, v FROM ({_DELTAS})''', 'kind, name')} SELECT * FROM ci""",
+UNION ALL SELECT 'pair', challenger || '_vs_' || baseline, v FROM ({_MATCHED})''', 'kind, name')} SELECT * FROM ci""",
 )
 def bootstrap_leaderboard(t: Tables):
-    return bootstrap.bootstrap_leaderboard(t.pred, _pairs(t), "gold_alignment", n_boot=N_BOOT)
-
-
+    """Pairs come from the arms themselves: the candidate meets the best baseline of its family."""
+    role = F.when(F.col("condition") == "candidate", "candidate").otherwise("baseline").alias("role")
+    place = (-F.avg("gold_alignment")).alias("place")
+    pairs = enrich.match_baselines(t.pred.groupBy("condition", role).agg(place).filter("place IS NOT NULL"), order=["place", "condition"])
+    values = bootstrap.leaderboard_values(t.pred, pairs, "gold_alignment")
+    return _interval(bootstrap.bootstrap_leaderboard(t.pred, pairs, "gold_alignment", n_boot=N_BOOT), values, ["kind", "name"], "_v")

@@ -92,23 +92,40 @@ def test_win_rate_counts_add_up(spark):
     assert (r.n, r.wins, r.losses, r.ties, r.win_rate) == (2, 1, 0, 1, 0.5)
 
 
-def test_bootstrap_ways_agree(spark):
+def test_bootstrap_against_normal_approximation(spark):
     rng = np.random.default_rng(3)
-    values = [(("a" if i % 3 else "b"), float(v)) for i, v in enumerate(rng.integers(1, 6, 600))]
-    df = spark.createDataFrame(values, "g string, v double")
-    draws = {r.g: r for r in bootstrap.bootstrap_mean(df, "v", ["g"], n_boot=400).collect()}
-    counts = {r.g: r for r in bootstrap.bootstrap_mean(df, "v", ["g"], n_boot=4000, draw_limit=0).collect()}
-    for g in "ab":
-        x = np.array([v for k, v in values if k == g])
+    values = [(("a" if i % 3 else None), float(v)) for i, v in enumerate(rng.integers(1, 6, 600))]
+    df = spark.createDataFrame([*values, ("a", None)], "g string, v double")
+    got = {r.g: r for r in bootstrap.bootstrap_mean(df, "v", ["g"], n_boot=2000).collect()}
+    for g in ("a", None):
+        x, r = np.array([v for k, v in values if k == g]), got[g]
         half = 1.96 * x.std() / np.sqrt(len(x))
-        for r in (draws[g], counts[g]):
-            assert r.n == len(x) and abs(r.point - x.mean()) < 1e-4
-            assert abs((r.ci_high - r.ci_low) / 2 - half) < 0.25 * half
-            assert r.excludes_zero
+        assert r.n == len(x) and abs(r.point - x.mean()) < 1e-4
+        assert abs((r.ci_high - r.ci_low) / 2 - half) < 0.15 * half
+        assert r.excludes_zero
     constant = bootstrap.bootstrap_mean(df.withColumn("v", F.lit(0.0)), "v", n_boot=20).first()
     assert (constant.ci_low, constant.ci_high, constant.excludes_zero) == (0.0, 0.0, False)
 
 
+def test_bootstrap_of_continuous_values_over_several_chunks(spark):
+    df = spark.range(20_000).select((F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003).alias("v"))
+    x = np.array([r.v for r in df.collect()])
+    half = 1.96 * x.std() / np.sqrt(len(x))
+    r = bootstrap.bootstrap_mean(df, "v", n_boot=600).first()
+    assert r.n == 20_000 and abs(r.point - x.mean()) < 1e-4 and abs((r.ci_high - r.ci_low) / 2 - half) < 0.2 * half
+    std = bootstrap.bootstrap_statistic(df, "v", n_boot=100, statistic=bootstrap.STD).first()
+    assert abs(std.point - x.std()) < 1e-4 and std.ci_low < x.std() < std.ci_high
+
+
+def test_bootstrap_of_some_values_does_not_depend_on_partitions_or_other_groups(spark):
+    df = spark.range(120_000).select((F.col("id") % 7).cast("double").alias("v"), F.lit("a").alias("g"))
+    more = df.unionByName(spark.range(50).select(F.col("id").cast("double").alias("v"), F.lit("b").alias("g"))).repartition(13)
+    one = bootstrap.bootstrap_mean(df, "v", ["g"], n_boot=300).first()
+    assert one == bootstrap.bootstrap_mean(more, "v", ["g"], n_boot=300).filter("g = 'a'").first()
+    smaller = bootstrap.bootstrap_mean(df.filter("v < 5 or rand(1) < 0.2"), "v", ["g"], n_boot=300).first()
+    assert smaller.n < 100_000 < one.n and abs(smaller.ci_high - smaller.ci_low) < 2 * (one.ci_high - one.ci_low)
+
+
 def test_agreement_degenerate_cases(spark):
     same = spark.createDataFrame([("h", "h")] * 4, "a string, b string")
     assert agreement.cohen_kappa(same, "a", "b").first().kappa == 1.0
