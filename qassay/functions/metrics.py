@@ -17,7 +17,9 @@ def exact_match(pred: Column, gold: Column) -> Column:
 
 
 def shared_tokens(left: Column, right: Column) -> Column:
-    """Size of the multiset intersection of two token arrays: both sorted, then merged in one pass."""
+    """Size of the multiset intersection of two token arrays.
+
+    Where one side repeats no token, it is the size of the set intersection; else both are sorted and merged in one pass."""
 
     def merge(p: Column, g: Column) -> Column:
         def step(s: Column, _: Column) -> Column:
@@ -31,10 +33,16 @@ def shared_tokens(left: Column, right: Column) -> Column:
             )
 
         steps = F.sequence(F.lit(1), F.size(p) + F.size(g))
-        walked = F.aggregate(steps, _cursor(F.lit(0), F.lit(0), F.lit(0)), step, lambda s: s["n"])
-        return F.when((F.size(p) == 0) | (F.size(g) == 0), F.lit(0)).otherwise(walked)
+        return F.aggregate(steps, _cursor(F.lit(0), F.lit(0), F.lit(0)), step, lambda s: s["n"])
+
+    def no_repeats(x: Column) -> Column:
+        return F.size(F.array_distinct(x)) == F.size(x)
+
+    def count(p: Column, g: Column, both: Column) -> Column:
+        walked = bind(F.sort_array(p), lambda a: bind(F.sort_array(g), lambda b: merge(a, b)))
+        return F.when(both == 0, F.lit(0)).when(no_repeats(p) | no_repeats(g), both).otherwise(walked)
 
-    return bind(F.sort_array(left), lambda p: bind(F.sort_array(right), lambda g: merge(p, g)))
+    return bind(left, lambda p: bind(right, lambda g: bind(F.size(F.array_intersect(p, g)), lambda n: count(p, g, n))))
 
 
 def _cursor(i: Column, j: Column, n: Column) -> Column:

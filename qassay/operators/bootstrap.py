@@ -117,7 +117,7 @@ def bootstrap_statistic(
     def schema(*fields: tuple[str, T.DataType]) -> T.StructType:
         return T.StructType([T.StructField("_k", key_type), *[T.StructField(n, t) for n, t in fields]])
 
-    def finish(frame: DataFrame) -> Column:
+    def finish() -> Column:
         return statistic.finish({"n": F.col("n"), **{t: F.col(n) for t, n in zip(statistic.terms, names, strict=True)}})
 
     own = [F.expr(f"aggregate(_bins, 0D, (a, b) -> a + b._c * b._t{i})") for i in range(len(names))]
@@ -137,14 +137,14 @@ def bootstrap_statistic(
     )
     boots = sums.groupBy("_k", "_boot").agg(F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in names])
     alpha = (1.0 - ci_level) / 2.0
-    ends = boots.select("_k", finish(boots).alias("_stat")).groupBy("_k").agg(
+    ends = boots.select("_k", finish().alias("_stat")).groupBy("_k").agg(
         F.percentile("_stat", F.array(F.lit(alpha), F.lit(1.0 - alpha))).alias("_q")
     )
     low, high = F.col("_q")[0], F.col("_q")[1]
     out = totals.join(ends, "_k").select(
         "_k.*",
         "n",
-        F.bround(finish(totals), 4).alias("point"),
+        F.bround(finish(), 4).alias("point"),
         F.bround(low, 4).alias("ci_low"),
         F.bround(high, 4).alias("ci_high"),
         ((low > 0) | (high < 0)).alias("excludes_zero"),
