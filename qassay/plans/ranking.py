@@ -245,6 +245,15 @@ def bootstrap_mean(t: Tables):
     return _interval(bootstrap.bootstrap_mean(t.pred, "gold_alignment", ["condition"], n_boot=N_BOOT), t.pred, ["condition"], "gold_alignment")
 
 
+@query(
+    "bootstrap_mean_counts",
+    f"WITH {_boot_sql('SELECT condition, gold_alignment AS v FROM v_pred WHERE gold_alignment IS NOT NULL', 'condition')} SELECT * FROM ci",
+)
+def bootstrap_mean_counts(t: Tables):
+    """The same interval with the default number of replicas."""
+    return _interval(bootstrap.bootstrap_mean(t.pred, "gold_alignment", ["condition"]), t.pred, ["condition"], "gold_alignment")
+
+
 @query(
     "bootstrap_share",
     f"""SELECT condition, count(*) AS n, {s.r('avg(CASE WHEN gold_alignment >= 3 THEN 1.0 ELSE 0.0 END)')} AS point, TRUE AS inside FROM v_pred WHERE gold_alignment IS NOT NULL GROUP BY 1""",
