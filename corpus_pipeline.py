@@ -14,13 +14,11 @@ from qassay.llm import decontaminate, jaccard_join, line_dedup, packing, toxicit
 from qassay.llm.queries import table, tokenizer_definition
 from qassay.llm.shared import row_keys, settle
 
-TOXIC_FROM = 0.5
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score below TOXIC_FROM; the model learns from all rows of labels that have a text here."""
+    """Documents with a score below toxicity.TOXIC_FROM, as in op1_toxicity; the model learns from all rows of labels that have a text here."""
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_rows(docs, net, "_toxicity").filter(F.col("_toxicity") < TOXIC_FROM).drop("_toxicity")
+    return toxicity.score_rows(docs, net, "_toxicity").filter(F.col("_toxicity") < toxicity.TOXIC_FROM).drop("_toxicity")
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ from qassay.llm.words import mix
 
 _NOT_LETTERS = re.compile(r"[\W_]+")
 GRAMS = (2, 3, 4, 5)
+#: A text counts as toxic from this score on. Scores follow the true share of the labels (about one in nine), so weak cases lie well below one half.
+TOXIC_FROM = 0.3
 
 
 class GatedNet:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from qassay.llm import queries
+from qassay.llm.shared import crc32_mod
 
 SF_DIR, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
@@ -44,6 +45,20 @@ def test_toxicity_on_held_out_rows(spark):
     assert (rank[toxic].sum() - n * (n + 1) / 2) / (n * (len(got) - n)) > 0.93
 
 
+def test_toxicity_stage_on_held_out_rows(spark, tmp_path):
+    """What the stage keeps and loses of rows whose labels it never saw, and that it agrees with the verdict of op1_toxicity."""
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
+    labels.filter(crc32_mod("doc_id", 4) != 2).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).select("doc_id").collect()}
+    verdicts = queries.QUERIES["op1_toxicity"](spark, LARGER)
+    assert kept == {r.doc_id for r in verdicts.filter("predicted = 0").collect()}
+    held_out = verdicts.filter("held_out").join(labels, "doc_id").toPandas()
+    toxic, left = held_out.toxic == 1, held_out.doc_id.isin(kept)
+    assert (toxic & left).sum() <= 0.14 * toxic.sum()
+    assert (~toxic & ~left).sum() <= 0.02 * (~toxic).sum()
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     ids, columns = {r.doc_id for r in docs.collect()}, docs.columns
