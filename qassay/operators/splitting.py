@@ -167,14 +167,21 @@ def split_corpora(
     rows: DataFrame, corpora: Sequence[str], corpus: str = "corpus", val_ratio: float = 0.1, seed: int = 42,
     ood_corpus: str | None = None,
 ) -> DataFrame:
-    """Grouped split of several corpora in one pass, the i-th with seed + i; adds ood_test for one corpus's val."""
+    """Grouped split of several corpora in one pass, the i-th with seed + i; adds ood_test for one corpus's val.
+
+    Rows of a corpus that is not listed, or of none, stay with a null split."""
     seeds = F.create_map(*[x for i, c in enumerate(corpora) for x in (F.lit(c), F.lit(seed + i))])
     keyed = (
-        rows.filter(F.col(corpus).isin(*corpora))
-        .withColumn("split_key", row_document_id())
-        .withColumn("_k", F.sha2(F.concat_ws(":", seeds[F.col(corpus)].cast("string"), "split_key"), 256))
+        rows.withColumn("split_key", row_document_id())
+        .withColumn(
+            "_k",
+            F.when(
+                F.col(corpus).isin(*corpora),
+                F.sha2(F.concat_ws(":", seeds[F.col(corpus)].cast("string"), "split_key"), 256),
+            ),
+        )
     )
-    units = keyed.select(corpus, "_k").distinct()
+    units = keyed.filter("_k IS NOT NULL").select(corpus, "_k").distinct()
     cuts = nth_keys(units, "_k", lambda n: {"cut": _group_cut(n, val_ratio)}, group=[corpus]).select(
         corpus, F.col("_k").alias("_cut")
     )
@@ -183,7 +190,7 @@ def split_corpora(
     in_val = F.coalesce(F.col("_k") <= F.col("_cut"), F.lit(False))
     ood = in_val & F.lit(ood_corpus is not None) & (F.col(corpus) == F.lit(ood_corpus or ""))
     return (
-        out.withColumn("split", F.when(in_val, "val").otherwise("train"))
+        out.withColumn("split", F.when(in_val, "val").when(F.col("_k").isNotNull(), "train"))
         .withColumn("ood_test", ood)
         .drop("_k", "_cut")
     )

@@ -167,6 +167,36 @@ def resolve_fields(t: Tables):
     )
 
 
+_BLANK_PRED = f"CASE WHEN {h_sql('conv_id', 'turn', 6)} = 0 THEN '  ' ELSE pred END"
+_BLANK_QUESTION = f"CASE WHEN {h_sql('conv_id', 'turn', 10)} = 0 THEN '  ' ELSE question END"
+
+
+def _first_sql(*texts: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif({s.strip(x)}, '')" for x in texts) + ", '')"
+
+
+@query(
+    "resolve_fields_all",
+    f"""SELECT CASE WHEN conv_id % 2 = 0 THEN eval_id ELSE 'c' || eval_id END AS row_key,
+  {_first_sql('p', 'q')} AS pred, {_first_sql('g', 'q')} AS gold, {_first_sql('p', 'q')} AS judged_text
+FROM (SELECT *, CASE WHEN turn % 4 = 0 THEN {_BLANK_PRED} END AS p, {_BLANK_QUESTION} AS q,
+  CASE WHEN conv_id % 5 <> 0 THEN gold END AS g FROM v_pred)""",
+)
+def resolve_fields_all(t: Tables):
+    """All rows, some with blank predictions or questions."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    question = F.when(h(conv, turn, 10) == 0, "  ").otherwise(F.col("question"))
+    rows = t.pred.select(
+        F.when(conv % 2 == 0, F.col("eval_id")).otherwise(" ").alias("eval_id"),
+        F.concat(F.lit("c"), "eval_id").alias("chunk_id"),
+        F.when(turn % 4 == 0, F.when(h(conv, turn, 6) == 0, "  ").otherwise(F.col("pred"))).alias("pred"),
+        question.alias("prediction"),
+        F.when(conv % 5 != 0, F.col("gold")).alias("gold"),
+        question.alias("answer"),
+    )
+    return normalize.resolve_fields(rows)
+
+
 @query(
     "clean_markdown",
     """SELECT document_id, md5(replace(replace(x, chr(13), ''), chr(10) || chr(10) || chr(10), chr(10) || chr(10))) AS text_md5
@@ -371,6 +401,21 @@ def judge_requests(t: Tables):
     )
 
 
+@query(
+    "judge_requests_all_arms",
+    f"""SELECT eval_id, condition, presentation, md5(CASE WHEN presentation = 'gold_first'
+  THEN {fill_sql(requests.GOLD_FIRST_TEMPLATE, context='context', question='question', gold='gold', answer='pred')}
+  ELSE {fill_sql(requests.PRED_FIRST_TEMPLATE, context='context', question='question', gold='gold', answer='pred')} END) AS prompt_md5
+FROM (SELECT *, unnest(['gold_first', 'pred_first']) AS presentation FROM v_pred)""",
+)
+def judge_requests_all_arms(t: Tables):
+    """Every arm, with whole contexts."""
+    rows = t.pred.withColumn("answer", F.col("pred"))
+    return requests.judge_requests(rows, max_context_chars=0, both_orders=True).select(
+        "eval_id", "condition", "presentation", F.md5("prompt").alias("prompt_md5")
+    )
+
+
 @query(
     "answer_requests",
     f"""SELECT eval_id, 'half' AS mode, md5('Context:' || chr(10) || {s.strip('context')}[1:CAST(floor(length({s.strip('context')}) * 0.5) AS BIGINT)]

@@ -263,13 +263,7 @@ def coerce_scores(t: Tables):
     return rows.select("doc_id", "kind", F.coalesce(score, F.lit(-1)).alias("score"))
 
 
-@query(
-    "parse_listwise",
-    f"""SELECT eval_id, condition, rank_value, 4 - rank_value AS points FROM (
-  SELECT eval_id, conv_id, turn, unnest(['candidate', 'baseline_a', 'baseline_b']) AS condition, unnest(CASE WHEN conv_id % 2 = 0 THEN [1.0::DOUBLE, 2, 3] ELSE [2.0::DOUBLE, 3, 1] END) AS rank_value FROM v_qa)
-WHERE {h_sql('conv_id', 'turn', 5)} < 3""",
-)
-def parse_listwise(t: Tables):
+def _parsed_rankings(t: Tables) -> DataFrame:
     kind = h(F.col("conv_id"), F.col("turn"), 5)
     order = F.when(F.col("conv_id") % 2 == 0, '["A", " B", "C"]').otherwise('["C", "A", "B"]')
     good = F.concat(F.lit('{"ranking": '), order, F.lit(', "brief_reason": "x"}'))
@@ -279,12 +273,35 @@ def parse_listwise(t: Tables):
         .when(kind == 3, '{"ranking": ["A", "A", "B"]}').otherwise('{"ranking": ["A", "B"]}')
     )
     labels = F.create_map(*[F.lit(x) for kv in zip("ABC", ARMS) for x in kv])
-    rows = responses.parse_listwise(t.qa.select("eval_id", labels.alias("label_to_condition"), raw.alias("raw")))
-    return rows.filter("error IS NULL").select(
+    return responses.parse_listwise(t.qa.select("eval_id", labels.alias("label_to_condition"), raw.alias("raw")))
+
+
+@query(
+    "parse_listwise",
+    f"""SELECT eval_id, condition, rank_value, 4 - rank_value AS points FROM (
+  SELECT eval_id, conv_id, turn, unnest(['candidate', 'baseline_a', 'baseline_b']) AS condition, unnest(CASE WHEN conv_id % 2 = 0 THEN [1.0::DOUBLE, 2, 3] ELSE [2.0::DOUBLE, 3, 1] END) AS rank_value FROM v_qa)
+WHERE {h_sql('conv_id', 'turn', 5)} < 3""",
+)
+def parse_listwise(t: Tables):
+    return _parsed_rankings(t).filter("error IS NULL").select(
         "eval_id", "points_by_condition", F.explode("ranks_by_condition").alias("condition", "rank_value")
     ).select("eval_id", "condition", "rank_value", F.try_element_at("points_by_condition", F.col("condition")).alias("points"))
 
 
+@query(
+    "parse_listwise_all",
+    f"""SELECT eval_id, NULL AS error, condition, rank_value, 4 - rank_value AS points FROM (
+  SELECT eval_id, conv_id, turn, unnest(['candidate', 'baseline_a', 'baseline_b']) AS condition, unnest(CASE WHEN conv_id % 2 = 0 THEN [1.0::DOUBLE, 2, 3] ELSE [2.0::DOUBLE, 3, 1] END) AS rank_value FROM v_qa)
+WHERE {h_sql('conv_id', 'turn', 5)} < 3
+UNION ALL SELECT eval_id, 'parse_error', NULL, NULL, NULL FROM v_qa WHERE {h_sql('conv_id', 'turn', 5)} >= 3""",
+)
+def parse_listwise_all(t: Tables):
+    """Every response: its ranks, or one row with its error."""
+    return _parsed_rankings(t).select(
+        "eval_id", "error", "points_by_condition", F.explode_outer("ranks_by_condition").alias("condition", "rank_value")
+    ).select("eval_id", "error", "condition", "rank_value", F.try_element_at("points_by_condition", F.col("condition")).alias("points"))
+
+
 @query(
     "parse_classes",
     f"""SELECT eval_id, CASE WHEN k = 3 THEN 'failed' ELSE 'how' END AS question_type, CASE WHEN k = 3 THEN 'failed' WHEN k = 1 THEN 'multi_span' ELSE 'paraphrase' END AS answer_evidence,

@@ -47,3 +47,20 @@ def test_query_matches_sql(spark, name):
     assert cols == want_cols
     as_float = [[r.replace(".0,", ",").replace(".0]", "]") for r in x] for x in (rows, want_rows)]
     assert as_float[0] == as_float[1]
+
+
+WHOLE = ["judge_requests_all_arms", "parse_listwise_all", "resolve_fields_all"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_query_matches_sql(spark, name):
+    test_query_matches_sql(spark, name)
+
+
+def test_whole_queries_keep_every_row(spark):
+    n = entry_module.queries()["judge_requests_all_arms"](spark, SF_DIR).groupBy("condition").count().collect()
+    assert {r.condition for r in n} == {"candidate", "baseline_a", "baseline_b"} and len({r["count"] for r in n}) == 1
+    ranked = entry_module.queries()["parse_listwise_all"](spark, SF_DIR)
+    assert ranked.filter("error IS NOT NULL AND condition IS NULL").count() > 0
+    assert ranked.select("eval_id").distinct().count() * 6 == sum(r["count"] for r in n)
+    assert entry_module.queries()["resolve_fields_all"](spark, SF_DIR).count() * 2 == sum(r["count"] for r in n)

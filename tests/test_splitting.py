@@ -124,3 +124,11 @@ def test_dedupe_longest_ties(spark):
     rows = [("s", "y" * 40, 1), ("s", "z" * 41, 3), ("s", "w" * 41, 2), ("t", "q" * 39, 4)]
     df = spark.createDataFrame(rows, "section_id string, context string, ord int").withColumn("source", F.lit("src"))
     assert [r.text for r in dedupe.dedupe_longest(df).collect()] == ["w" * 41 + "\n"]
+
+
+def test_rows_of_unlisted_corpora_stay_without_a_split(spark):
+    rows = [(c, f"{c}{i}", f"{c}{i}::0") for c in ("en", "xx", None) for i in range(20)]
+    df = spark.createDataFrame(rows, "corpus string, document_id string, chunk_id string")
+    got = [(r.corpus, r.split, r.ood_test) for r in splitting.split_corpora(df, ["en", "de"], ood_corpus="en").collect()]
+    assert len(got) == 60 and {s for c, s, _ in got if c == "en"} == {"train", "val"}
+    assert {x for x in got if x[0] != "en"} == {("xx", None, False), (None, None, False)}
