@@ -8,7 +8,8 @@ tokens there; a bucket is a path of shared tokens.
 - A larger bucket is compared with one of its sets. Jaccard distance obeys the triangle inequality: a set of similarity `cover` or more to that
   centre only has partners of similarity cover + threshold - 1 or more to it. All of those are linked to the centre, so it leaves. The rest is
   split again by the same rule. After `max_depth` splits all that is left in a bucket is linked to its centre.
-- Runs are repeated so often that a pair at the threshold meets with the probability `recall`; all runs go through one job.
+- A pair at the threshold becomes a candidate with the probability `recall`, by the runs and the comparison of signatures together. All sets go through
+  the runs that one split needs. Sets that stay in buckets above the limit get further runs, as many as the depth that they really reached needs.
 
 Links so far are candidates and a superset. Their connected components are cut into blocks of bounded size, and each pair of blocks is verified
 exactly on the shingles of the whole texts. Within a task, pairs are counted and summarised as a spanning forest, never expanded into rows.
@@ -37,17 +38,45 @@ _FLIP = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
 _SIGN = np.uint32(0x9E3779B1)
 
 
-def met_at(threshold: float, depth: int) -> float:
-    """Probability that a pair at the threshold still shares a bucket after depth splits of one run."""
+def met_at(threshold: float, depth: int, alike: float | None = None) -> float:
+    """Probability that a pair with the share alike (the threshold) of equal tokens still shares a bucket after depth splits of one run."""
     whole, part = divmod(1 / threshold, 1)
-    share = 1.0
+    alike, share = threshold if alike is None else alike, 1.0
     for _ in range(depth):
-        share = 1 - (1 - threshold * share) ** whole * (1 - threshold * share * part)
+        share = 1 - (1 - alike * share) ** whole * (1 - alike * share * part)
     return share
 
 
-def runs_needed(threshold: float, recall: float, depth: int = 3) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met_at(threshold, depth))))
+def _agreeing(threshold: float) -> list[float]:
+    """Probability of each number of equal signature places of a pair at the threshold."""
+    return [math.comb(COORDINATES, m) * threshold**m * (1 - threshold) ** (COORDINATES - m) for m in range(COORDINATES + 1)]
+
+
+def least_slack(threshold: float, recall: float) -> float:
+    """How far below the threshold the share of equal places may lie, so that the comparison loses at most a tenth of what recall allows."""
+    lost, least = 0.0, 0
+    for m, p in enumerate(_agreeing(threshold)):
+        lost += p
+        if lost > (1 - recall) / 10:
+            break
+        least = m + 1
+    return threshold - least / COORDINATES
+
+
+def missed(threshold: float, slack: float, depth: int, runs: int) -> float:
+    """Probability that a pair at the threshold is no candidate after runs of depth splits. Its signature is the same in every run: too few equal
+    places are lost in all of them, and the fewer there are, the less often the pair meets."""
+    places = enumerate(_agreeing(threshold))
+    return sum(p * ((1 - met_at(threshold, depth, m / COORDINATES)) ** runs if m / COORDINATES >= threshold - slack - 1e-9 else 1) for m, p in places)
+
+
+def runs_needed(threshold: float, recall: float, slack: float, depth: int) -> int:
+    if missed(threshold, slack, 0, 1) > 1 - recall:
+        raise ValueError("slack is too small for the recall")
+    runs = 1
+    while missed(threshold, slack, depth, runs) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def chosen_coordinates(nodes: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -62,10 +91,10 @@ def chosen_coordinates(nodes: np.ndarray, threshold: float) -> list[tuple[np.nda
     return out
 
 
-def root_paths(runs: int, threshold: float) -> list[tuple[int, int]]:
-    """(salt of the path, coordinate) of every first split."""
+def root_paths(runs: int, threshold: float) -> list[tuple[int, int, int]]:
+    """(salt of the path, coordinate, run) of every first split. Runs from 0 on; a run is the same whatever their number."""
     nodes = mix(np.arange(1, runs + 1, dtype=np.uint64))
-    return [(int(mix(nodes[i : i + 1] + np.uint64(c + 1))[0]), int(c)) for at, coords in chosen_coordinates(nodes, threshold) for i, c in zip(at, coords, strict=True)]
+    return [(int(mix(nodes[i : i + 1] + np.uint64(c + 1))[0]), int(c), int(i)) for at, coords in chosen_coordinates(nodes, threshold) for i, c in zip(at, coords, strict=True)]
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
@@ -92,7 +121,7 @@ def signatures(docs: DataFrame, k: int, runs: int, threshold: float) -> DataFram
                     least = np.stack([np.minimum.reduceat((low ^ _FLIP[c]) * _FACTOR[c], starts) for c in range(COORDINATES)], axis=1)
                     named = np.stack([np.add.reduceat(mix(flat ^ np.uint64(s)), starts) for s in (0, 0x5851F42D4C957F2D)], axis=1)
                     short = ((least * _SIGN) >> np.uint32(16)).astype(np.uint16)
-                    buckets = np.stack([mix(least[:, c].astype(np.uint64) + np.uint64(salt)) for salt, c in roots], axis=1).view(np.int64)
+                    buckets = np.stack([mix(least[:, c].astype(np.uint64) + np.uint64(salt)) for salt, c, _ in roots], axis=1).view(np.int64)
                     for j, i in enumerate(full):
                         ids[i], signs[i], paths[i] = named[j].tobytes(), short[j].tobytes(), buckets[j]
                 keys = [batch.column(c).slice(at, len(chunk)) for c in range(3)]
@@ -129,11 +158,11 @@ def _compare_small(least_share: float):
             starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             sizes = np.diff(np.append(starts, len(bucket)))
             two = starts[sizes == 2]
-            near = (sign[two] == sign[two + 1]).mean(axis=1) >= least_share
+            near = (sign[two] == sign[two + 1]).mean(axis=1) >= least_share - 1e-9
             a, b = [no[two[near]]], [no[two[near] + 1]]
             for start, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
                 own = sign[start : start + size]
-                label = _forest((own[:, None, :] == own[None, :, :]).mean(axis=2) >= least_share)
+                label = _forest((own[:, None, :] == own[None, :, :]).mean(axis=2) >= least_share - 1e-9)
                 moved = np.flatnonzero(label != np.arange(size))
                 a.append(no[start + label[moved]])
                 b.append(no[start + moved])
@@ -144,7 +173,8 @@ def _compare_small(least_share: float):
 
 def _split_large(threshold: float, cover: float, slack: float, deepest: bool):
     """Rows (bucket, set_no, sign, centre, centre_sign) -> links to the centre (bucket null) and rows of the next buckets (b null)."""
-    wide = cover + threshold - 1 - slack
+    cut = cover + slack / 2
+    wide = cut + threshold - slack - 1 - 1e-9  # shares of equal places obey the triangle inequality, and partners share threshold - slack
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +183,7 @@ def _split_large(threshold: float, cover: float, slack: float, deepest: bool):
             share = (sign == _signs(batch.column("centre_sign"))).mean(axis=1)
             other = no != centre
             near = np.flatnonzero(other & ((share >= wide) | deepest))
-            away = np.flatnonzero(other & (share < cover + slack / 2)) if not deepest else near[:0]
+            away = np.flatnonzero(other & (share < cut)) if not deepest else near[:0]
             nodes = mix(bucket[away].view(np.uint64))
             a, b, next_bucket = [centre[near]], [no[near]], [np.zeros(len(near), dtype=np.int64)]
             for at, coords in chosen_coordinates(nodes, threshold):
@@ -168,10 +198,26 @@ def _split_large(threshold: float, cover: float, slack: float, deepest: bool):
     return split
 
 
-def candidate_links(sets: DataFrame, threshold: float, bucket_limit: int, max_depth: int, cover: float, slack: float) -> DataFrame:
-    """Candidate links (a, b) between sets (set_no, sign, paths)."""
-    rows, found = sets.select("set_no", F.explode("paths").alias("bucket")), []
-    signs = sets.select("set_no", "sign")
+def _further_paths(threshold: float, runs: int):
+    """Rows (set_no, sign, done, need) -> first buckets of the runs from done to before need."""
+    roots = root_paths(runs, threshold)
+
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            no, done, need = (batch.column(c).to_numpy() for c in ("set_no", "done", "need"))
+            sign, numbers, buckets = _signs(batch.column("sign")), [no[:0]], [np.zeros(0, dtype=np.int64)]
+            for salt, c, run in roots:
+                at = np.flatnonzero((done <= run) & (run < need))
+                numbers.append(no[at])
+                buckets.append(mix(sign[at, c].astype(np.uint64) + np.uint64(salt)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(numbers)), pa.array(np.concatenate(buckets))], ["set_no", "bucket"])
+
+    return further
+
+
+def _run_links(rows: DataFrame, signs: DataFrame, threshold: float, bucket_limit: int, max_depth: int, cover: float, slack: float) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Candidate links (a, b) of the sets of first buckets (set_no, bucket), and the sets (set_no, depth) of buckets at each depth from two on."""
+    found, reached = [], []
     for depth in range(1, max_depth + 1):
         sized = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("set_no").alias("centre")).filter("n > 1")
         members = rows.join(sized, "bucket").join(signs, "set_no")
@@ -187,6 +233,44 @@ def candidate_links(sets: DataFrame, threshold: float, bucket_limit: int, max_de
         split = settle(split.mapInArrow(_split_large(threshold, cover, slack, depth == max_depth), "a long, b long, bucket long"), "split")
         found.append(split.filter(F.col("bucket").isNull()).select("a", "b"))
         rows = split.filter(F.col("b").isNull()).select(F.col("a").alias("set_no"), "bucket")
+        reached.append(rows.select("set_no", F.lit(depth + 1).alias("depth")))
+    return found, reached
+
+
+def candidate_links(sets: DataFrame, threshold: float, recall: float, bucket_limit: int, max_depth: int, cover: float, slack: float) -> DataFrame:
+    """Candidate links (a, b) between sets (set_no, sign, paths), where paths are the first buckets of the runs that one split needs.
+
+    A set takes part in the first runs, up to the number for the deepest bucket that any of its runs reached. Of a pair, the set that reached less
+    deep tells how many runs it needs, and both take part in these."""
+    needs = [runs_needed(threshold, recall, slack, depth) for depth in range(1, max_depth + 1)]
+    signs, rows = sets.select("set_no", "sign"), sets.select("set_no", F.explode("paths").alias("bucket"))
+    found, state = [], None
+    while True:
+        links, reached = _run_links(rows, signs, threshold, bucket_limit, max_depth, cover, slack)
+        found += links
+        if not reached:
+            break
+        rows = reached[0]
+        for more in reached[1:]:
+            rows = rows.unionByName(more)
+        rows = rows.groupBy("set_no").agg(F.max("depth").alias("depth"))
+        if state is None:
+            state = rows.withColumn("done", F.lit(needs[0]))
+        else:
+            rows = state.join(rows.withColumnRenamed("depth", "deeper"), "set_no", "left")
+            state = rows.select("set_no", F.greatest("depth", "deeper").alias("depth"), "done")
+        state = settle(state.withColumn("need", F.element_at(F.array(*[F.lit(n) for n in needs]), F.col("depth"))), "reached")
+        waiting = state.filter("need > done")
+        deepest = waiting.agg(F.max("depth")).first()[0]
+        if deepest is None:
+            break
+        # More runs than a set needs do no harm, while each round costs jobs: all waiting sets get those of two splits beyond the deepest.
+        ahead = F.lit(needs[min(deepest + 2, max_depth) - 1])
+        state = state.withColumn("need", F.when(F.col("need") > F.col("done"), ahead).otherwise(F.col("need")))
+        waiting = state.filter("need > done")
+        further = _further_paths(threshold, needs[-1])
+        rows = settle(waiting.join(signs, "set_no").select("set_no", "sign", "done", "need").mapInArrow(further, "set_no long, bucket long"), "paths")
+        state = state.select("set_no", "depth", F.greatest("done", "need").alias("done"))
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
@@ -285,7 +369,7 @@ def _verify(bound: Fraction):
     return verify
 
 
-def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.9999, bucket_limit: int = 256, max_depth: int = 12, cover: float = 0.6, slack: float = 0.13, block_sets: int = 1500, block_grams: int = 1_500_000) -> DataFrame:
+def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.9999, bucket_limit: int = 256, max_depth: int = 12, cover: float = 0.6, slack: float | None = None, block_sets: int = 1500, block_grams: int = 1_500_000) -> DataFrame:
     """One row per row of docs: doc_id, k1 and k2 (name of the row), class_id (least doc_id of its group of linked documents), n_links (other rows
     whose shingle sets have a Jaccard similarity of at least threshold, copies included), is_first (it names the first row of its class).
 
@@ -293,14 +377,15 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     its own class. Repeated rows are copies of each other; where both id and text repeat, both rows are first. Null ids sort first and
     give a null class_id. Other columns are not looked at; an empty table gives an empty result.
     """
+    slack = least_slack(threshold, recall) if slack is None else slack
     own = docs.select(F.col(doc_id).alias("doc_id"), *row_keys(F.col(doc_id), F.col(text)), F.col(text).alias("text"))
-    signed = settle(signatures(own, k, runs_needed(threshold, recall), threshold), "signatures")
+    signed = settle(signatures(own, k, runs_needed(threshold, recall, slack, 1), threshold), "signatures")
     place = F.min(F.struct("doc_id", "k1", "k2", "n_grams", "sign", "paths")).alias("p")
     sets = signed.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.count("*").alias("copies"), place)
     sets = sets.select("set_id", "copies", "p.*", F.monotonically_increasing_id().alias("set_no"))
     sets = settle(sets, "sets")
 
-    component = settle(connected_components(candidate_links(sets, threshold, bucket_limit, max_depth, cover, slack)), "candidates")
+    component = settle(connected_components(candidate_links(sets, threshold, recall, bucket_limit, max_depth, cover, slack)), "candidates")
     named = component.withColumnRenamed("node", "set_no").join(sets.select("set_no", "copies", "k1", "k2", "n_grams"), "set_no")
     blocks = F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n_grams") / block_grams)).cast("int").alias("blocks")
     named = named.join(named.groupBy("component").agg(blocks), "component")

@@ -102,6 +102,16 @@ def test_jaccard_join_against_brute_force(spark, limit, block):
     assert {d: got[d].class_id for d, _ in rows} == {rows[i][0]: rows[g][0] for i, g in enumerate(group)}
 
 
+def test_jaccard_runs_keep_the_recall():
+    slack = jaccard_join.least_slack(0.8, 0.9999)
+    assert jaccard_join.missed(0.8, slack, 0, 1) < 1e-5
+    for depth in range(1, 13):
+        runs = jaccard_join.runs_needed(0.8, 0.9999, slack, depth)
+        assert jaccard_join.missed(0.8, slack, depth, runs) <= 1e-4 < jaccard_join.missed(0.8, slack, depth, runs - 1)
+    with pytest.raises(ValueError):
+        jaccard_join.runs_needed(0.8, 0.9999, 0.13, 1)
+
+
 def test_jaccard_join_edge_rows(spark):
     got = jaccard_join.jaccard_join(frame(spark, EDGES)).collect()
     assert len(got) == len(EDGES)
