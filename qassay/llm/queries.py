@@ -2,32 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qassay.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, pseudonyms, quality_rules, token_counts, toxicity, warc_revisits
+from qassay.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from qassay.llm.shared import crc32_mod
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(build: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = build
-        if sql is not None:
-            ORACLES[name] = sql
-        return build
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 @query(
     "op8_decontaminate",
@@ -197,3 +179,6 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc_revisits.resolve_revisits(warc_revisits.page_captures(table(spark, sf_dir, "pages")))
     lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"])))
     return found.withColumn("headers", F.array_join(lines, "\n"))
+
+
+from qassay.llm import corpus_queries  # noqa: E402, F401

@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ SF_DIR, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
 
 def _norm(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
     return v.item() if hasattr(v, "item") else v
 
