@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qassay.llm import shuffle_shards
+from qassay.llm import collocations, ranked_search, shuffle_shards
 from qassay.llm.registry import query, table
 from qassay.llm.shared import row_keys
 
@@ -54,3 +54,63 @@ def op12_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sharded = shuffle_shards.shard_rows(digest, [F.col("doc_id"), F.col("k1"), F.col("k2")], 16, "documents")
     return sharded.select("row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query(
+    "op13_ranked_search",
+    r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+),
+sizes AS (SELECT count(*) AS total, sum(len(t))::BIGINT AS length FROM docs WHERE len(t) > 0),
+item_terms AS (
+  SELECT DISTINCT no, item_id, term FROM (
+    SELECT no, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT *, row_number() OVER () AS no FROM benchmark)
+  )
+),
+counts AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM docs) GROUP BY ALL),
+weighted AS (SELECT term, floor(1000 * ln((2 * any_value(total) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counts, sizes GROUP BY term),
+scores AS (
+  SELECT no, item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * total) // length))))::BIGINT AS score
+  FROM item_terms JOIN counts USING (term) JOIN weighted USING (term), sizes GROUP BY no, item_id, doc_id
+)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY no ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+""",
+)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op11_collocations",
+    r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+  )
+),
+grams AS (
+  SELECT lang, m, w[i:i + m - 1] AS g, count(*) AS f FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS m)) GROUP BY ALL
+),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE m = 1 GROUP BY lang),
+candidates AS (SELECT lang, m, g, f AS a FROM grams WHERE m >= 2 AND f >= 100),
+cuts AS (
+  SELECT c.lang, c.m, c.g, c.a, k, x.f AS l, y.f AS r, n, ((1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates) c JOIN grams x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN grams y ON y.lang = c.lang AND y.g = c.g[k + 1:c.m]
+  JOIN totals t ON t.lang = c.lang
+),
+lowest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS o FROM cuts) WHERE o = 1),
+inside AS (
+  SELECT DISTINCT lang, part FROM (SELECT lang, a, m, s, o, g[o:o + s - 1] AS part FROM (SELECT *, unnest(range(1, m - s + 2)) AS o FROM (SELECT *, unnest(range(2, m)) AS s FROM candidates)))
+  JOIN (SELECT lang AS own_lang, g AS own, a AS own_a FROM candidates) ON own_lang = lang AND own = part WHERE 100 * a >= 100 * own_a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank
+  FROM lowest WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = lowest.lang AND i.part = lowest.g)
+) WHERE rank <= 2000
+""",
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_collocations(collocations.scored_phrases(table(spark, sf_dir, "documents")))
