@@ -5,7 +5,7 @@ A benchmark item is cut into windows of consecutive words; a document is contami
 the rarest over all documents, counted in a first pass. The second pass joins the shingles of every document with these prefix shingles, applies
 the positional and length bounds (the window must begin and end inside the document), and verifies each candidate word by word.
 
-The benchmark is a stated query set: it is taken in blocks of at most `block_windows` windows, so what is broadcast is bounded whatever its size,
+The benchmark is a stated query set: it is taken in blocks of about `block_windows` windows with their items, so what is broadcast is bounded whatever its size,
 and documents are neither shuffled nor expanded. Each further block costs another pass over the documents.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qassay.llm.shared import text_chunks
+from qassay.llm.shared import settle, text_chunks
 from qassay.llm.words import batch_words, shingles
 
 SPANS = "array<struct<first:long,last:long>>"
@@ -150,7 +150,7 @@ def _match(docs: DataFrame, shared) -> DataFrame:
                     start, window = index.hits(own)
                     n_words.append(len(own))
                     spans.append(_merge(start, index.lengths[window]))
-                    found.append(sorted({index.items[w] for w in np.unique(window)}))
+                    found.append(sorted({index.items[w] for w in np.unique(window)}, key=lambda x: (x is None, x)))
             out = batch.remove_column(2)
             made = {"n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, pa.list_(span)), "items": pa.array(found, pa.list_(pa.string()))}
             for name, values in made.items():
@@ -176,22 +176,23 @@ def _index(rows: pd.DataFrame, window: int, shingle: int) -> WindowIndex:
     words = np.zeros((len(rows), window), dtype=np.uint64)
     for i, w in enumerate(rows["words"]):
         words[i, : len(w)] = np.asarray(w, dtype=np.int64).view(np.uint64)
-    return WindowIndex(words, lengths, list(rows["item_id"]), shingle)
+    return WindowIndex(words, lengths, [x if isinstance(x, str) else None for x in rows["item_id"]], shingle)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shingle: int = 5, block_windows: int = 200_000, keep_row: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_words, spans (merged runs of hit words, both ends included, ascending) and items (occurring item ids as
     sorted distinct strings); with keep_row also row, a struct of all columns of docs.
 
-    Null and empty texts have no words. Items with a null id are left out. Repeated rows keep one row each with equal results; an item text that
-    stands under two ids gives both. An empty benchmark leaves every document clean, and other columns of either input are not looked at.
+    Null and empty texts have no words. Items with a null id hit words like others and stand in items as one null, at the end. Repeated rows keep one
+    row each with equal results; an item text that stands under two ids gives both. An empty benchmark leaves every document clean, and other columns of either input are not looked at.
     """
     spark = docs.sparkSession
     row = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if keep_row else []
     own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"), *row)
-    windows = item_windows(benchmark.filter(F.col(item_id).isNotNull()), window, item_id, item_text)
+    windows = settle(item_windows(benchmark, window, item_id, item_text).distinct(), "windows")
     blocks = max(1, -(-windows.count() // block_windows))
-    block_of = F.pmod(F.xxhash64("words"), F.lit(blocks))
+    # A window that very many items share is dealt over blocks by the items, so a block stays bounded; what its blocks find is united.
+    block_of = F.pmod(F.xxhash64("words", "item_id"), F.lit(blocks))
     result = None
     for block in range(blocks):
         rows = windows.filter(block_of == block).select("item_id", "words").toPandas()

@@ -1,6 +1,7 @@
 """Operators on small fixtures: edge rows, and brute-force versions."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -44,10 +45,10 @@ def test_word_hashes_name_words():
 
 def test_decontamination_against_brute_force(spark):
     item = "one two three four five six seven eight nine ten eleven twelve"
-    items = [(7, item), (8, "short Item"), (9, None), (None, item), (10, "short item"), (11, "...")]
-    docs = [(20, f"x {item.upper()} y"), (21, "short, item! and " + " ".join(item.split()[:9])), (22, "item short"), *EDGES]
+    items = [(7, item), (8, "short Item"), (9, None), (None, item), (None, "only without id"), (10, "short item"), (11, "...")]
+    docs = [(20, f"x {item.upper()} y"), (21, "short, item! and " + " ".join(item.split()[:9])), (22, "item short"), (23, "only without id"), *EDGES]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    windows = {(i, tuple(w[p : p + 10])) for i, t in items if i for w in [words_of(t)] if w for p in range(max(1, len(w) - 9))}
+    windows = {(i, tuple(w[p : p + 10])) for i, t in items for w in [words_of(t)] if w for p in range(max(1, len(w) - 9))}
     for block in (200_000, 1):
         got = decontaminate.find_contamination(frame(spark, docs), bench, block_windows=block).collect()
         want = Counter()
@@ -57,8 +58,8 @@ def test_decontamination_against_brute_force(spark):
                 for p in range(len(w) - len(k) + 1):
                     if tuple(w[p : p + len(k)]) == k:
                         hit.update(range(p, p + len(k)))
-                        found.add(str(i))
-            want[(doc_id, len(w), len(hit), tuple(sorted(found)))] += 1
+                        found.add(None if i is None else str(i))
+            want[(doc_id, len(w), len(hit), tuple(sorted(found, key=lambda x: (x is None, x))))] += 1
         assert Counter((r.doc_id, r.n_words, sum(s.last - s.first + 1 for s in r.spans), tuple(r["items"])) for r in got) == want
     assert decontaminate.find_contamination(frame(spark, docs), bench.limit(0)).filter(F.size("items") > 0).count() == 0
     assert decontaminate.find_contamination(frame(spark, []), bench).count() == 0
@@ -102,6 +103,57 @@ def test_jaccard_join_against_brute_force(spark, limit, block):
     assert {d: got[d].class_id for d, _ in rows} == {rows[i][0]: rows[g][0] for i, g in enumerate(group)}
 
 
+def shingles_of(text, k=5):
+    w = words_of(text)
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def links_by_index(texts):
+    """Number of other rows with a shingle similarity of 0.8 or more, through an index of shingles."""
+    sets, index, links = [shingles_of(t) for t in texts], {}, [0] * len(texts)
+    for i, own in enumerate(sets):
+        shared = Counter(j for g in own for j in index.get(g, ()))
+        for j, n in shared.items():
+            if 5 * n >= 4 * (len(own) + len(sets[j]) - n):
+                links[i] += 1
+                links[j] += 1
+        for g in own:
+            index.setdefault(g, []).append(i)
+    return links
+
+
+def test_jaccard_links_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = dict(zip(texts, links_by_index(list(texts.values())), strict=True))
+    for limit in (4096, 8):
+        got = {r.doc_id: r.n_links for r in jaccard_join.jaccard_join(docs, bucket_limit=limit).collect()}
+        assert got == want
+
+
+def test_jaccard_recall_on_skewed_rows(spark):
+    """A passage that half of the rows share, a large group of near copies of one text, and pairs among the sharing rows."""
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    passage, base = rng.choices(vocabulary, k=60), rng.choices(vocabulary, k=120)
+    rows = []
+    for _ in range(150):
+        own = rng.choices(vocabulary, k=35)
+        rows.append(passage + own)
+        rows.append(passage + own[:-1] + [rng.choice(vocabulary)])
+    for _ in range(200):
+        near = list(base)
+        for _ in range(rng.randint(1, 4)):
+            near[rng.randrange(len(near))] = rng.choice(vocabulary)
+        rows.append(near)
+    texts = [" ".join(r) for r in rows]
+    want = links_by_index(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in jaccard_join.jaccard_join(docs, bucket_limit=16).collect()}
+    found = sum(got.values()) / sum(want)
+    assert sum(want) > 2000 and found >= 0.999 and all(got[i] <= n for i, n in enumerate(want))
+
+
 def test_jaccard_runs_keep_the_recall():
     slack = jaccard_join.least_slack(0.8, 0.9999)
     assert jaccard_join.missed(0.8, slack, 0, 1) < 1e-5
