@@ -25,45 +25,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qassay.llm.shared import settle
+from qassay.llm.shared import BitTable, bit_table, settle
 
 MAX_BITS = 28
-_BLOCK_BITS = 15  # bits of one block of Spark's bitmap functions
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BREAKS = bytes(10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in _LOWER)
 _LINE = re.compile(rb"\n")
 
 
-def _hash(phrase: bytes, language: bytes) -> int:
-    """Spark's xxhash64(language, phrase), unsigned."""
-    return xxhash.xxh64_intdigest(phrase, xxhash.xxh64_intdigest(language, 42))
+def _held(table: BitTable, phrases: list[bytes], language: bytes) -> np.ndarray:
+    seed = xxhash.xxh64_intdigest(language, 42)  # as Spark's xxhash64(language, phrase)
+    return table.holds(np.array([xxhash.xxh64_intdigest(p, seed) for p in phrases], dtype=np.uint64))
 
 
-class BitTable:
-    """Bits set for the frequent phrases by their hash."""
-
-    def __init__(self, bits: int, blocks: dict[int, bytes]):
-        self.bits, self.table = bits, np.zeros(1 << max(bits, _BLOCK_BITS), dtype=bool)
-        for block, held in blocks.items():
-            at = block << _BLOCK_BITS
-            self.table[at : at + (1 << _BLOCK_BITS)] = np.unpackbits(np.frombuffer(held, dtype=np.uint8), bitorder="little")
-        self.table = np.packbits(self.table, bitorder="little")
-
-    def holds(self, phrases: list[bytes], language: bytes) -> np.ndarray:
-        seed = xxhash.xxh64_intdigest(language, 42)
-        at = np.array([xxhash.xxh64_intdigest(p, seed) for p in phrases], dtype=np.uint64) & np.uint64((1 << self.bits) - 1)
-        return (self.table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
-def bit_table(phrases: DataFrame) -> BitTable:
-    """The bits of (lang, phrase) rows, about 16 a row and at most 2**MAX_BITS: 32 MB reach the driver and each task at most, whatever the rows."""
-    n = phrases.count()
-    bits = min(MAX_BITS, max(_BLOCK_BITS, (16 * n).bit_length()))
-    place = F.xxhash64("lang", "phrase").bitwiseAND(F.lit((1 << bits) - 1))
-    # Spark counts bitmap buckets and positions from one.
-    own = phrases.select(F.bitmap_bucket_number(place + 1).alias("block"), F.bitmap_bit_position(place + 1).alias("bit"))
-    blocks = own.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("held")).collect()
-    return BitTable(bits, {r["block"] - 1: bytes(r["held"]) for r in blocks})
+def phrase_table(phrases: DataFrame) -> BitTable:
+    """The bits of (lang, phrase) rows."""
+    return bit_table(phrases.select(F.xxhash64("lang", "phrase").alias("hash")), MAX_BITS)
 
 
 def _segments(raw: bytes, limit: int) -> Iterator[bytes]:
@@ -133,7 +110,7 @@ def _count_words(limit: int):
 
 def _frequent_words(code: np.ndarray, words: pa.Array, table: BitTable, language: str) -> np.ndarray:
     """Codes with -1 in place of rare words as well."""
-    keep = np.append(table.holds(words.to_pylist(), language.encode()), False)
+    keep = np.append(_held(table, words.to_pylist(), language.encode()), False)
     return np.where(keep[code], code, -1)
 
 
@@ -162,7 +139,7 @@ def _count_longer(shared, limit: int, longest: int):
             code, words = _coded(text)
             code = _frequent_words(code, words, word_table, language)
             at, which, phrases, _ = _pairs(code, words)
-            good = pair_table.holds(phrases.to_pylist(), language.encode())[which]
+            good = _held(pair_table, phrases.to_pylist(), language.encode())[which]
             at, which = at[good], which[good]
             opens = np.zeros(len(code) + longest, dtype=bool)  # a frequent pair begins here
             opens[at] = True
@@ -191,11 +168,11 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, chunk_bytes: int) -
     words = settle(_summed(docs, _count_words(chunk_bytes)), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     frequent = words.filter(F.col("n") >= least)
-    word_table = bit_table(frequent)
+    word_table = phrase_table(frequent)
     pairs = settle(_summed(docs, _count_pairs(spark.sparkContext.broadcast(word_table), chunk_bytes)).filter(F.col("n") >= least), "pairs")
     stream = frequent.unionByName(pairs)
     if longest > 2:
-        shared = spark.sparkContext.broadcast((word_table, bit_table(pairs)))
+        shared = spark.sparkContext.broadcast((word_table, phrase_table(pairs)))
         longer = settle(_summed(docs, _count_longer(shared, chunk_bytes, longest)).filter(F.col("n") >= least), "longer")
         stream = stream.unionByName(longer)
     return stream, totals

@@ -4,10 +4,11 @@ Documents with the same set of word shingles are one set. Every set is embedded
 each token with probability s. From the root, a run picks 1 / threshold coordinates in expectation and splits the sets into buckets by their
 tokens there; a bucket is a path of shared tokens.
 
-- A bucket of at most `bucket_limit` sets is compared by brute force on the signatures.
+- A bucket of at most `bucket_limit` sets is compared by brute force on the signatures. Up to some thousand sets (about 40 ns a pair) that costs a set less
+  than the further runs that each split calls for.
 - A larger bucket is compared with one of its sets. Jaccard distance obeys the triangle inequality: a set of similarity `cover` or more to that
   centre only has partners of similarity cover + threshold - 1 or more to it. All of those are linked to the centre, so it leaves. The rest is
-  split again by the same rule. After `max_depth` splits all that is left in a bucket is linked to its centre.
+  split again by the same rule, unless all of it is linked to the centre. After `max_depth` splits all that is left in a bucket is linked to its centre.
 - A pair at the threshold becomes a candidate with the probability `recall`, by the runs and the comparison of signatures together. All sets go through
   the runs that one split needs. Sets that stay in buckets above the limit get further runs, as many as the depth that they really reached needs.
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qassay.llm.components import connected_components
-from qassay.llm.shared import row_keys, settle, text_chunks, whole_groups
+from qassay.llm.shared import bit_table, discard, row_keys, settle, text_chunks, whole_groups
 from qassay.llm.words import batch_words, mix, shingles
 
 COORDINATES = 128
@@ -148,9 +149,22 @@ def _forest(linked: np.ndarray) -> np.ndarray:
         label = lower
 
 
+def _alike(sign: np.ndarray, least: int, tile: int = 256) -> np.ndarray:
+    """Which rows agree in at least `least` places, one coordinate at a time over tiles of rows."""
+    columns, out = np.ascontiguousarray(sign.T), np.empty((len(sign), len(sign)), dtype=bool)
+    for at in range(0, len(sign), tile):
+        equal = np.zeros((min(tile, len(sign) - at), len(sign)), dtype=np.uint8)
+        for place in columns:
+            equal += place[at : at + tile, None] == place[None, :]
+        out[at : at + tile] = equal >= least
+    return out
+
+
 def _compare_small(least_share: float):
     """Rows (bucket, set_no, sign) sorted by bucket -> candidate links of each bucket as a spanning forest."""
 
+    least = math.ceil(COORDINATES * (least_share - 1e-9))
+
     def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(frames, ["bucket"]):
             bucket, no = frame["bucket"].to_numpy(), frame["set_no"].to_numpy()
@@ -162,7 +176,7 @@ def _compare_small(least_share: float):
             a, b = [no[two[near]]], [no[two[near] + 1]]
             for start, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
                 own = sign[start : start + size]
-                label = _forest((own[:, None, :] == own[None, :, :]).mean(axis=2) >= least_share - 1e-9)
+                label = _forest(_alike(own, least))
                 moved = np.flatnonzero(label != np.arange(size))
                 a.append(no[start + label[moved]])
                 b.append(no[start + moved])
@@ -171,31 +185,26 @@ def _compare_small(least_share: float):
     return link
 
 
-def _split_large(threshold: float, cover: float, slack: float, deepest: bool):
-    """Rows (bucket, set_no, sign, centre, centre_sign) -> links to the centre (bucket null) and rows of the next buckets (b null)."""
-    cut = cover + slack / 2
-    wide = cut + threshold - slack - 1 - 1e-9  # shares of equal places obey the triangle inequality, and partners share threshold - slack
+def _shares(threshold: float, cut: float):
+    """Rows (bucket, set_no, sign, centre, centre_sign) -> bucket, set_no, centre, their share of equal places, and for shares below cut the next buckets."""
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def share_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bucket, no = (batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "set_no"))
-            centre, sign = batch.column("centre").to_numpy(), _signs(batch.column("sign"))
+            bucket, sign = batch.column("bucket").to_numpy().astype(np.int64), _signs(batch.column("sign"))
             share = (sign == _signs(batch.column("centre_sign"))).mean(axis=1)
-            other = no != centre
-            near = np.flatnonzero(other & ((share >= wide) | deepest))
-            away = np.flatnonzero(other & (share < cut)) if not deepest else near[:0]
-            nodes = mix(bucket[away].view(np.uint64))
-            a, b, next_bucket = [centre[near]], [no[near]], [np.zeros(len(near), dtype=np.int64)]
+            away = np.flatnonzero(share < cut)
+            nodes, row, onward = mix(bucket[away].view(np.uint64)), [away[:0]], [away[:0]]
             for at, coords in chosen_coordinates(nodes, threshold):
                 token = sign[away[at], coords].astype(np.uint64)
-                next_bucket.append(mix(nodes[at] + (token << np.uint64(8)) + coords.astype(np.uint64) + np.uint64(1)).view(np.int64))
-                a.append(no[away[at]])
-                b.append(np.zeros(len(at), dtype=np.int64))
-            child = np.concatenate([np.full(len(x), i > 0) for i, x in enumerate(next_bucket)])
-            arrays = [pa.array(np.concatenate(a)), pa.array(np.concatenate(b), mask=child), pa.array(np.concatenate(next_bucket), mask=~child)]
-            yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "bucket"])
+                row.append(away[at])
+                onward.append(mix(nodes[at] + (token << np.uint64(8)) + coords.astype(np.uint64) + np.uint64(1)).view(np.int64))
+            row, onward = np.concatenate(row), np.concatenate(onward)
+            order = np.argsort(row, kind="stable")
+            offsets = np.searchsorted(row[order], np.arange(len(bucket) + 1))
+            further = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(onward[order], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("set_no"), batch.column("centre"), pa.array(share), further], ["bucket", "set_no", "centre", "share", "onward"])
 
-    return split
+    return share_of
 
 
 def _further_paths(threshold: float, runs: int):
@@ -215,26 +224,47 @@ def _further_paths(threshold: float, runs: int):
     return further
 
 
-def _run_links(rows: DataFrame, signs: DataFrame, threshold: float, bucket_limit: int, max_depth: int, cover: float, slack: float) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Candidate links (a, b) of the sets of first buckets (set_no, bucket), and the sets (set_no, depth) of buckets at each depth from two on."""
-    found, reached = [], []
+def _run_links(rows: DataFrame, signs: DataFrame, groups: DataFrame | None, threshold: float, bucket_limit: int, max_depth: int, cover: float, slack: float) -> tuple[list[DataFrame], list[DataFrame], DataFrame, list[DataFrame]]:
+    """Candidate links (a, b) of the sets of first buckets (set_no, bucket), the sets (set_no, depth) of buckets at each depth from two on, the signatures of these
+    sets, and the tables that the links are read from.
+
+    groups (node, component), where given, are the components of the links found before. Verification compares all sets of a component, so a bucket whose
+    sets are all in one is done. So is a bucket whose sets are all linked to its centre. Of the sets linked to the centre only those are split again that
+    can have a partner among the others: shares of equal places obey the triangle inequality, and partners share threshold - slack at least.
+    """
+    found, reached, tables = [], [], []
+    cut = cover + slack / 2
+    reach = 1 - (threshold - slack) + 1e-9
+    wide = cut - reach
     for depth in range(1, max_depth + 1):
-        sized = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("set_no").alias("centre")).filter("n > 1")
-        members = rows.join(sized, "bucket").join(signs, "set_no")
-        members = settle(members, "members")
+        size = [F.count("*").alias("n"), F.min("set_no").alias("centre")]
+        if groups is not None:
+            rows = rows.join(groups.withColumnRenamed("node", "set_no"), "set_no", "left").withColumn("component", F.coalesce("component", "set_no"))
+            size += [F.min("component").alias("least"), F.max("component").alias("most")]
+        sized = rows.groupBy("bucket").agg(*size).filter("n > 1" if groups is None else "n > 1 and least < most").select("bucket", "n", "centre")
+        members = settle(rows.select("set_no", "bucket").join(sized, "bucket").join(signs, "set_no"), "members")
         small = members.filter(F.col("n") <= bucket_limit).select("bucket", "set_no", "sign")
         small = small.repartition("bucket").sortWithinPartitions("bucket", "set_no")
         found.append(small.mapInPandas(_compare_small(threshold - slack), "a long, b long"))
+        tables.append(members)
         large = members.filter(F.col("n") > bucket_limit)
         if large.isEmpty():
             break
-        centres = signs.select(F.col("set_no").alias("centre"), F.col("sign").alias("centre_sign"))
-        split = large.join(centres, "centre").select("bucket", "set_no", "sign", "centre", "centre_sign")
-        split = settle(split.mapInArrow(_split_large(threshold, cover, slack, depth == max_depth), "a long, b long, bucket long"), "split")
-        found.append(split.filter(F.col("bucket").isNull()).select("a", "b"))
-        rows = split.filter(F.col("b").isNull()).select(F.col("a").alias("set_no"), "bucket")
-        reached.append(rows.select("set_no", F.lit(depth + 1).alias("depth")))
-    return found, reached
+        # The centre is one of the sets of its bucket: one signature a bucket joins the others.
+        centres = large.filter(F.col("set_no") == F.col("centre")).select("bucket", F.col("sign").alias("centre_sign"))
+        shares = large.filter(F.col("set_no") != F.col("centre")).join(centres, "bucket").select("bucket", "set_no", "sign", "centre", "centre_sign")
+        shares = settle(shares.mapInArrow(_shares(threshold, cut), "bucket long, set_no long, centre long, share double, onward array<long>"), "shares")
+        tables.append(shares)
+        found.append(shares.filter(F.lit(True) if depth == max_depth else F.col("share") >= wide).select(F.col("centre").alias("a"), F.col("set_no").alias("b")))
+        if depth < max_depth:
+            others = shares.filter(F.col("share") < wide).groupBy("bucket").agg(F.max("share").alias("nearest"))
+            left = shares.filter(F.col("share") < cut).join(others, "bucket").filter(F.col("share") <= F.col("nearest") + reach)
+            rows = settle(left.select("set_no", F.explode("onward").alias("bucket")), "onward")
+            reached.append(rows.select("set_no", F.lit(depth + 1).alias("depth")))
+            if depth == 1 and groups is None:
+                # Only these sets take part in deeper splits and in further runs.
+                signs = settle(signs.join(rows.select("set_no").distinct(), "set_no", "left_semi"), "signs")
+    return found, reached, signs, tables
 
 
 def candidate_links(sets: DataFrame, threshold: float, recall: float, bucket_limit: int, max_depth: int, cover: float, slack: float) -> DataFrame:
@@ -244,10 +274,11 @@ def candidate_links(sets: DataFrame, threshold: float, recall: float, bucket_lim
     deep tells how many runs it needs, and both take part in these."""
     needs = [runs_needed(threshold, recall, slack, depth) for depth in range(1, max_depth + 1)]
     signs, rows = sets.select("set_no", "sign"), sets.select("set_no", F.explode("paths").alias("bucket"))
-    found, state = [], None
+    links, state, groups = None, None, None
     while True:
-        links, reached = _run_links(rows, signs, threshold, bucket_limit, max_depth, cover, slack)
-        found += links
+        found, reached, signs, tables = _run_links(rows, signs, groups, threshold, bucket_limit, max_depth, cover, slack)
+        for more in found:
+            links = more if links is None else links.unionByName(more)
         if not reached:
             break
         rows = reached[0]
@@ -264,6 +295,10 @@ def candidate_links(sets: DataFrame, threshold: float, recall: float, bucket_lim
         deepest = waiting.agg(F.max("depth")).first()[0]
         if deepest is None:
             break
+        groups = settle(connected_components(links), "groups")
+        for spent in tables:
+            discard(spent)
+        links = groups.select(F.col("component").alias("a"), F.col("node").alias("b"))
         # More runs than a set needs do no harm, while each round costs jobs: all waiting sets get those of two splits beyond the deepest.
         ahead = F.lit(needs[min(deepest + 2, max_depth) - 1])
         state = state.withColumn("need", F.when(F.col("need") > F.col("done"), ahead).otherwise(F.col("need")))
@@ -271,21 +306,19 @@ def candidate_links(sets: DataFrame, threshold: float, recall: float, bucket_lim
         further = _further_paths(threshold, needs[-1])
         rows = settle(waiting.join(signs, "set_no").select("set_no", "sign", "done", "need").mapInArrow(further, "set_no long, bucket long"), "paths")
         state = state.select("set_no", "depth", F.greatest("done", "need").alias("done"))
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
     return links
 
 
-def _gram_rows(k: int):
-    """(set_no, component, copies, blocks, block, text) -> the same with the sorted distinct shingles as bytes for the text."""
+def _gram_rows(k: int, shared):
+    """Rows (k1, k2, text) -> k1, k2 and the sorted distinct shingles as bytes, for rows whose k1 is in a broadcast bit table."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(shared.value.holds(batch.column("k1").to_numpy().view(np.uint64))))
             for at, chunk in text_chunks(batch.column("text"), 1 << 22):
                 words, offsets = batch_words(chunk)
                 grams = [shingle_set(words[offsets[i] : offsets[i + 1]], k).tobytes() for i in range(len(chunk))]
-                yield batch.slice(at, len(chunk)).set_column(5, "grams", pa.array(grams, pa.binary()))
+                yield batch.slice(at, len(chunk)).set_column(2, "grams", pa.array(grams, pa.binary()))
 
     return cut
 
@@ -369,7 +402,7 @@ def _verify(bound: Fraction):
     return verify
 
 
-def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.9999, bucket_limit: int = 256, max_depth: int = 12, cover: float = 0.6, slack: float | None = None, block_sets: int = 1500, block_grams: int = 1_500_000) -> DataFrame:
+def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.9999, bucket_limit: int = 4096, max_depth: int = 12, cover: float = 0.6, slack: float | None = None, block_sets: int = 1500, block_grams: int = 1_500_000) -> DataFrame:
     """One row per row of docs: doc_id, k1 and k2 (name of the row), class_id (least doc_id of its group of linked documents), n_links (other rows
     whose shingle sets have a Jaccard similarity of at least threshold, copies included), is_first (it names the first row of its class).
 
@@ -390,8 +423,10 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     blocks = F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n_grams") / block_grams)).cast("int").alias("blocks")
     named = named.join(named.groupBy("component").agg(blocks), "component")
     named = named.withColumn("block", F.pmod(F.xxhash64("set_no"), F.col("blocks")).cast("int"))
-    grams = own.select("k1", "k2", "text").join(named, ["k1", "k2"]).select("set_no", "component", "copies", "blocks", "block", "text")
-    grams = grams.mapInArrow(_gram_rows(k), "set_no long, component long, copies long, blocks int, block int, grams binary")
+    named = settle(named, "named")
+    # Texts of sets without a candidate are not shuffled, but for a few that the bit table cannot tell apart.
+    wanted = own.sparkSession.sparkContext.broadcast(bit_table(named.select(F.col("k1").alias("hash"))))
+    grams = own.select("k1", "k2", "text").mapInArrow(_gram_rows(k, wanted), "k1 long, k2 long, grams binary").join(named, ["k1", "k2"])
     grams = grams.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     grams = grams.select("set_no", "component", "copies", "block", "grams", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     grams = grams.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")

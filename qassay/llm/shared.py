@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts lineage, survives the loss of executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(settled: DataFrame) -> None:
+    """Delete a table of settle that nothing reads any more."""
+    spark = settled.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(settled.settled_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc32_mod(id_col, n: int):
@@ -69,3 +79,30 @@ def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd
 def row_keys(*cols) -> list:
     """Two 64-bit hashes k1, k2 that name the rows with these values; rows that repeat share their name. Never null, so plain equi-joins hold nulls."""
     return [F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit("second"), *reversed(cols)).alias("k2")]
+
+
+_BLOCK_BITS = 15  # bits of one block of Spark's bitmap functions
+
+
+class BitTable:
+    """Bits set for a set of 64-bit hashes: holds what was put in, and little else."""
+
+    def __init__(self, bits: int, blocks: dict[int, bytes]):
+        self.bits, self.table = bits, np.zeros((1 << bits) // 8, dtype=np.uint8)
+        for block, held in blocks.items():
+            at = block << (_BLOCK_BITS - 3)
+            self.table[at : at + len(held)] = np.frombuffer(held, dtype=np.uint8)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & np.uint64((1 << self.bits) - 1)
+        return (self.table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def bit_table(hashes: DataFrame, max_bits: int = 28) -> BitTable:
+    """The bits of rows (hash: long), about 16 a row and at most 2**max_bits: 32 MB reach the driver, and each task, at most, whatever the rows."""
+    bits = min(max_bits, max(_BLOCK_BITS, (16 * hashes.count()).bit_length()))
+    place = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))
+    # Spark counts bitmap buckets and positions from one.
+    own = hashes.select(F.bitmap_bucket_number(place + 1).alias("block"), F.bitmap_bit_position(place + 1).alias("bit"))
+    blocks = own.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("held")).collect()
+    return BitTable(bits, {r["block"] - 1: bytes(r["held"]) for r in blocks})
