@@ -15,6 +15,11 @@ from qassay.llm.queries import table, tokenizer_definition
 from qassay.llm.shared import row_keys, settle
 
 
+def _whole_row(docs: DataFrame):
+    """All columns in one struct, so that no name of theirs meets a name of the operators."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below toxicity.TOXIC_FROM, as in op1_toxicity; the model learns from all rows of labels that have a text here."""
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -23,17 +28,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten or more documents share. A document may become empty, but stays; n_chars follows the text."""
-    applied = line_dedup.apply_bitmaps(docs, line_dedup.drop_bitmaps(docs))
-    text = F.when(F.col("_n_dropped") > 0, F.col("_kept")).otherwise(F.col("text"))
-    changed = {"text": text, "n_chars": F.when(F.col("_n_dropped") > 0, F.length("_kept")).otherwise(F.col("n_chars")).cast("long")}
-    return applied.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    own = docs.select("doc_id", "text", _whole_row(docs))
+    applied = line_dedup.apply_bitmaps(own, line_dedup.drop_bitmaps(own))
+    changed = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
+    lost = F.col("_n_dropped") > 0
+    return applied.select(*[F.when(lost, changed[c]).otherwise(F.col("row")[c]).alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document, by id, of each group linked by a 5-word shingle Jaccard similarity of 0.8 or more; of equal rows one."""
-    first = jaccard_join.jaccard_join(docs).filter("is_first").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
-    named = docs.select("*", *(k.alias(n) for k, n in zip(row_keys("doc_id", "text"), ("_k1", "_k2"), strict=True)))
-    return named.join(first, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    first = jaccard_join.jaccard_join(docs).filter("is_first").select("k1", "k2").distinct()
+    named = docs.select(_whole_row(docs), *row_keys("doc_id", "text"))
+    return named.join(first, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +61,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-# The toxicity model and the tokenizer are beyond SQL; tests/llm compares the stages with brute-force versions.
+# The toxicity model and the tokenizer are beyond SQL; tests/llm compares the rows of the other stages with brute-force versions.
 ORACLE_SQL = None
 
 
