@@ -77,3 +77,6 @@ TIER_WEIGHT_PRESETS = {
     "low_heavy": (0.4, 0.4, 0.2),
     "inverted": (0.1, 0.3, 0.6),
 }
+
+# Arms taken as the baseline of a ceiling comparison when none is named, the first that exists. Fixed values.
+AUTO_BASELINES = ("B3_lora_ctx", "B3_lora_all", "B3_lora_no_ctx")

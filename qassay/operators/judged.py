@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qassay.constants import (
+    AUTO_BASELINES,
     EVAL_DIMENSIONS,
     JUDGE_DIMENSIONS,
     MISSING_FIELDS_ERROR,
@@ -121,17 +124,27 @@ def tier_weights(rows: DataFrame, preset: str = "frequency") -> DataFrame:
     )
 
 
-def ceiling_gap(table: DataFrame, ceiling: str, baseline: str | None, value: str = "mean_gold_alignment") -> DataFrame:
+def ceiling_gap(
+    table: DataFrame, ceiling: str, baseline: str | None = None, value: str = "mean_gold_alignment", candidates: Sequence[str] = AUTO_BASELINES
+) -> DataFrame:
     """Gap to the ceiling arm and share of its gain over the baseline; reference arms are left out.
 
-    The table has one row per arm, so both reference values are read off it with a window.
+    The table has one row per arm, so both reference values are read off it with a window. Without a baseline the first of the candidates that is
+    an arm of the table is taken; where none is, shares are null. A ceiling that is no arm fails the job.
     """
     arms = Window.partitionBy(F.lit(0))
 
-    def of(name: str | None) -> Column:
-        return F.max(F.when(F.col("condition") == F.lit(name), F.col(value))).over(arms)
+    def of(name: str) -> Column:
+        return F.max(F.when(F.col("condition") == name, F.col(value))).over(arms)
+
+    def present(name: str) -> Column:
+        return F.coalesce(F.bool_or(F.col("condition") == name).over(arms), F.lit(False))
 
-    known = table.withColumn("_top", of(ceiling)).withColumn("_base", of(baseline))
+    top = F.when(present(ceiling), of(ceiling)).otherwise(F.raise_error(F.lit(f"no arm {ceiling} to take as the ceiling")).cast("double"))
+    base = F.lit(None).cast("double")
+    for name in reversed(list(candidates) if baseline is None else [baseline]):
+        base = F.when(present(name), of(name)).otherwise(base)
+    known = table.withColumn("_top", top).withColumn("_base", base)
     denominator = F.col("_top") - F.col("_base")
     gain = F.when(F.abs(denominator) > 1e-9, (F.col(value) - F.col("_base")) / denominator)
     return known.filter((F.col("condition") != ceiling) & ~F.col("condition").startswith("REF_")).select(

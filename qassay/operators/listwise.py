@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from qassay.functions.text import is_invalid_answer, strip
 from qassay.operators.enrich import align_arms
+from qassay.operators.ranking import first_per_key
 from qassay.operators.requests import label_order
 from qassay.operators.scoring import mean4, rank_rows
 
@@ -144,8 +145,9 @@ def win_rate(results: DataFrame, baseline: str) -> DataFrame:
     )
 
 
-def swap_merge_ranks(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Mean rank and points of both presentation orders, on questions ranked in both."""
+def swap_merge_ranks(first: DataFrame, second: DataFrame, order: str = "ord") -> DataFrame:
+    """Mean rank and points of both presentation orders, on questions ranked in both; of a question ranked again within a pass the last ranking counts."""
+    first, second = (first_per_key(ranked_ok(p), ["eval_id"], order, largest=True) for p in (first, second))
     a = points_rows(first).select("eval_id", "condition", F.col("rank_value").alias("_r1"), F.col("points").alias("_p1"))
     b = points_rows(second).select("eval_id", "condition", F.col("rank_value").alias("_r2"), F.col("points").alias("_p2"))
     return a.join(b, ["eval_id", "condition"]).select(

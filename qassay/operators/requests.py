@@ -79,7 +79,7 @@ def by_length(requests: DataFrame, text: str = "prompt") -> DataFrame:
 
 
 def judge_requests(
-    rows: DataFrame, max_context_chars: int = 12000, with_gold: bool = True, both_orders: bool = False
+    rows: DataFrame, max_context_chars: int = 0, with_gold: bool = True, both_orders: bool = False
 ) -> DataFrame:
     """Rubric prompts; with a gold answer optionally in both presentation orders."""
     slots = dict(
@@ -97,7 +97,7 @@ def judge_requests(
     )
 
 
-def candidates_block(labels: Column, preds: Column, max_pred_chars: int = 600) -> Column:
+def candidates_block(labels: Column, preds: Column, max_pred_chars: int = 0) -> Column:
     """Blocks of label and prediction, long predictions cut with an ellipsis."""
 
     def block(label: Column, pred: Column) -> Column:
@@ -109,7 +109,7 @@ def candidates_block(labels: Column, preds: Column, max_pred_chars: int = 600) -
 
 
 def listwise_requests(
-    tasks: DataFrame, max_context_chars: int = 8000, max_pred_chars: int = 600, template: str = LISTWISE_TEMPLATE
+    tasks: DataFrame, max_context_chars: int = 0, max_pred_chars: int = 0, template: str = LISTWISE_TEMPLATE
 ) -> DataFrame:
     """Tasks with labels and label_preds arrays to ranking prompts."""
     block = candidates_block(F.col("labels"), F.col("label_preds"), max_pred_chars)
@@ -139,7 +139,7 @@ def answer_requests(rows: DataFrame, use_context: bool = True, fraction: float =
 
 
 def classifier_requests(
-    rows: DataFrame, max_context_chars: int = 8000, template: str = CLASSIFY_TEMPLATE
+    rows: DataFrame, max_context_chars: int = 0, template: str = CLASSIFY_TEMPLATE
 ) -> DataFrame:
     return rows.withColumn(
         "prompt",
@@ -156,7 +156,7 @@ def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
-def sft_judge_rows(rows: DataFrame, system: str, max_context_chars: int = 8000) -> DataFrame:
+def sft_judge_rows(rows: DataFrame, system: str, max_context_chars: int = 0) -> DataFrame:
     """Chat rows whose assistant turn is the teacher's scores as JSON."""
     j = F.col("llm_judge")
     scores = F.to_json(

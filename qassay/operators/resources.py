@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from qassay.constants import EXPECTED_EVAL_ROWS, TIMING_COVERAGE
 from qassay.functions.formats import hms
@@ -77,18 +78,59 @@ def timing_reliability(
     return runs.withColumn("timing_reason", reason).withColumn("timing_reliable", F.col("timing_reason") == "ok")
 
 
-def normalize_timing(raw: DataFrame) -> DataFrame:
-    """Nested and flat timing layouts to one; the nested value wins."""
+def _given(rows: DataFrame, *paths: str, kind: str) -> Column:
+    """First of the (nested) columns that exist and are not null; null where none does."""
+
+    def exists(path: str) -> bool:
+        at = rows.schema
+        for part in path.split("."):
+            if not isinstance(at, T.StructType) or part not in at.names:
+                return False
+            at = at[part].dataType
+        return True
+
+    return F.coalesce(*[F.col(p).cast(kind) for p in paths if exists(p)], F.lit(None).cast(kind))
+
+
+def normalize_timing(raw: DataFrame, expected: dict[str, int] | None = None) -> DataFrame:
+    """Nested and flat timing layouts to one; the nested value wins.
+
+    Columns that a layout lacks are null. Runs whose time is not comparable (see timing_reliability, by the columns dataset, model_slug and n_preds) give
+    no mean, but the reason.
+    """
     wall = F.coalesce("timing.total_wall_s", "total_wall_s")
-    mean = F.coalesce("timing.generate_per_question.mean_s", "generate.mean_s")
-    return raw.select(
+    mean = _given(raw, "timing.generate_per_question.mean_s", "generate.mean_s", kind="double")
+    out = raw.select(
         F.coalesce(F.nullif("condition", F.lit("")), F.col("model_id"), F.lit("")).alias("condition"),
+        _given(raw, "load_type", kind="string").alias("load_type"),
         F.coalesce(F.nullif("decoding.backend", F.lit("")), F.nullif("backend", F.lit("")), F.lit("hf")).alias("backend"),
         F.coalesce(F.nullif("n_questions", F.lit(0)), "n_rows").alias("n_questions"),
         F.coalesce("timing.load_model_s", "load_s").alias("load_model_s"),
         wall.alias("total_wall_s"),
         F.coalesce("timing.total_wall_hms", hms(wall)).alias("total_wall_hms"),
-        mean.alias("mean_s_per_question"),
+        mean.alias("_mean"),
+        _given(raw, "timing.generate_per_question.mean_hms", "generate.mean_hms", kind="string").alias("_hms"),
+        _given(raw, "timing.generate_per_question.p50_s", "generate.p50_s", kind="double").alias("p50_s_per_question"),
+        _given(raw, "timing.generate_per_question.p90_s", "generate.p90_s", kind="double").alias("p90_s_per_question"),
+        (F.col("memory") if "memory" in raw.columns else F.lit(None).cast("string")).alias("memory"),
+        F.struct(
+            _given(raw, "dataset", kind="string").alias("dataset"),
+            F.coalesce(_given(raw, "model_slug", kind="string"), F.lit("")).alias("model_slug"),
+            F.coalesce(F.nullif("backend", F.lit("")), F.nullif("decoding.backend", F.lit(""))).alias("backend"),
+            F.coalesce(F.nullif("n_questions", F.lit(0)), "n_rows").alias("n_questions"),
+            _given(raw, "n_preds", kind="bigint").alias("n_preds"),
+            F.lit(None).cast("double").alias("mean_s"),
+        ).alias("_run"),
+    )
+    judged = timing_reliability(out.select(*[F.col(c).alias(f"_{c}") for c in out.columns if c != "_run"], "_run.*"), expected)
+    reliable = F.col("timing_reliable")
+    kept = [c for c in out.columns if not c.startswith("_")]
+    return judged.select(
+        *[F.col(f"_{c}").alias(c) for c in kept],
+        F.when(reliable, F.col("__mean")).alias("mean_s_per_question"),
+        F.when(reliable, F.coalesce(F.nullif("__hms", F.lit("")), hms(F.col("__mean")))).alias("mean_s_per_question_hms"),
+        reliable.alias("timing_reliable"),
+        F.when(~reliable, F.col("timing_reason")).alias("timing_skip_reason"),
     )
 
 

@@ -234,11 +234,11 @@ def random_sample(rows: DataFrame, n: int, key: str = "eval_id", seed: int = 42)
 def balanced_sample(
     rows: DataFrame, n: int, challenger: str, baseline: str, key: str = "eval_id", seed: int = 42
 ) -> DataFrame:
-    """n // 3 rows each where the challenger wins, the baseline wins, or a rank is missing; then random fill.
+    """n // 3 rows each where the challenger wins, the baseline wins, or a rank is missing; then random fill. A failed ranking (error) has no ranks.
 
     Only the first n rows of each bucket by hash order can ever be taken, so the pool is cut to those.
     """
-    ranks = F.col("ranks_by_condition")
+    ranks = F.when(F.coalesce("error", F.lit("")) == "", F.col("ranks_by_condition"))
     rc, rb = F.try_element_at(ranks, F.lit(challenger)), F.try_element_at(ranks, F.lit(baseline))
     bucket = (
         F.when(rc.isNull() | rb.isNull(), "no_rank")

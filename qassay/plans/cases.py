@@ -391,31 +391,41 @@ def timing_reliability(t: Tables):
 
 @query(
     "normalize_timing",
-    f"""SELECT doc_id, lang AS condition, CASE doc_id % 3 WHEN 0 THEN 'vllm' WHEN 1 THEN 'flat' ELSE 'hf' END AS backend, n_chars AS n_questions,
+    f"""WITH r AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'repliqa' WHEN 1 THEN 'quoref' ELSE 'squad' END AS dataset, n_chars AS n_questions, n_chars - doc_id % 900 AS n_preds FROM documents),
+f AS (SELECT *, CASE WHEN doc_id % 10 = 0 THEN 'gemma_mixed_backends' WHEN doc_id % 6 = 0 THEN 'vllm_batch' WHEN n_questions > 0 AND n_questions < {_WANT} THEN 'partial_shard'
+  WHEN n_preds > 0 AND n_preds < {_WANT} THEN 'partial_preds' END AS reason FROM r)
+SELECT doc_id, lang AS condition, CASE WHEN doc_id % 2 = 0 THEN '4bit' END AS load_type, CASE WHEN doc_id % 6 = 0 THEN 'vllm' WHEN doc_id % 3 = 1 THEN 'flat' ELSE 'hf' END AS backend, n_chars AS n_questions,
   CAST(CASE WHEN doc_id % 2 = 0 THEN n_chars ELSE doc_id END AS DOUBLE) AS total_wall_s, {s.hms('CAST(CASE WHEN doc_id % 2 = 0 THEN n_chars ELSE doc_id END AS DOUBLE)')} AS total_wall_hms,
-  CAST(CASE WHEN doc_id % 2 = 0 THEN 1.5 ELSE 2.5 END AS DOUBLE) AS mean_s_per_question FROM documents""",
+  CASE WHEN reason IS NULL THEN CAST(CASE WHEN doc_id % 2 = 0 THEN 61.5 ELSE 2.5 END AS DOUBLE) END AS mean_s_per_question,
+  CASE WHEN reason IS NULL THEN CASE WHEN doc_id % 2 = 0 THEN '00:01:02' ELSE '2.5 s' END END AS mean_s_per_question_hms,
+  CAST(CASE WHEN doc_id % 2 = 0 THEN 1.25 END AS DOUBLE) AS p50_s, CAST(CASE WHEN doc_id % 2 = 0 THEN 2.75 END AS DOUBLE) AS p90_s, CAST(doc_id % 7 AS BIGINT) AS peak_mb,
+  reason IS NULL AS timing_reliable, reason AS timing_skip_reason FROM f""",
 )
 def normalize_timing(t: Tables):
+    """Nested and flat layouts, comparable runs and others."""
     i, even = F.col("doc_id"), F.col("doc_id") % 2 == 0
     number = F.lit(None).cast("double")
     nested = F.struct(
         number.alias("load_model_s"), F.col("n_chars").cast("double").alias("total_wall_s"), F.lit(None).cast("string").alias("total_wall_hms"),
-        F.struct(F.lit(1.5).alias("mean_s")).alias("generate_per_question"),
+        F.struct(F.lit(61.5).alias("mean_s"), F.lit(1.25).alias("p50_s"), F.lit(2.75).alias("p90_s")).alias("generate_per_question"),
     )
     raw = t.table("documents").select(
         F.when(even, F.concat_ws("#", "lang", i.cast("string"))).otherwise("").alias("condition"),
-        F.concat_ws("#", "lang", i.cast("string")).alias("model_id"),
-        F.struct(F.when(i % 3 == 0, "vllm").alias("backend")).alias("decoding"),
+        F.concat_ws("#", "lang", i.cast("string")).alias("model_id"), F.when(even, "4bit").alias("load_type"),
+        F.struct(F.when(i % 6 == 0, "vllm").alias("backend")).alias("decoding"),
         F.when(i % 3 == 1, "flat").otherwise("").alias("backend"),
-        F.when(even, F.col("n_chars")).otherwise(0).alias("n_questions"), F.col("n_chars").alias("n_rows"),
+        F.when(i % 3 == 0, "repliqa").when(i % 3 == 1, "quoref").otherwise("squad").alias("dataset"),
+        F.when(i % 10 == 0, "gemma3_4b").otherwise("other").alias("model_slug"),
+        F.when(even, F.col("n_chars")).otherwise(0).alias("n_questions"), F.col("n_chars").alias("n_rows"), (F.col("n_chars") - i % 900).alias("n_preds"),
         F.when(even, nested).alias("timing"), number.alias("load_s"), i.cast("double").alias("total_wall_s"),
-        F.struct(F.lit(2.5).alias("mean_s")).alias("generate"),
+        F.struct(F.lit(2.5).alias("mean_s"), F.when(~even, "2.5 s").alias("mean_hms")).alias("generate"), F.struct((i % 7).alias("peak_mb")).alias("memory"),
     )
     out = resources.normalize_timing(raw)
     return out.select(
         F.split_part("condition", F.lit("#"), F.lit(2)).cast("bigint").alias("doc_id"),
-        F.split_part("condition", F.lit("#"), F.lit(1)).alias("condition"), "backend", "n_questions", "total_wall_s", "total_wall_hms",
-        "mean_s_per_question",
+        F.split_part("condition", F.lit("#"), F.lit(1)).alias("condition"), "load_type", "backend", "n_questions", "total_wall_s", "total_wall_hms",
+        "mean_s_per_question", "mean_s_per_question_hms", F.col("p50_s_per_question").alias("p50_s"), F.col("p90_s_per_question").alias("p90_s"),
+        F.col("memory.peak_mb").alias("peak_mb"), "timing_reliable", "timing_skip_reason",
     )
 
 

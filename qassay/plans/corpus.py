@@ -145,28 +145,6 @@ def passage_id(t: Tables):
     return t.docs.select("document_id", judging.passage_id("tag", F.col("context"), title, given).alias("passage_id"))
 
 
-@query(
-    "resolve_fields",
-    f"""SELECT CASE WHEN conv_id % 2 = 0 THEN eval_id ELSE 'c' || eval_id END AS row_key,
-  CASE WHEN turn % 4 = 0 THEN {s.strip('pred')} ELSE {s.strip('question')} END AS pred,
-  CASE WHEN conv_id % 5 = 0 THEN {s.strip('question')} ELSE {s.strip('gold')} END AS gold,
-  CASE WHEN turn % 4 = 0 THEN {s.strip('pred')} ELSE {s.strip('question')} END AS judged_text
-FROM v_pred WHERE {s.strip('pred')} <> '' AND {s.strip('question')} <> ''""",
-)
-def resolve_fields(t: Tables):
-    rows = t.pred.filter((text.strip(F.col("pred")) != "") & (text.strip(F.col("question")) != ""))
-    return normalize.resolve_fields(
-        rows.select(
-            F.when(F.col("conv_id") % 2 == 0, F.col("eval_id")).otherwise(" ").alias("eval_id"),
-            F.concat(F.lit("c"), "eval_id").alias("chunk_id"),
-            F.when(F.col("turn") % 4 == 0, F.col("pred")).alias("pred"),
-            F.col("question").alias("prediction"),
-            F.when(F.col("conv_id") % 5 != 0, F.col("gold")).alias("gold"),
-            F.col("question").alias("answer"),
-        )
-    )
-
-
 _BLANK_PRED = f"CASE WHEN {h_sql('conv_id', 'turn', 6)} = 0 THEN '  ' ELSE pred END"
 _BLANK_QUESTION = f"CASE WHEN {h_sql('conv_id', 'turn', 10)} = 0 THEN '  ' ELSE question END"
 
@@ -176,13 +154,13 @@ def _first_sql(*texts: str) -> str:
 
 
 @query(
-    "resolve_fields_all",
+    "resolve_fields",
     f"""SELECT CASE WHEN conv_id % 2 = 0 THEN eval_id ELSE 'c' || eval_id END AS row_key,
   {_first_sql('p', 'q')} AS pred, {_first_sql('g', 'q')} AS gold, {_first_sql('p', 'q')} AS judged_text
 FROM (SELECT *, CASE WHEN turn % 4 = 0 THEN {_BLANK_PRED} END AS p, {_BLANK_QUESTION} AS q,
   CASE WHEN conv_id % 5 <> 0 THEN gold END AS g FROM v_pred)""",
 )
-def resolve_fields_all(t: Tables):
+def resolve_fields(t: Tables):
     """All rows, some with blank predictions or questions."""
     conv, turn = F.col("conv_id"), F.col("turn")
     question = F.when(h(conv, turn, 10) == 0, "  ").otherwise(F.col("question"))
@@ -389,29 +367,15 @@ def generation_requests(t: Tables):
 
 @query(
     "judge_requests",
-    f"""SELECT eval_id, presentation, md5(CASE WHEN presentation = 'gold_first'
-  THEN {fill_sql(requests.GOLD_FIRST_TEMPLATE, context='context[1:12000]', question='question', gold='gold', answer='pred')}
-  ELSE {fill_sql(requests.PRED_FIRST_TEMPLATE, context='context[1:12000]', question='question', gold='gold', answer='pred')} END) AS prompt_md5
-FROM (SELECT *, unnest(['gold_first', 'pred_first']) AS presentation FROM v_pred WHERE condition = 'candidate')""",
-)
-def judge_requests(t: Tables):
-    rows = t.pred.filter("condition = 'candidate'").withColumn("answer", F.col("pred"))
-    return requests.judge_requests(rows, both_orders=True).select(
-        "eval_id", "presentation", F.md5("prompt").alias("prompt_md5")
-    )
-
-
-@query(
-    "judge_requests_all_arms",
     f"""SELECT eval_id, condition, presentation, md5(CASE WHEN presentation = 'gold_first'
   THEN {fill_sql(requests.GOLD_FIRST_TEMPLATE, context='context', question='question', gold='gold', answer='pred')}
   ELSE {fill_sql(requests.PRED_FIRST_TEMPLATE, context='context', question='question', gold='gold', answer='pred')} END) AS prompt_md5
 FROM (SELECT *, unnest(['gold_first', 'pred_first']) AS presentation FROM v_pred)""",
 )
-def judge_requests_all_arms(t: Tables):
+def judge_requests(t: Tables):
     """Every arm, with whole contexts."""
     rows = t.pred.withColumn("answer", F.col("pred"))
-    return requests.judge_requests(rows, max_context_chars=0, both_orders=True).select(
+    return requests.judge_requests(rows, both_orders=True).select(
         "eval_id", "condition", "presentation", F.md5("prompt").alias("prompt_md5")
     )
 
@@ -422,7 +386,7 @@ def judge_requests_all_arms(t: Tables):
     || chr(10) || chr(10) || 'Question: ' || {s.strip('question')} || chr(10) || chr(10)
     || 'Answer the question using only the context above. Be direct and concise.') AS prompt_md5 FROM v_qa
 UNION ALL SELECT eval_id, 'none', md5('Question: ' || {s.strip('question')} || chr(10) || chr(10) || 'Answer concisely.') FROM v_qa
-UNION ALL SELECT eval_id, 'classify', md5({fill_sql(requests.CLASSIFY_TEMPLATE, context=f"{s.strip('context')}[1:8000]", question=s.strip('question'), gold=s.strip('answer'))}) FROM v_qa""",
+UNION ALL SELECT eval_id, 'classify', md5({fill_sql(requests.CLASSIFY_TEMPLATE, context=s.strip('context'), question=s.strip('question'), gold=s.strip('answer'))}) FROM v_qa""",
 )
 def answer_requests(t: Tables):
     parts = [
@@ -443,7 +407,7 @@ def _chat_sql(system: str, user: str, target: str) -> str:
     return "md5(CAST(to_json([" + ", ".join(f"{{'role': '{r}', 'content': {c}}}" for r, c in turns) + "]) AS VARCHAR))"
 
 
-_JUDGE_USER = fill_sql(requests.JUDGE_TEMPLATE, context="context[1:8000]", question="question", answer=s.strip("answer"))
+_JUDGE_USER = fill_sql(requests.JUDGE_TEMPLATE, context="context", question="question", answer=s.strip("answer"))
 _GEN_USER = fill_sql(requests.GENERATE_TEMPLATE, pairs="1", passage=s.strip("context"))
 
 

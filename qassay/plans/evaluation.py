@@ -485,6 +485,24 @@ def ceiling_gap(t: Tables):
     return judged.ceiling_gap(means.unionByName(top), "REF_top", "baseline_a")
 
 
+@query(
+    "ceiling_gap_auto",
+    f"""WITH m AS (SELECT CASE condition WHEN 'baseline_a' THEN 'B3_lora_no_ctx' WHEN 'baseline_b' THEN 'B3_lora_all' ELSE condition END AS condition, mean_gold_alignment FROM ({_MEANS})
+  UNION ALL SELECT 'REF_top', {s.r('avg(overall) + 1')} FROM v_pred),
+c AS (SELECT max(mean_gold_alignment) FILTER (WHERE condition = 'REF_top') AS top, max(mean_gold_alignment) FILTER (WHERE condition = 'B3_lora_all') AS base FROM m)
+SELECT condition, mean_gold_alignment, {s.r('top - mean_gold_alignment')} AS gap_to_ceiling,
+  CASE WHEN abs(top - base) > 1e-9 THEN {s.r('(mean_gold_alignment - base) / (top - base)')} END AS recovery_vs_baseline,
+  CASE WHEN abs(top - base) > 1e-9 THEN {s.r('100.0 * ((mean_gold_alignment - base) / (top - base))', 1)} END AS pct_of_ceiling_gain
+FROM m, c WHERE NOT starts_with(condition, 'REF_')""",
+)
+def ceiling_gap_auto(t: Tables):
+    """No baseline named: the first known one among the arms."""
+    named = F.when(F.col("condition") == "baseline_a", "B3_lora_no_ctx").when(F.col("condition") == "baseline_b", "B3_lora_all").otherwise(F.col("condition"))
+    means = t.pred.groupBy(named.alias("condition")).agg(scoring.mean4(F.col("gold_alignment")).alias("mean_gold_alignment"))
+    top = t.pred.agg(F.bround(F.avg("overall") + 1, 4).alias("mean_gold_alignment")).select(F.lit("REF_top").alias("condition"), "mean_gold_alignment")
+    return judged.ceiling_gap(means.unionByName(top), "REF_top")
+
+
 @query(
     "match_baselines",
     """WITH c AS (SELECT DISTINCT arm || suffix AS condition, role, CASE WHEN suffix = '_no_ctx' THEN 'no_ctx' WHEN suffix = '_ctx' THEN 'ctx' ELSE 'all' END AS family

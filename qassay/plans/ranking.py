@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qassay.functions import judging
-from qassay.operators import bootstrap, enrich, listwise, requests
+from qassay.operators import bootstrap, enrich, listwise, order_bootstrap, requests
 from qassay.plans import sqltext as s
 from qassay.plans.corpus import fill_sql
 from qassay.plans.evaluation import _SCORED, scored
@@ -57,9 +57,9 @@ def listwise_labels(t: Tables):
 
 @query(
     "listwise_requests",
-    f"""WITH {_LABELS_SQL}, blocks AS (SELECT eval_id, count(*) AS n, string_agg('[' || label || ']' || chr(10) || CASE WHEN length(pred) > 600 THEN pred[1:600] || '…' ELSE pred END,
+    f"""WITH {_LABELS_SQL}, blocks AS (SELECT eval_id, count(*) AS n, string_agg('[' || label || ']' || chr(10) || pred,
   chr(10) || chr(10) ORDER BY label) AS candidates FROM labelled GROUP BY 1)
-SELECT eval_id, md5(candidates) AS candidates_md5, md5({fill_sql(requests.LISTWISE_TEMPLATE, context='context[1:8000]', question='question', gold='gold', candidates='candidates', n='n')}) AS prompt_md5
+SELECT eval_id, md5(candidates) AS candidates_md5, md5({fill_sql(requests.LISTWISE_TEMPLATE, context='context', question='question', gold='gold', candidates='candidates', n='n')}) AS prompt_md5
 FROM blocks JOIN tasks USING (eval_id)""",
 )
 def listwise_requests(t: Tables):
@@ -137,7 +137,11 @@ def _second_pass(t: Tables) -> DataFrame:
 SELECT eval_id, condition, (a.rank_value + b.rank_value) / 2 AS mean_rank, (a.points + b.points) / 2 AS mean_points FROM {_OK_RANK} a JOIN second b USING (eval_id, condition)""",
 )
 def swap_merge_ranks(t: Tables):
-    return listwise.swap_merge_ranks(t.rank, _second_pass(t))
+    """Some questions stand twice in the first pass."""
+    first = t.rank.withColumn("ord", F.col("conv_id") * 2)
+    # Every fifth question is ranked once more before, with the arms the other way round: the later ranking counts.
+    redone = _second_pass(t).withColumn("ord", F.col("conv_id") * 2 - 1).filter(F.col("conv_id") % 5 == 0)
+    return listwise.swap_merge_ranks(first.unionByName(redone), _second_pass(t).withColumn("ord", F.col("conv_id")))
 
 
 # ---- slices
@@ -297,6 +301,48 @@ def bootstrap_win_rate(t: Tables):
     return _interval(bootstrap.bootstrap_outcomes(outcomes, n_boot=N_BOOT), outcomes, ["condition"], "outcome")
 
 
+def _quantile_interval(ci: DataFrame, values: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
+    """n and point, and whether the ends of the interval stand at the places of the sorted values where the binomial law puts them."""
+    v, sd = F.col(value).cast("double"), F.sqrt(F.col("n") * q * (1 - q))
+    placed = values.filter(v.isNotNull()).join(F.broadcast(ci), keys).groupBy(*keys, "n", "point").agg(*[
+        F.count_if(test).alias(name) for name, test in (
+            ("low_from", v < F.col("ci_low") - 1e-4), ("low_to", v <= F.col("ci_low") + 1e-4), ("high_from", v < F.col("ci_high") - 1e-4), ("high_to", v <= F.col("ci_high") + 1e-4))
+    ])
+    slack = 0.25 * sd + 2
+    low, high = F.col("n") * q - 1.96 * sd, F.col("n") * q + 1.96 * sd
+    fits = (F.col("low_from") <= low + slack) & (F.col("low_to") >= low - slack) & (F.col("high_from") <= high + slack) & (F.col("high_to") >= high - slack)
+    return placed.select(*keys, "n", "point", fits.alias("fits"))
+
+
+@query(
+    "bootstrap_median",
+    f"SELECT l_returnflag, count(*) AS n, {s.r('quantile_cont(l_extendedprice::DOUBLE, 0.5)')} AS point, TRUE AS fits FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY 1",
+)
+def bootstrap_median(t: Tables):
+    """The median of a column with very many distinct values."""
+    rows = t.table("lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("price"))
+    return _quantile_interval(order_bootstrap.bootstrap_median(rows, "price", ["l_returnflag"]), rows, ["l_returnflag"], "price", 0.5)
+
+
+@query(
+    "bootstrap_p90",
+    f"SELECT condition, count(*) AS n, {s.r('quantile_cont(gold_alignment::DOUBLE, 0.9)')} AS point, TRUE AS fits FROM v_pred WHERE gold_alignment IS NOT NULL GROUP BY 1",
+)
+def bootstrap_p90(t: Tables):
+    ci = order_bootstrap.bootstrap_quantile(t.pred, "gold_alignment", ["condition"], q=0.9, n_boot=N_BOOT)
+    return _quantile_interval(ci, t.pred, ["condition"], "gold_alignment", 0.9)
+
+
+@query(
+    "bootstrap_median_paired",
+    f"WITH vals AS ({_ALL_PAIRS}) SELECT challenger, baseline, count(*) AS n, {s.r('quantile_cont(v::DOUBLE, 0.5)')} AS point, TRUE AS fits FROM vals GROUP BY 1, 2",
+)
+def bootstrap_median_paired(t: Tables):
+    keys = ["challenger", "baseline"]
+    ci = order_bootstrap.bootstrap_quantile_paired(t.pred, _pairs(t), "gold_alignment", n_boot=N_BOOT)
+    return _quantile_interval(ci, bootstrap.pair_deltas(t.pred, _pairs(t), "gold_alignment"), keys, "delta", 0.5)
+
+
 _MATCHED = _DELTAS.format(
     pairs="SELECT 'candidate', condition FROM v_pred WHERE condition <> 'candidate' AND gold_alignment IS NOT NULL GROUP BY 2 ORDER BY avg(gold_alignment) DESC, condition LIMIT 1"
 )

@@ -233,8 +233,8 @@ def eval_subset_stats(t: Tables):
 
 @query(
     "balanced_sample",
-    f"""WITH w AS (SELECT eval_id, max(rank_value) FILTER (WHERE condition = 'candidate') AS rc, max(rank_value) FILTER (WHERE condition = 'baseline_b') AS rb
-  FROM v_rank GROUP BY 1),
+    f"""WITH w AS (SELECT eval_id, max(rank_value) FILTER (WHERE condition = 'candidate' AND error IS NULL) AS rc,
+  max(rank_value) FILTER (WHERE condition = 'baseline_b' AND error IS NULL) AS rb FROM v_rank GROUP BY 1),
 b AS (SELECT eval_id, {s.hash_key(42, 'eval_id')} AS k, CASE WHEN rc IS NULL OR rb IS NULL THEN 'no_rank' WHEN rc < rb THEN 'challenger_wins'
   WHEN rb < rc THEN 'baseline_wins' ELSE 'tie' END AS bucket FROM w),
 r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY k) AS rn FROM b),

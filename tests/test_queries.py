@@ -49,7 +49,7 @@ def test_query_matches_sql(spark, name):
     assert as_float[0] == as_float[1]
 
 
-WHOLE = ["judge_requests_all_arms", "parse_listwise_all", "resolve_fields_all"]
+WHOLE = ["judge_requests", "parse_listwise", "resolve_fields", "bootstrap_median", "bootstrap_p90", "swap_merge_ranks", "balanced_sample", "normalize_timing", "ceiling_gap_auto"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -58,9 +58,9 @@ def test_whole_query_matches_sql(spark, name):
 
 
 def test_whole_queries_keep_every_row(spark):
-    n = entry_module.queries()["judge_requests_all_arms"](spark, SF_DIR).groupBy("condition").count().collect()
+    n = entry_module.queries()["judge_requests"](spark, SF_DIR).groupBy("condition").count().collect()
     assert {r.condition for r in n} == {"candidate", "baseline_a", "baseline_b"} and len({r["count"] for r in n}) == 1
-    ranked = entry_module.queries()["parse_listwise_all"](spark, SF_DIR)
+    ranked = entry_module.queries()["parse_listwise"](spark, SF_DIR)
     assert ranked.filter("error IS NOT NULL AND condition IS NULL").count() > 0
     assert ranked.select("eval_id").distinct().count() * 6 == sum(r["count"] for r in n)
-    assert entry_module.queries()["resolve_fields_all"](spark, SF_DIR).count() * 2 == sum(r["count"] for r in n)
+    assert entry_module.queries()["resolve_fields"](spark, SF_DIR).count() * 2 == sum(r["count"] for r in n)
