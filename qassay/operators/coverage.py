@@ -1,30 +1,35 @@
 """How much of each document its questions and answers touch, window by window.
 
-Question/answer text is never concatenated: only distinct (document, token) pairs are kept, and they
+Lexical coverage never concatenates question/answer text: only distinct (document, token) pairs are kept, and they
 meet the documents' own (document, token) pairs on both columns, so a document with very many
-questions spreads over its tokens.
+questions spreads over its tokens. Coverage by embeddings sums the vectors of a document's questions element by element, with
+map-side combine. The joined text itself is streamed over sorted ranges, so only its last few parts meet per document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qassay.functions.judging import document_id
+from qassay.functions.metrics import cosine
 from qassay.functions.text import ascii_tokens
 from qassay.operators.chunking import equal_windows
-from qassay.operators.ranking import lookup_join
+from qassay.operators.ranking import lookup_join, magnitude_bucket, nth_keys, settle
 from qassay.operators.scoring import mean4
 
 TIER_SEVERITY = ("high", "medium", "low", "drop", "unknown")
 
 
-def qa_rows(qa: DataFrame, exclude_tiers: tuple[str, ...] = ()) -> DataFrame:
-    """Document, tier and text of each question/answer row; rows of excluded tiers are dropped."""
+def qa_rows(qa: DataFrame, exclude_tiers: tuple[str, ...] = (), *kept: str) -> DataFrame:
+    """Document, tier and text of each question/answer row, with the kept columns; rows of excluded tiers are dropped."""
     other = F.coalesce(*[F.nullif(c, F.lit("")) for c in ("section_id", "chunk_id") if c in qa.columns])
     text = F.concat_ws(" ", F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit("")))
     tier = F.coalesce(F.nullif("quality_tier", F.lit("")), F.lit("unknown"))
-    rows = qa.select(document_id(F.col("document_id"), other).alias("document_id"), tier.alias("tier"), text.alias("text"))
+    rows = qa.select(document_id(F.col("document_id"), other).alias("document_id"), tier.alias("tier"), text.alias("text"), *kept)
     return rows.filter(~F.lower("tier").isin(*exclude_tiers)) if exclude_tiers else rows
 
 
@@ -47,6 +52,47 @@ def qa_text_stats(qa: DataFrame, docs: DataFrame, exclude_tiers: tuple[str, ...]
     )
 
 
+def joined_texts(rows: DataFrame, key: str, text: str, order: str = "ord", separator: str = " ", part_chars: int = 1 << 20) -> DataFrame:
+    """key and all texts of the key in the order, joined by the separator. Null texts count as empty; a null key is a key.
+
+    Rows are dealt by range over (key, order) and joined while they stream past, in parts of at most about part_chars characters (a longer text is one
+    part). A key with very many rows lies in several ranges; only its parts meet in the end, as one value of its row.
+    """
+    own = rows.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(order).alias("_order"))
+    ordered = own.repartitionByRange("_key", "_order").sortWithinPartitions("_key", "_order")
+    placed = ordered.select("_key", "_text", F.monotonically_increasing_id().alias("_place"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        size, current, first = 0, None, None
+
+        def part() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([current], kind), pa.array([separator.join(held)]), pa.array([first])], ["_key", "_text", "_place"])
+
+        for batch in batches:
+            kind = batch.schema.field("_key").type
+            for value, words, place in zip(*(batch.column(c).to_pylist() for c in ("_key", "_text", "_place")), strict=True):
+                if held and (value != current or size >= part_chars):
+                    yield part()
+                    held, size = [], 0
+                if not held:
+                    current, first = value, place
+                held.append(words)
+                size += len(words) + len(separator)
+        if held:
+            yield part()
+
+    parts = placed.mapInArrow(join, placed.schema)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("_place", "_text"))), lambda p: p["_text"])
+    return parts.groupBy("_key").agg(F.array_join(texts, separator).alias(text)).withColumnRenamed("_key", key)
+
+
+def qa_texts(qa: DataFrame, docs: DataFrame, exclude_tiers: tuple[str, ...] = (), order: str = "ord") -> DataFrame:
+    """Per document the text of its questions and answers, joined by blanks in their order; empty without rows."""
+    text = joined_texts(qa_rows(qa, exclude_tiers, order), "document_id", "text", order)
+    return docs.select("document_id").join(text, "document_id", "left").select("document_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def qa_tokens(rows: DataFrame) -> DataFrame:
     return rows.select("document_id", F.explode(ascii_tokens(F.col("text"))).alias("token")).distinct()
 
@@ -156,3 +202,50 @@ def coverage_cosine(windows: DataFrame, threshold: float = 0.35) -> DataFrame:
     )
 
 
+def tier_counts(qa: DataFrame, exclude_tiers: tuple[str, ...] = ()) -> DataFrame:
+    """Question/answer rows per tier, and whether the tier is left out."""
+    out = F.lower("tier").isin(*exclude_tiers) if exclude_tiers else F.lit(False)
+    return qa_rows(qa).groupBy("tier").agg(F.count(F.lit(1)).alias("n_rows")).select("tier", "n_rows", out.alias("excluded"))
+
+
+def mean_vectors(rows: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
+    """key and the element-wise mean of the vectors of the key: one sum per element, combined map-side. Vectors of another length and null ones do not count."""
+    fit = rows.filter(F.size(vector) == dim)
+    sums = fit.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(vector)[i].cast("double")).alias(f"_s{i}") for i in range(dim)])
+    return sums.select(key, F.array(*[F.col(f"_s{i}") / F.col("_n") for i in range(dim)]).alias(vector))
+
+
+def window_cosines(windows: DataFrame, qa_vectors: DataFrame, dim: int, threshold: float = 0.35) -> DataFrame:
+    """Per document window (document_id, window, embedding): cosine to the mean vector of the document's questions and answers (document_id, embedding),
+    and the hit flag. Documents without such vectors have null cosines and no hits."""
+    means = mean_vectors(qa_vectors, "document_id", "embedding", dim).withColumnRenamed("embedding", "_qa")
+    similar = cosine(F.transform("embedding", lambda x: x.cast("double")), F.col("_qa"))
+    found = windows.join(means, "document_id", "left").withColumn("cosine", F.when(F.col("_qa").isNotNull(), similar))
+    return found.select("document_id", "window", "cosine", F.coalesce(F.col("cosine") >= threshold, F.lit(False)).alias("hit"))
+
+
+def coverage_by_embedding(cosines: DataFrame) -> DataFrame:
+    """Per document: windows, hits, coverage, mean cosine and the hit flags in the order of the windows."""
+    flags = F.transform(F.array_sort(F.collect_list(F.struct("window", "hit"))), lambda w: w["hit"])
+    return cosines.groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("n_windows"), F.count_if("hit").alias("n_hits"), F.bround(F.count_if("hit") / F.count(F.lit(1)), 4).alias("coverage"),
+        mean4(F.col("cosine")).alias("mean_cosine"), flags.alias("hits"),
+    )
+
+
+def embedding_summary(cosines: DataFrame, qa: DataFrame, exclude_tiers: tuple[str, ...] = ()) -> DataFrame:
+    """One row: documents, rows kept and left out, mean and median coverage, shares of well covered documents, mean and median cosine of all windows."""
+    cosines = settle(cosines)  # read for the coverage and for the middle cosines
+    n = F.col("n_rows")
+    rows = tier_counts(qa, exclude_tiers).agg(
+        F.coalesce(F.sum(F.when(~F.col("excluded"), n)), F.lit(0)).alias("n_qa_rows"), F.coalesce(F.sum(F.when(F.col("excluded"), n)), F.lit(0)).alias("n_qa_rows_excluded")
+    )
+    known = cosines.filter(F.col("cosine").isNotNull()).select("cosine")
+    middle = nth_keys(known, "cosine", lambda n: {"low": F.ceil(n / 2), "high": F.floor(n / 2) + 1}, bucket=magnitude_bucket(F.col("cosine")))
+    mean, median = known.agg(mean4(F.col("cosine"))).scalar(), middle.agg(F.bround(F.avg("cosine"), 4)).scalar()
+    kept = rows.select(F.struct("n_qa_rows", "n_qa_rows_excluded")).scalar()
+    return coverage_by_embedding(cosines).agg(
+        F.count(F.lit(1)).alias("n_documents"), mean4(_covered()).alias("mean_coverage"), F.bround(F.percentile(_covered(), 0.5), 4).alias("median_coverage"),
+        _share(0.8).alias("pct_ge_80"), _share(0.4).alias("pct_ge_40"), F.first(kept["n_qa_rows"]).alias("n_qa_rows"),
+        F.first(kept["n_qa_rows_excluded"]).alias("n_qa_rows_excluded"), F.first(mean).alias("mean_window_cosine"), F.first(median).alias("median_window_cosine"),
+    )

@@ -103,6 +103,60 @@ def coverage_cosine(t: Tables):
     return coverage.coverage_cosine(windows)
 
 
+_DIM = 64
+_VEC_SQL = f"""parts AS (SELECT CAST(vec_id // 10 AS BIGINT) AS document_id, vec_id % 10 AS w, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+summed AS (SELECT document_id, i, avg(e[i]) AS m FROM (SELECT document_id, e, unnest(range(1, {_DIM} + 1)) AS i FROM parts WHERE w >= 5) GROUP BY 1, 2),
+means AS (SELECT document_id, list(m ORDER BY i) AS q FROM summed GROUP BY 1),
+cosines AS (SELECT document_id, w, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) AS c FROM parts LEFT JOIN means USING (document_id) WHERE w < 5),
+flagged AS (SELECT *, coalesce(c >= 0.35, FALSE) AS hit FROM cosines),
+tiers AS (SELECT coalesce(quality_tier, 'unknown') AS tier, count(*) AS n_rows, coalesce(quality_tier, 'unknown') = 'drop' AS excluded FROM v_judged GROUP BY ALL)"""
+
+
+def _cosines(t: Tables):
+    """Every ten vectors are a document: five windows, and the vectors of its questions."""
+    own = t.table("embeddings").select(F.floor(F.col("vec_id") / 10).cast("bigint").alias("document_id"), (F.col("vec_id") % 10).alias("window"), "embedding")
+    return coverage.window_cosines(own.filter("window < 5"), own.filter("window >= 5"), _DIM)
+
+
+@query(
+    "coverage_embedding",
+    f"""WITH {_VEC_SQL} SELECT document_id, count(*) AS n_windows, count(*) FILTER (WHERE hit) AS n_hits, {s.r('count(*) FILTER (WHERE hit) / count(*)')} AS coverage, {s.r('avg(c)')} AS mean_cosine,
+  {', '.join(f"any_value(hit) FILTER (WHERE w = {i}) AS hit_{i}" for i in range(5))} FROM flagged GROUP BY 1""",
+)
+def coverage_embedding(t: Tables):
+    per_doc = coverage.coverage_by_embedding(_cosines(t))
+    return per_doc.select("document_id", "n_windows", "n_hits", "coverage", "mean_cosine", *[F.get("hits", F.lit(i)).alias(f"hit_{i}") for i in range(5)])
+
+
+@query(
+    "coverage_embedding_summary",
+    f"""WITH {_VEC_SQL}, per_doc AS (SELECT document_id, count(*) FILTER (WHERE hit) / count(*) AS cov FROM flagged GROUP BY 1)
+SELECT count(*) AS n_documents, {s.r('avg(cov)')} AS mean_coverage, {s.r('quantile_cont(cov, 0.5)')} AS median_coverage, {s.r('100.0 * count(*) FILTER (WHERE cov >= 0.8) / count(*)', 2)} AS pct_ge_80,
+  {s.r('100.0 * count(*) FILTER (WHERE cov >= 0.4) / count(*)', 2)} AS pct_ge_40, (SELECT CAST(coalesce(sum(n_rows) FILTER (WHERE NOT excluded), 0) AS BIGINT) FROM tiers) AS n_qa_rows,
+  (SELECT CAST(coalesce(sum(n_rows) FILTER (WHERE excluded), 0) AS BIGINT) FROM tiers) AS n_qa_rows_excluded, (SELECT {s.r('avg(c)')} FROM cosines) AS mean_window_cosine,
+  (SELECT {s.r('quantile_cont(c, 0.5)')} FROM cosines) AS median_window_cosine FROM per_doc""",
+)
+def coverage_embedding_summary(t: Tables):
+    return coverage.embedding_summary(_cosines(t), _qa(t), exclude_tiers=("drop",))
+
+
+@query("coverage_tier_counts", f"WITH {_VEC_SQL} SELECT * FROM tiers")
+def coverage_tier_counts(t: Tables):
+    return coverage.tier_counts(_qa(t), exclude_tiers=("drop",))
+
+
+@query(
+    "doc_qa_texts",
+    """WITH rows AS (SELECT document_id, question || ' ' || answer AS text, ord FROM v_judged WHERE coalesce(quality_tier, 'unknown') <> 'drop')
+SELECT d.document_id, length(coalesce(t, '')) AS n_chars, md5(coalesce(t, '')) AS text_md5 FROM v_docs d LEFT JOIN (SELECT document_id, string_agg(text, ' ' ORDER BY ord) AS t FROM rows GROUP BY 1) USING (document_id)""",
+)
+def doc_qa_texts(t: Tables):
+    """The joined text itself."""
+    qa = t.judged.select("document_id", "chunk_id", "question", "answer", F.col("llm_judge.quality_tier").alias("quality_tier"), "ord")
+    texts = coverage.qa_texts(qa, t.docs, exclude_tiers=("drop",))
+    return texts.select("document_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 # ---- mining
 
 _FIELDS = ("pred", "gold_alignment", "grounding")

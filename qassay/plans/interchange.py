@@ -47,6 +47,23 @@ def scan_jsonl_bad_rows(t: Tables):
     )
 
 
+@query(
+    "bad_json_lines",
+    """WITH lines AS (SELECT doc_id % 16 AS part, doc_id, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 7 = 0 THEN '{"doc_id": ' || doc_id || ', "text": "cut' ELSE 'good' END AS line,
+  row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) AS no FROM documents)
+SELECT CAST(part AS BIGINT) AS part, no AS line, line AS text FROM lines WHERE doc_id % 5 <> 0 AND doc_id % 7 = 0""",
+)
+def bad_json_lines(t: Tables):
+    """Whole texts as JSON lines in sixteen files; some lines are blank, some are cut off."""
+    path, i = scratch(t.spark, "bad-lines"), F.col("doc_id")
+    cut = F.concat(F.lit('{"doc_id": '), i.cast("string"), F.lit(', "text": "cut'))
+    line = F.when(i % 5 == 0, "").when(i % 7 == 0, cut).otherwise(F.to_json(F.struct("doc_id", "text")))
+    rows = t.table("documents").select((i % 16).alias("part"), "doc_id", line.alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
+    found = jsonl.bad_lines(t.spark, path, schemas.struct_type("doc_id bigint, text string"))
+    return found.select(F.regexp_extract("file", r"part=(\d+)", 1).cast("bigint").alias("part"), "line", "text")
+
+
 def _write_conditions(t: Tables) -> str:
     root = scratch(t.spark, "predictions")
     for arm in ARMS:
