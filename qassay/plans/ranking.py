@@ -308,8 +308,10 @@ def _quantile_interval(ci: DataFrame, values: DataFrame, keys: list[str], value:
         F.count_if(test).alias(name) for name, test in (
             ("low_from", v < F.col("ci_low") - 1e-4), ("low_to", v <= F.col("ci_low") + 1e-4), ("high_from", v < F.col("ci_high") - 1e-4), ("high_to", v <= F.col("ci_high") + 1e-4))
     ])
-    slack = 0.25 * sd + 2
-    low, high = F.col("n") * q - 1.96 * sd, F.col("n") * q + 1.96 * sd
+    # A quarter of the standard deviation, and three places, as few values repeat a lot and neighbours are interpolated.
+    slack = 0.25 * sd + 3
+    middle = F.col("n") * ((F.col("n") - 1) * q + 1) / (F.col("n") + 1)
+    low, high = middle - 1.96 * sd, middle + 1.96 * sd
     fits = (F.col("low_from") <= low + slack) & (F.col("low_to") >= low - slack) & (F.col("high_from") <= high + slack) & (F.col("high_to") >= high - slack)
     return placed.select(*keys, "n", "point", fits.alias("fits"))
 
