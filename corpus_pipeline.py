@@ -61,7 +61,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-# The toxicity model and the tokenizer are beyond SQL; tests/llm compares the rows of the other stages with brute-force versions.
+# The toxicity model and the tokenizer are beyond SQL; tests/llm compares the operators with brute-force versions, of the stages only ids, columns and lengths.
 ORACLE_SQL = None
 
 
