@@ -1,12 +1,15 @@
 """Ordering helpers that never sort or window a whole table in one task.
 
 Rows are bucketed by their order key (a hash prefix, or the magnitude of a number), buckets are counted
-with a partial aggregate, and only the buckets that hold a wanted position are looked into. Positions of
-all rows come from a range-partitioned sort and per-partition offsets.
+with a partial aggregate, and only the buckets that hold a wanted position are looked into; heavy ones are
+split again until few rows are left. Positions of all rows come from a range-partitioned sort and
+per-partition offsets.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +17,8 @@ from pyspark.sql import functions as F
 
 from qassay.session import ensure_checkpoint_dir
 
-HASH_PREFIX = 3  # 16**3 buckets per group
-BROADCAST_ROWS = 200_000
+HASH_PREFIX = 3  # 16**3 buckets per group in the first round, when nothing is counted yet
+STRETCH_ROWS = 1 << 16  # rows of a bucket that may be sorted in one task
 
 
 def order_key(seed, *cols) -> Column:
@@ -29,13 +32,17 @@ def hash_bucket(key: Column, prefix: int = HASH_PREFIX) -> Column:
 
 
 def magnitude_bucket(value: Column) -> Column:
-    """Log-scale bucket of a number, monotone in the value, so exact for order statistics of long tails."""
+    """Log-scale bucket of a number, monotone in the value, so exact for order statistics of long tails; infinities and NaN come last."""
     v = value.cast("double")
+    top = F.lit(float("inf"))
 
     def scale(x: Column) -> Column:
         return F.floor(F.log2(x) * 256) + 1_000_000
 
-    return F.when(v > 0, scale(v)).when(v < 0, -scale(-v)).otherwise(F.lit(0))
+    return (
+        F.when(F.isnan(v), 4_000_000).when(v == top, 3_000_000).when(v == -top, -3_000_000)
+        .when(v > 0, scale(v)).when(v < 0, -scale(-v)).otherwise(F.lit(0))
+    )
 
 
 def nth_keys(
@@ -44,48 +51,79 @@ def nth_keys(
     wanted: Callable[[Column], dict[str, Column]],
     group: Sequence[str] = (),
     bucket: Column | None = None,
+    stretch_rows: int = STRETCH_ROWS,
 ) -> DataFrame:
     """Keys found at given 1-based positions of each group: columns group, mark, nth, key.
 
-    ``wanted`` maps the group size to named positions; positions outside 1..size give no row.
+    ``wanted`` maps the group size to named positions; positions outside 1..size give no row. Null keys do not
+    count. Strings are split by ever longer prefixes, numbers (with ``bucket=magnitude_bucket(...)``) by ever finer
+    parts of the range they really fill, until the stretch that holds a position has at most ``stretch_rows`` rows
+    or one value only. The fan-out of a round follows from the largest count of the one before.
     """
     group = list(group)
-    bucket = hash_bucket(F.col(key)) if bucket is None else bucket
-    keyed = units.select(*group, key, bucket.alias("_b"))
-    per_group = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    digits = HASH_PREFIX if bucket is None else 0
+    keyed = (
+        units.select(*group, key, (hash_bucket(F.col(key)) if bucket is None else bucket).alias("_b"))
+        .filter(F.col(key).isNotNull())
+        .select(*[F.struct(*group).alias("_g") if group else F.lit(0).alias("_g")], key, "_b")
+    )
+    sizes = [F.count(F.lit(1)).alias("_rows"), F.min(key).alias("_lo"), F.max(key).alias("_hi")]
+    per_group = Window.partitionBy("_g")
     running = per_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = (
-        keyed.groupBy(*group, "_b")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_hi", F.sum("_c").over(running))
-        .withColumn("_n", F.sum("_c").over(per_group))
-    )
-    marks = [
-        F.struct(F.lit(name).alias("mark"), nth.cast("bigint").alias("nth"))
-        for name, nth in wanted(F.col("_n")).items()
-    ]
-    hits = (
-        counts.select(*group, "_b", "_c", "_hi", F.explode(F.array(*marks)).alias("_m"))
-        .select(*group, "_b", (F.col("_hi") - F.col("_c")).alias("_lo"), "_hi", "_m.mark", "_m.nth")
-        .filter((F.col("nth") > F.col("_lo")) & (F.col("nth") <= F.col("_hi")))
-        .drop("_hi")
-    )
-    # Without groups there is at most one row per mark.
-    hits = hits if group else F.broadcast(hits)
-    inside = (
-        Window.partitionBy(*group, "_b", "mark")
-        .orderBy(key)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        keyed.groupBy("_g", "_b").agg(*sizes)
+        .withColumn("_upto", F.sum("_rows").over(running))
+        .withColumn("_n", F.sum("_rows").over(per_group))
     )
+    marks = [F.struct(F.lit(name).alias("mark"), nth.cast("bigint").alias("nth")) for name, nth in wanted(F.col("_n")).items()]
+    hits = written(_holding(counts.withColumn("_m", F.explode(F.array(*marks))).select("*", "_m.*")))
+    # Longs that are one double can not be told apart by arithmetic; there are few of them.
+    wide = F.col("_lo") < F.col("_hi") if bucket is None else F.col("_lo").cast("double") < F.col("_hi").cast("double")
+    heavy = wide & (F.col("_rows") > stretch_rows)
+    while most := hits.filter(heavy).agg(F.max("_rows")).first()[0]:
+        parts = 2 * math.ceil(most / stretch_rows)
+        digits += max(1, min(4, math.ceil(math.log(parts, 16))))
+        part = _finer(F.col(key), digits, min(parts, 1 << 16), bucket is None)
+        finer = Window.partitionBy("_g", "mark").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counts = (
+            _inside(keyed, hits.filter(heavy), key)
+            .groupBy("_g", "_b", "mark", "nth", "_before", part.alias("_part")).agg(*sizes)
+            .withColumn("_upto", F.col("_before") + F.sum("_rows").over(finer))
+        )
+        hits = written(hits.filter(~heavy).unionByName(_holding(counts)))
+    one = F.col("_lo") == F.col("_hi")
+    inside = Window.partitionBy("_g", "mark").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Equal keys are counted before the window, so a hot value is one row there.
-    return (
-        keyed.join(hits, [*group, "_b"])
-        .groupBy(*group, "_b", "mark", "nth", "_lo", key)
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_to", F.col("_lo") + F.sum("_c").over(inside))
+    sorted_out = (
+        _inside(keyed, hits.filter(~one), key)
+        .groupBy("_g", "mark", "nth", "_before", key).agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_to", F.col("_before") + F.sum("_c").over(inside))
         .filter((F.col("nth") <= F.col("_to")) & (F.col("nth") > F.col("_to") - F.col("_c")))
-        .select(*group, "mark", "nth", key)
+        .select("_g", "mark", "nth", key)
     )
+    found = hits.filter(one).select("_g", "mark", "nth", F.col("_lo").alias(key)).unionByName(sorted_out)
+    return found.select(*[F.col("_g")[g].alias(g) for g in group], "mark", "nth", key)
+
+
+def _holding(counts: DataFrame) -> DataFrame:
+    """The bucket of each mark that holds its position, with the rows before it."""
+    here = (F.col("nth") <= F.col("_upto")) & (F.col("nth") > F.col("_upto") - F.col("_rows"))
+    return counts.filter(here).select("_g", "_b", "mark", "nth", (F.col("_upto") - F.col("_rows")).alias("_before"), "_rows", "_lo", "_hi")
+
+
+def _inside(keyed: DataFrame, hits: DataFrame, key: str) -> DataFrame:
+    """Keys within the stretches. One row per group and mark: a written table, so Spark broadcasts it if its files are small."""
+    stretches = hits.select(F.col("_g").alias("_hg"), F.col("_b").alias("_hb"), "mark", "nth", "_before", "_lo", "_hi")
+    same = F.col("_g").eqNullSafe(F.col("_hg")) & (F.col("_b") == F.col("_hb"))
+    return keyed.join(stretches, same & F.col(key).between(F.col("_lo"), F.col("_hi"))).drop("_hg", "_hb")
+
+
+def _finer(key: Column, digits: int, parts: int, text: bool) -> Column:
+    """Part of a stretch, monotone in the key: a prefix of a text, or a place between the ends of the stretch."""
+    if text:
+        return F.substring(key, 1, digits)
+    low, high = F.col("_lo").cast("double"), F.col("_hi").cast("double")
+    return F.floor((key.cast("double") - low) / (high - low) * parts)
 
 
 def key_at(
@@ -131,13 +169,33 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def lookup_join(
-    rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Join to a table that is usually small: broadcast only when counted to be, else a shuffle join."""
-    table = settle(table)
-    small = table.limit(limit + 1).count() <= limit
-    return rows.join(F.broadcast(table) if small else table, list(on), how)
+def written(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared checkpoint folder. Unlike a checkpoint it has a size Spark knows when it plans a join."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def lookup_join(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join to a table that is usually small: Spark broadcasts it by the size of its files, else it shuffles."""
+    return rows.join(written(table), list(on), how)
+
+
+def running_totals(counts: DataFrame, value: str, count: str) -> DataFrame:
+    """Adds _before, the sum of the counts of all smaller values. Values are distinct and not null.
+
+    Values lie in range partitions, summed apart; only one sum per partition meets in a task.
+    """
+    placed = written(counts.repartitionByRange(value).withColumn("_p", F.spark_partition_id()))
+    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_p").agg(F.sum(count).alias("_c")).select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_lo"))
+    within = Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        placed.withColumn("_before", F.sum(count).over(within) - F.col(count))
+        .join(F.broadcast(offsets), "_p")
+        .withColumn("_before", F.col("_before") + F.col("_lo"))
+        .drop("_p", "_lo")
+    )
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str, largest: bool = False) -> DataFrame:

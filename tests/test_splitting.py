@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,9 +103,45 @@ def test_top_n_per_group(spark):
 def test_lookup_join_both_ways(spark):
     left = spark.range(20).withColumn("k", F.col("id") % 5)
     right = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    wide = ranking.lookup_join(left, right, ["k"])
-    narrow = ranking.lookup_join(left, right, ["k"], limit=2)
-    assert sorted(wide.collect()) == sorted(narrow.collect())
+    small = ranking.lookup_join(left, right, ["k"])
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().toString()
+    want = sorted(small.collect())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(ranking.lookup_join(left, right, ["k"]).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_nth_keys_splits_heavy_stretches_again(spark):
+    rng = np.random.default_rng(3)
+    close = 1.0 + rng.integers(0, 10**6, 3000) * 1e-9  # all in one magnitude bucket
+    groups = {"close": close.tolist(), "wide": (10.0 ** rng.uniform(-300, 300, 2000) * rng.choice([-1, 1], 2000)).tolist()}
+    groups["ends"] = [float("inf")] * 50 + [float("-inf")] * 50 + [float("nan")] * 50 + [0.0] * 50 + [5e-324, 1e308]
+    groups[None] = [7.0] * 400 + [7.0000001] * 3
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("close", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    marks = {"first": lambda n: F.lit(1), "mid": lambda n: F.floor(n / 2) + 1, "late": lambda n: F.floor(n * 0.9), "last": lambda n: n, "none": lambda n: n + 1}
+    for rows_a_task in (16, 1 << 16):
+        found = ranking.nth_keys(df, "v", lambda n: {k: f(n) for k, f in marks.items()}, ["g"], ranking.magnitude_bucket(F.col("v")), rows_a_task)
+        got = {(r.g, r.mark): r.v for r in found.collect()}
+        for g, values in groups.items():
+            ordered, n = sorted(values, key=lambda v: (v != v, v)), len(values)
+            for mark, nth in {"first": 1, "mid": n // 2 + 1, "late": int(n * 0.9), "last": n}.items():
+                assert got[g, mark] == ordered[nth - 1] or ordered[nth - 1] != ordered[nth - 1] and got[g, mark] != got[g, mark]
+        assert len(got) == 4 * len(groups)
+
+
+def test_nth_keys_of_long_prefixes_and_longs(spark):
+    keys = sorted("abc" * 5 + f"{i:05d}" for i in range(2000))
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    got = ranking.nth_keys(df, "k", lambda n: {"a": F.lit(1000), "b": n}, stretch_rows=50).collect()
+    assert {r.mark: r.k for r in got} == {"a": keys[999], "b": keys[-1]}
+    longs = spark.range(2**62, 2**62 + 3000).withColumnRenamed("id", "k")
+    got = ranking.nth_keys(longs, "k", lambda n: {"a": F.lit(77)}, bucket=ranking.magnitude_bucket(F.col("k")), stretch_rows=50).collect()
+    assert [r.k for r in got] == [2**62 + 76]
+    assert ranking.nth_keys(longs.limit(0), "k", lambda n: {"a": F.lit(1)}, bucket=ranking.magnitude_bucket(F.col("k"))).collect() == []
 
 
 def test_dedupe_first_counts_from_the_first_good_row(spark):
