@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from qassay.constants import JUDGE_DIMENSIONS
 from qassay.functions.judging import quality_tier
+from qassay.operators.ranking import running_totals, written
 
 
 def confusion(rows: DataFrame, left: str, right: str) -> DataFrame:
@@ -45,35 +46,36 @@ def cohen_kappa(rows: DataFrame, left: str, right: str) -> DataFrame:
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks for ties, from the joint histogram of two score columns.
 
-    Ranks come from running counts over distinct values, so rows are only ever counted.
+    Ranks are running totals over range partitions of the distinct values, so continuous scores spread over tasks too.
+    Rows with a null on either side do not count.
     """
-    cells = (
+    cells = written(
         rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
         .select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
         .groupBy("x", "y")
         .agg(F.count(F.lit(1)).alias("w"))
     )
-
-    every = Window.partitionBy(F.lit(0))
-
-    def rank(side: str):
-        upto = every.orderBy(side).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        same = F.sum("w").over(Window.partitionBy(side))
-        return F.sum("w").over(upto) - same + (same + 1) / 2
-
-    w, mid = F.col("w"), (F.col("total") + 1) / 2
+    total = cells.agg(F.sum("w")).scalar()
+    w, mid = F.col("w"), (total + 1) / 2
     dx, dy = F.col("rx") - mid, F.col("ry") - mid
-    moments = (
-        cells.withColumn("rx", rank("x"))
-        .withColumn("ry", rank("y"))
-        .withColumn("total", F.sum("w").over(every))
-        .agg(F.sum("w").alias("n"), F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
+    moments = _with_rank(_with_rank(cells, "x", total), "y", total).agg(
+        F.sum("w").alias("n"), F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy")
     )
     usable = (F.col("n") >= 2) & (F.col("xx") > 0) & (F.col("yy") > 0)
     rho = F.when(usable, F.col("xy") / (F.sqrt("xx") * F.sqrt("yy")))
     return moments.select("n", F.bround(rho, 6).alias("spearman"))
 
 
+def _with_rank(cells: DataFrame, side: str, total: Column, hot_share: int = 64) -> DataFrame:
+    """Adds r<side>, the average rank of the value. Fewer than hot_share values hold more than 1 / hot_share of all rows
+    each; their ranks are broadcast, so no task gets all cells of such a value."""
+    values = running_totals(cells.groupBy(side).agg(F.sum("w").alias("_same")), side, "_same")
+    ranks = written(values.select(side, (F.col("_before") + (F.col("_same") + 1) / 2).alias(f"r{side}"), "_same"))
+    is_hot = F.col("_same") * hot_share > total
+    hot, rest = ranks.filter(is_hot).drop("_same"), ranks.filter(~is_hot).drop("_same")
+    return cells.join(F.broadcast(hot), side).unionByName(cells.join(F.broadcast(hot), side, "left_anti").join(rest, side))
+
+
 def with_tiers(rows: DataFrame) -> DataFrame:
     """Teacher and student tiers; a student error is the tier 'error'."""
     s, t = F.col("student_judge"), F.col("teacher_judge")

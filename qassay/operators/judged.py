@@ -82,13 +82,24 @@ def tier_profile(rows: DataFrame) -> DataFrame:
 
 
 def label_shares(rows: DataFrame, label: Column, n: int) -> DataFrame:
-    """Most frequent labels per tier with their percent of the tier."""
+    """Most frequent labels per tier with their percent of the tier; equal counts go by label.
+
+    The n-th largest count of a tier is found first, from how many labels have which count. Only labels at or above it
+    are ranked, and of those with just that count Spark keeps n per task before they meet.
+    """
     counts = rows.groupBy(tier_label().alias("tier"), label.alias("label")).agg(F.count(F.lit(1)).alias("n_rows"))
-    w = Window.partitionBy("tier")
+    totals = counts.groupBy("tier").agg(F.sum("n_rows").alias("_all"))
+    # The n-th from above stands at the place size - n + 1 from below.
+    least = value_at_rank(counts.select("tier", "n_rows"), ["tier"], "n_rows", lambda size: F.greatest(size - n + 1, F.lit(1)))
+    # One row per tier on this side.
+    bounds = F.broadcast(totals.join(least.withColumnRenamed("n_rows", "_least"), "tier"))
+    order = Window.partitionBy("tier").orderBy(F.desc("n_rows"), "label")
     return (
-        counts.withColumn("pct", F.bround(100.0 * F.col("n_rows") / F.sum("n_rows").over(w), 1))
-        .withColumn("rank", F.row_number().over(w.orderBy(F.desc("n_rows"), "label")))
+        counts.join(bounds, "tier")
+        .filter(F.col("n_rows") >= F.col("_least"))
+        .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= n)
+        .select("tier", "label", "n_rows", F.bround(100.0 * F.col("n_rows") / F.col("_all"), 1).alias("pct"), "rank")
     )
 
 

@@ -683,3 +683,14 @@ def spearman(t: Tables):
     ok = F.col("student_judge.error").isNull()
     rows = t.teacher.filter(ok).select(F.col("teacher_judge.overall").alias("a"), F.col("student_judge.overall").alias("b"))
     return agreement.spearman(rows, "a", "b")
+
+
+@query(
+    "spearman_continuous",
+    f"""WITH x AS (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+rk AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS b FROM x)
+SELECT count(*) AS n, {s.r('corr(a, b)', 6)} AS spearman FROM rk""",
+)
+def spearman_continuous(t: Tables):
+    rows = t.table("embeddings").select(F.col("embedding")[0].alias("a"), F.col("embedding")[1].alias("b"))
+    return agreement.spearman(rows, "a", "b")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,8 @@ INDEX_SCHEMA = "conditions map<string,struct<predictions_jsonl:string>>"
 
 
 def _path() -> Column:
-    return F.url_decode("_metadata.file_path")
+    """Path of the file of a row; a plus sign in it stands for itself."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
 def scan_conditions(
@@ -32,9 +34,10 @@ def scan_conditions(
 
 
 def scan_index(spark: SparkSession, index_path: str, schema: T.StructType | str) -> DataFrame:
-    """Tables named by an index document {conditions: {name: {predictions_jsonl: path}}}.
+    """Tables named by an index document {conditions: {name: {predictions_jsonl: path}}}, read in one scan.
 
-    Only the paths (one per condition) reach the driver, which needs them to plan the scan.
+    Only the paths (one per condition) reach the driver, which needs them to plan the scan. A path is a file or a folder
+    of files; conditions that name the same path each get its rows.
     """
     entries = (
         spark.read.schema(INDEX_SCHEMA)
@@ -45,20 +48,34 @@ def scan_index(spark: SparkSession, index_path: str, schema: T.StructType | str)
         .filter(F.col("predictions_jsonl").isNotNull())
         .collect()
     )
-    tables = [
-        spark.read.schema(schema)
-        .option("mode", "FAILFAST")
-        .option("lineSep", "\n")
-        .json(e["predictions_jsonl"])
-        .withColumn("condition", F.lit(e["condition"]))
-        for e in sorted(entries)
-    ]
-    if not tables:
+    if not entries:
         raise ValueError(f"no conditions in {index_path}")
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+    named = [(_qualified(spark, e["predictions_jsonl"]), e["condition"]) for e in entries]
+    paths = {p for p, _ in named}
+    # A file below a folder that is listed itself is read with the folder.
+    scanned = sorted(p for p in paths if p.rsplit("/", 1)[0] not in paths)
+    conditions = spark.createDataFrame([(_plain(p), c) for p, c in named], "_at string, condition string")
+    file = F.regexp_replace(_path(), _SCHEME, "")
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").option("lineSep", "\n").json(scanned)
+    # One row per condition on the right.
+    return (
+        rows.withColumn("_at", F.explode(F.array(file, F.regexp_replace(file, "/[^/]*$", ""))))
+        .join(F.broadcast(conditions), "_at")
+        .drop("_at")
+    )
+
+
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)"
+
+
+def _plain(path: str) -> str:
+    return re.sub(_SCHEME, "", path)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """Whole path with its file system, also of a relative one."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(name).toString()
 
 
 def filter_conditions(rows: DataFrame, wanted: Sequence[str], condition: str = "condition") -> DataFrame:

@@ -1,3 +1,6 @@
+import json
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -145,6 +148,43 @@ def test_spearman_against_ranks(spark):
     want = np.corrcoef(ranks(a), ranks(b))[0, 1]
     df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a int, b int")
     assert abs(agreement.spearman(df, "a", "b").first().spearman - want) < 1e-6
+    # Continuous scores, one value that holds a third of all rows, and nulls that do not count.
+    a = np.where(rng.random(1500) < 0.33, 0.25, rng.random(1500))
+    b = a + rng.random(1500)
+    want = np.corrcoef(ranks(a), ranks(b))[0, 1]
+    df = spark.createDataFrame([*zip(a.tolist(), b.tolist()), (None, 1.0), (1.0, None)], "a double, b double")
+    got = agreement.spearman(df, "a", "b").first()
+    assert got.n == 1500 and abs(got.spearman - want) < 1e-6
+    assert tuple(agreement.spearman(df.limit(0), "a", "b").first()) == (None, None)
+
+
+def test_label_shares_with_many_equal_counts(spark):
+    labels = ["a"] * 5 + ["b"] * 3 + ["c"] * 3 + [f"once{i:03d}" for i in range(300)]
+    rows = spark.createDataFrame([((t,), x) for t in ("high", "low") for x in (labels if t == "high" else labels[:8])], "llm_judge struct<quality_tier: string>, x string")
+    for n in (1, 2, 3, 7):
+        got = judged.label_shares(rows, F.col("x"), n).collect()
+        for tier, own in (("high", labels), ("low", labels[:8])):
+            best = sorted(Counter(own).items(), key=lambda p: (-p[1], p[0]))[:n]
+            assert sorted((r["rank"], r.label, r.n_rows, r.pct) for r in got if r.tier == tier) == [
+                (i + 1, x, c, round(100 * c / len(own), 1)) for i, (x, c) in enumerate(best)
+            ]
+
+
+def test_index_scan_reads_once(spark, tmp_path):
+    odd = tmp_path / "a b+c%20"
+    odd.mkdir()
+    (odd / "one.jsonl").write_text('{"v": 1}\n{"v": 2}\n')
+    folder = tmp_path / "two"
+    folder.mkdir()
+    for i in (3, 4):
+        (folder / f"part-{i}.json").write_text(f'{{"v": {i}}}\n')
+    paths = {"x": f"{odd}/one.jsonl", "again": f"file:{odd}/one.jsonl", "y": str(folder), "z": f"{folder}/part-4.json", "gone": None}
+    index = tmp_path / "index.json"
+    index.write_text(json.dumps({"conditions": {k: {"predictions_jsonl": p} for k, p in paths.items()}}))
+    rows = discovery.scan_index(spark, str(index), "v bigint")
+    assert sorted((r.condition, r.v) for r in rows.collect()) == [("again", 1), ("again", 2), ("x", 1), ("x", 2), ("y", 3), ("y", 4), ("z", 4)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count(" json") == 1
+    assert rows.columns == ["v", "condition"]
 
 
 def test_coverage_against_sets(spark):
