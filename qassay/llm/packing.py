@@ -1,8 +1,9 @@
 """Order-preserving packing of token sequences by dynamic programming.
 
 Documents of a task are taken in order as one stream of tokens. The stream is cut into windows of at most `size` tokens. A window is padded to
-`size` tokens, unless its length is a power of two. Cuts cost nothing at the end of a document, little at the end of a sentence and more on a
-fixed grid, which keeps every stretch without sentence ends coverable. The least sum of padding and cut costs is found from left to right: the
+`size` tokens, unless its length is a power of two. Windows begin and end at the ends of documents and sentences; only stretches with neither
+for more than size // 16 tokens may be cut inside. A cut costs as many tokens of padding as it is worth avoiding: none at the end of a document,
+few at the end of a sentence, many inside a stretch. The least sum of padding and cut costs is found from left to right: the
 best start of a padded window is the minimum of (cost + position) over a sliding range, kept in a monotone queue; windows whose length is a
 power of two have at most log2(size) + 1 possible starts each, found by search.
 """
@@ -24,19 +25,21 @@ from qassay.llm.tokens import ByteTokenizer
 _loaded: dict[int, ByteTokenizer] = {}
 
 
-def cut_points(doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int, costs: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending positions where a window may begin or end, and the cost of a cut there. The last one ends the stream."""
-    total = int(doc_ends[-1])
-    rest = total % size
-    powers = [1 << b for b in range(size.bit_length()) if rest >> b & 1][::-1]
-    tail = total - rest + np.cumsum(powers, dtype=np.int64)
-    grid = np.concatenate([np.arange(0, total + 1, size), tail])
-    positions = np.unique(np.concatenate([grid, sentence_ends, doc_ends]))
-    cost = np.full(len(positions), costs[2])
-    cost[np.searchsorted(positions, sentence_ends)] = costs[1]
-    cost[np.searchsorted(positions, doc_ends)] = costs[0]
-    cost[0] = 0
-    return positions, cost
+KINDS = ("document", "sentence", "inside")
+
+
+def cut_points(doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending positions where a window may begin or end, the first 0 and the last the end of the stream, and their kinds (places in KINDS)."""
+    ends = np.unique(np.concatenate([[0], sentence_ends, doc_ends]))
+    longest, step = max(size // 16, 1), max(size // 32, 1)
+    gaps = np.diff(ends)
+    inner = [np.arange(ends[g] + step, ends[g + 1], step) for g in np.flatnonzero(gaps > longest)]
+    positions = np.unique(np.concatenate([ends, *inner]))
+    kinds = np.full(len(positions), 2)
+    kinds[np.searchsorted(positions, sentence_ends)] = 1
+    kinds[np.searchsorted(positions, doc_ends)] = 0
+    kinds[0] = 0
+    return positions, kinds
 
 
 def best_cuts(positions: np.ndarray, cost: np.ndarray, size: int) -> np.ndarray:
@@ -69,12 +72,13 @@ def best_cuts(positions: np.ndarray, cost: np.ndarray, size: int) -> np.ndarray:
     return np.array(chosen[::-1], dtype=np.int64)
 
 
-def pack(docs: DataFrame, definition: str, pattern: str, doc_id: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1, costs: tuple[int, int, int] = (0, 1, 4), chunk_tokens: int = 1 << 19) -> DataFrame:
+def pack(docs: DataFrame, definition: str, pattern: str, doc_id: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1, costs: tuple[int, int, int] = (0, 8, 64), chunk_tokens: int = 1 << 19) -> DataFrame:
     """One row per piece of a document in a sequence: doc_id, start (its document's ids before it), length, ids (little-endian unsigned 32-bit
-    integers), doc_tokens, sequence_id (partition * 2**40 + running number), offset (in the sequence, gapless from 0).
+    integers), doc_tokens, sequence_id (partition * 2**40 + running number), offset (in the sequence, gapless from 0), ends_at (document, sentence or inside).
+    costs are the tokens of padding that a cut of each kind is worth avoiding.
 
-    definition is the JSON text of the tokenizer and pattern its splitting rule (of a fixed size, so they go with the task). Null and empty texts have only the end id. Every row
-    is packed, repeated ones too; null ids stay null; other columns are not looked at; no rows give no pieces. The stream is solved in chunks of
+    definition is the JSON text of the tokenizer and pattern its splitting rule (of a fixed size, so they go with the task). Null and empty texts have only the end id; bytes that
+    are not UTF-8 count as U+FFFD. Every row is packed, repeated ones too; null ids stay null; other columns are not looked at; no rows give no pieces. The stream is solved in chunks of
     whole documents of about chunk_tokens tokens; a longer document is one chunk.
     """
     shared = docs.sparkSession.sparkContext.broadcast((definition, pattern))
@@ -89,7 +93,7 @@ def pack(docs: DataFrame, definition: str, pattern: str, doc_id: str = "doc_id",
         for batch in batches:
             for at, chunk in text_chunks(batch.column(1)):
                 names += batch.column(0).slice(at, len(chunk)).to_pylist()
-                held += [np.append(tokenizer.encode(raw.decode()), np.uint32(end_id)) for raw in chunk]
+                held += [np.append(tokenizer.encode(raw.decode(errors="replace")), np.uint32(end_id)) for raw in chunk]
                 n_held += sum(map(len, held[-len(chunk) :]))
                 if n_held >= chunk_tokens:
                     pieces, sequence = _pieces(names, held, tokenizer, size, costs, sequence, kind)
@@ -103,17 +107,18 @@ def pack(docs: DataFrame, definition: str, pattern: str, doc_id: str = "doc_id",
     if kind == pa.string():
         own = own.withColumn("doc_id", F.col("doc_id").cast("string"))
     name = "long" if kind == pa.int64() else "string"
-    return own.mapInArrow(solve, f"doc_id {name}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return own.mapInArrow(solve, f"doc_id {name}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, ends_at string")
 
 
 def _pieces(names, held, tokenizer, size, costs, sequence, kind) -> tuple[pa.RecordBatch, int]:
     ids = np.concatenate(held)
     ends = np.cumsum([len(x) for x in held])
     sentence_ends = np.flatnonzero(tokenizer.ends_sentence[ids]) + 1
-    positions, cost = cut_points(ends, sentence_ends, size, costs)
-    cuts = positions[best_cuts(positions, cost, size)]
+    positions, kinds = cut_points(ends, sentence_ends, size)
+    cuts = positions[best_cuts(positions, np.array(costs)[kinds], size)]
     edges = np.unique(np.concatenate([cuts, ends]))
     first, last = edges[:-1], edges[1:]
+    kind_of_end = kinds[np.searchsorted(positions, last)]
     doc = np.searchsorted(ends, first, side="right")
     window = np.searchsorted(cuts, first, side="right") - 1
     raw, begins = ids.astype("<u4"), np.append(0, ends)
@@ -125,5 +130,6 @@ def _pieces(names, held, tokenizer, size, costs, sequence, kind) -> tuple[pa.Rec
         "doc_tokens": pa.array(np.diff(begins)[doc]),
         "sequence_id": pa.array(sequence + window),
         "offset": pa.array(first - cuts[window]),
+        "ends_at": pa.array([KINDS[k] for k in kind_of_end]),
     }
     return pa.RecordBatch.from_pydict(columns), sequence + len(cuts) - 1

@@ -1,7 +1,7 @@
 """Token ids of a byte-level BPE vocabulary: the definition's own library decides, a faster one with the same vocabulary does the bulk.
 
 Both libraries merge by the same ranks; they could only split differently where their Unicode tables differ. So texts with characters beyond
-Latin letters go to the definition's own library.
+Latin letters go to the definition's own library, and so do texts that spell out one of its special tokens, which get that token's id.
 """
 
 from __future__ import annotations
@@ -26,15 +26,15 @@ def byte_of() -> dict[str, int]:
 class ByteTokenizer:
     def __init__(self, definition: str, pattern: str):
         table, model = byte_of(), json.loads(definition)
-        special = {t["content"] for t in model.get("added_tokens", [])}
-        ranks = {bytes(table[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+        added = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
+        ranks = {bytes(table[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}
         self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.exact = Tokenizer.from_str(definition)
-        self.exact.encode_special_tokens = True
-        self.ends_sentence = np.zeros(max(ranks.values()) + 2, dtype=bool)
+        self.spelled_out = re.compile("|".join([_BEYOND_LATIN.pattern, *map(re.escape, added)]))
+        self.ends_sentence = np.zeros(max(*ranks.values(), *added.values(), 1) + 1, dtype=bool)
         self.ends_sentence[[i for token, i in ranks.items() if token.endswith((b".", b"!", b"?", b"\n"))]] = True
 
     def encode(self, text: str) -> np.ndarray:
-        if _BEYOND_LATIN.search(text):
+        if self.spelled_out.search(text):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())

@@ -193,7 +193,6 @@ def test_packing_round_trip_and_optimum(spark, definition):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_str(definition)
-    own.encode_special_tokens = True
     rows = [*EDGES, (10, "A. B! <|endoftext|>\n  漢字"), (11, "word " * 3000)]
     got = packing.pack(frame(spark, rows).coalesce(1), definition, public_tokenizers.PATTERN).collect()
     want = Counter((d, tuple([*own.encode(t or "", add_special_tokens=False).ids, 1])) for d, t in rows)
@@ -207,7 +206,9 @@ def test_packing_round_trip_and_optimum(spark, definition):
     assert texts == want
     rng = np.random.default_rng(2)
     for _ in range(20):
-        positions, cost = packing.cut_points(np.unique(rng.integers(1, 400, 8)), np.unique(rng.integers(1, 300, 20).clip(max=1)), 64, (0, 1, 4))
+        doc_ends = np.unique(rng.integers(1, 400, 8))
+        positions, kinds = packing.cut_points(doc_ends, np.unique(rng.integers(1, doc_ends[-1] + 1, 20)), 64)
+        cost = np.array([0, 2, 9])[kinds]
         cuts = packing.best_cuts(positions, cost, 64)
         best = [0] + [None] * (len(positions) - 1)
         pad = lambda n: 0 if n & (n - 1) == 0 else 64 - n
@@ -217,6 +218,30 @@ def test_packing_round_trip_and_optimum(spark, definition):
         assert sum(pad(int(n)) for n in sizes) + cost[cuts[1:]].sum() == best[-1] and sizes.max() <= 64
 
 
+def test_packing_cuts_at_ends_of_documents_and_sentences(spark, definition):
+    rng = np.random.default_rng(12)
+    sentence = lambda: " ".join(f"w{n}" for n in rng.integers(0, 900, rng.integers(3, 25))) + "."
+    rows = [(i, " ".join(sentence() for _ in range(rng.integers(1, 80)))) for i in range(300)] + [(300, "word " * 20_000)]
+    got = packing.pack(frame(spark, rows).coalesce(1), definition, public_tokenizers.PATTERN).collect()
+    last = {r.sequence_id: r for r in sorted(got, key=lambda r: (r.sequence_id, r.offset))}
+    sizes = [r.offset + r.length for r in last.values()]
+    padding = sum(0 if n & (n - 1) == 0 else 2048 - n for n in sizes)
+    inside = [r for r in last.values() if r.ends_at == "inside"]
+    # Only the text without sentences is cut inside, and padding stays small.
+    assert {r.doc_id for r in inside} == {300} and padding < 0.02 * sum(sizes)
+    assert all((r.start + r.length == r.doc_tokens) == (r.ends_at == "document") for r in got)
+
+
+def test_packing_special_tokens_and_invalid_bytes(spark, definition):
+    from tokenizers import Tokenizer
+
+    texts = spark.sql("SELECT 1L AS doc_id, 'a <|endoftext|> b' AS text UNION ALL SELECT 2L, cast(unhex('61FF6220') AS string)")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack(texts, definition, public_tokenizers.PATTERN).collect()}
+    plain = Tokenizer.from_str(definition)
+    assert got == {i: [*plain.encode(t, add_special_tokens=False).ids, 1] for i, t in ((1, "a <|endoftext|> b"), (2, "a\ufffdb "))}
+    assert 50256 in got[1]
+
+
 def test_piece_automaton_is_greedy(spark):
     pieces = [b" a", b" ab", b" abcd", b"bc", b"bcd", b"cde", b"ef", b"d", b"dee"]
     automaton, known = token_counts.PieceAutomaton(pieces), {*pieces, *(bytes([b]) for b in range(256))}
