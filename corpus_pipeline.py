@@ -61,7 +61,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-# The toxicity model and the tokenizer are beyond SQL; tests/llm compares the operators with brute-force versions, of the stages only ids, columns and lengths.
+# The toxicity model and the tokenizer are beyond SQL; tests/llm/test_pipeline_stages.py compares the rows of every stage with a brute-force version.
 ORACLE_SQL = None
 
 
