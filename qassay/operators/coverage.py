@@ -1,8 +1,7 @@
 """How much of each document its questions and answers touch, window by window.
 
-Lexical coverage never concatenates question/answer text: only distinct (document, token) pairs are kept, and they
-meet the documents' own (document, token) pairs on both columns, so a document with very many
-questions spreads over its tokens. Coverage by embeddings sums the vectors of a document's questions element by element, with
+Lexical coverage never concatenates question/answer text: only distinct (document, token) pairs are kept. They come to the documents as sets of
+bounded size, several for a document with very many questions, so a document's own tokens are never shuffled. Coverage by embeddings sums the vectors of a document's questions element by element, with
 map-side combine. The joined text itself is streamed over sorted ranges, so only its last few parts meet per document.
 """
 
@@ -16,9 +15,9 @@ from pyspark.sql import functions as F
 
 from qassay.functions.judging import document_id
 from qassay.functions.metrics import cosine
-from qassay.functions.text import ascii_tokens
+from qassay.functions.text import ascii_tokens, bind
 from qassay.operators.chunking import equal_windows
-from qassay.operators.ranking import lookup_join, magnitude_bucket, nth_keys, settle
+from qassay.operators.ranking import magnitude_bucket, nth_keys, settle, written
 from qassay.operators.scoring import mean4
 
 TIER_SEVERITY = ("high", "medium", "low", "drop", "unknown")
@@ -112,26 +111,43 @@ def majority_tier(rows: DataFrame) -> DataFrame:
     )
 
 
+def token_sets(tokens: DataFrame, least: int = 3, set_tokens: int = 4096) -> DataFrame:
+    """The distinct tokens of every document that has at least ``least``: document_id, part, tokens.
+
+    A document lies in one set, or by the hash of the token in as many parts as keep a set near set_tokens tokens. Part 0 is there always,
+    if need be without tokens.
+    """
+    parts = tokens.groupBy("document_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
+    parts = written(parts.select("document_id", F.ceil(F.col("_n") / set_tokens).alias("_parts")))
+    part = F.pmod(F.xxhash64("token"), F.col("_parts")).alias("part")
+    first = parts.select("document_id", F.lit(0).cast("bigint").alias("part"), F.lit(None).cast("string").alias("token"))
+    placed = tokens.join(parts, "document_id").select("document_id", part, "token").unionByName(first)
+    # Nulls are not collected.
+    return placed.groupBy("document_id", "part").agg(F.collect_list("token").alias("tokens"))
+
+
 def window_hits(
-    docs: DataFrame, qa: DataFrame, n_windows: int = 5, threshold: float = 0.12, exclude_tiers: tuple[str, ...] = ()
+    docs: DataFrame,
+    qa: DataFrame,
+    n_windows: int = 5,
+    threshold: float = 0.12,
+    exclude_tiers: tuple[str, ...] = (),
+    set_tokens: int = 4096,
 ) -> DataFrame:
     """Per document window: share of its tokens found in the document's questions and answers, and the hit flag.
 
-    Only documents with enough question/answer tokens are tokenised; the windows of the others are counted.
+    The tokens of the questions come to the document as sets, so tokens of a document are compared where its text lies and none is
+    shuffled; the row of a document with several sets is compared with each. Only documents with enough question/answer tokens are
+    tokenised; the windows of the others are counted.
     """
-    rows = qa_rows(qa, exclude_tiers)
-    tokens = qa_tokens(rows)
-    enough = (
-        tokens.groupBy("document_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 3).select("document_id")
-    )
-    flagged = lookup_join(docs.select("document_id", "context"), enough.withColumn("_qa", F.lit(True)), ["document_id"], "left")
-    found = F.when(F.col("_qa"), ascii_tokens(F.array_join("_w", " ")))
+    asked = token_sets(written(qa_tokens(qa_rows(qa, exclude_tiers))), set_tokens=set_tokens)
+    met = docs.select("document_id", "context").join(asked, "document_id", "left")
+    own = F.when(F.col("tokens").isNotNull(), ascii_tokens(F.array_join("_w", " ")))
     shared = (
-        flagged.select("document_id", "_qa", F.posexplode(equal_windows(F.col("context"), n_windows)).alias("window", "_w"))
-        .select("document_id", "window", F.explode_outer(found).alias("token"))
-        .join(tokens.withColumn("_hit", F.lit(1)), ["document_id", "token"], "left")
+        met.select("document_id", "part", "tokens", F.posexplode(equal_windows(F.col("context"), n_windows)).alias("window", "_w"))
+        .select("document_id", "window", "part", bind(own, lambda t: F.struct(F.size(F.array_intersect(t, "tokens")).alias("s"), F.size(t).alias("n"))).alias("_c"))
         .groupBy("document_id", "window")
-        .agg(F.count("_hit").alias("_s"), F.count("token").alias("_n"))
+        .agg(F.coalesce(F.sum("_c.s"), F.lit(0)).alias("_s"), F.coalesce(F.sum(F.when(F.col("part") == 0, F.col("_c.n"))), F.lit(0)).alias("_n"))
     )
     overlap = F.coalesce(F.try_divide("_s", "_n"), F.lit(0.0))
     return shared.select(

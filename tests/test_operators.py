@@ -202,6 +202,11 @@ def test_coverage_against_sets(spark):
         assert abs(got["d", i].overlap - len(w & tokens) / len(w)) < 1e-6
         assert got["f", i].overlap == 0.0 and not got["f", i].hit
     assert ("e", 0) not in got
+    # A document with many question tokens is compared with several sets.
+    for n in (1, 4):
+        assert {(r.document_id, r.window): r for r in coverage.window_hits(d, q, set_tokens=n).collect()} == got
+    plan = coverage.window_hits(d, q)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\([^)]*token", plan)
     per = {r.document_id: r for r in coverage.coverage_per_doc(coverage.window_hits(d, q), q, exclude_tiers=("drop",)).collect()}
     assert per["d"].majority_tier == "high" and per["f"].majority_tier == "none"
 
