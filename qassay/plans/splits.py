@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qassay.operators import dedupe, splitting
+from qassay.operators import dedupe, passages, splitting
 from qassay.plans import sqltext as s
 from qassay.plans.corpus import _TRAINABLE, _USABLE
-from qassay.plans.registry import query
+from qassay.plans.registry import query, scratch
 from qassay.plans.views import Tables
 
 # ---- dedupe
@@ -306,3 +306,41 @@ def new_ids(t: Tables):
     return t.docs.select("document_id").join(known, "document_id", "left_anti")
 
 
+# ---- passage corpus
+
+_CORPUS_SQL = f"""{_PASSAGES_SQL},
+c AS (SELECT section_id AS document_id, length(context) AS char_count, md5(context || chr(10)) AS text_md5 FROM best WHERE rn = 1),
+corpus AS ({group_split_sql('c')})"""
+
+
+@query("passage_corpus", f"WITH {_CORPUS_SQL} SELECT document_id AS section_id, document_id, char_count, text_md5, split FROM corpus")
+def passage_corpus(t: Tables):
+    corpus = passages.passage_corpus(_passage_rows(t), monitor_ratio=0.1)
+    return corpus.select("section_id", "document_id", "char_count", F.md5("text").alias("text_md5"), "split")
+
+
+@query(
+    "passage_corpus_counts",
+    f"""WITH {_CORPUS_SQL}, z AS (SELECT count(*) AS n_passages_full_kb, count(*) FILTER (WHERE split = 'train') AS n_cpt_train_passages,
+  count(*) FILTER (WHERE split = 'val') AS n_cpt_monitor_val_passages FROM corpus)
+SELECT (SELECT count(*) FROM v_docs) AS input_qa_rows, (SELECT count(*) FROM v_docs WHERE {s.strip('context')} = '') AS skipped_missing_context,
+  (SELECT count(*) FROM v_docs WHERE {s.strip('context')} <> '' AND length({s.strip('context')}) < 40) AS skipped_short,
+  n_passages_full_kb AS unique_passages, (SELECT count(*) FROM p) - n_passages_full_kb AS duplicate_section_rows, z.* FROM z""",
+)
+def passage_corpus_counts(t: Tables):
+    rows = _passage_rows(t)
+    return passages.corpus_manifest(rows, passages.passage_corpus(rows, monitor_ratio=0.1))
+
+
+@query(
+    "passage_corpus_files",
+    f"""WITH {_CORPUS_SQL} SELECT 'full' AS part, count(*) AS n_passages, CAST(sum(char_count) AS BIGINT) AS n_chars FROM corpus
+UNION ALL SELECT split, count(*), CAST(sum(char_count) AS BIGINT) FROM corpus GROUP BY split""",
+)
+def passage_corpus_files(t: Tables):
+    folder = scratch(t.spark, "passages")
+    passages.write_corpus(passages.passage_corpus(_passage_rows(t), monitor_ratio=0.1), folder)
+    lines = t.spark.read.schema("section_id string, text string").json(f"{folder}/passages_*.jsonl")
+    part = F.regexp_extract(F.col("_metadata.file_path"), r"passages_(\w+)\.jsonl", 1)
+    # The text ends with a line feed that does not count.
+    return lines.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n_passages"), F.sum(F.length("text") - 1).cast("bigint").alias("n_chars"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from qassay.operators import dedupe, ranking, splitting
+from qassay.operators import dedupe, passages, ranking, splitting
 
 
 def sizes(n, train=0.8, val=0.1):
@@ -169,3 +169,26 @@ def test_rows_of_unlisted_corpora_stay_without_a_split(spark):
     got = [(r.corpus, r.split, r.ood_test) for r in splitting.split_corpora(df, ["en", "de"], ood_corpus="en").collect()]
     assert len(got) == 60 and {s for c, s, _ in got if c == "en"} == {"train", "val"}
     assert {x for x in got if x[0] != "en"} == {("xx", None, False), (None, None, False)}
+
+
+def test_passage_corpus(spark, tmp_path):
+    rows = [(f"s{i % 30:02d}", f"{'x' * 40}{'y' * (i // 30)}", i, None if i % 2 else "src") for i in range(90)]
+    rows += [(None, "z" * 50, 90, None), (" ", "z" * 50, 91, "other"), ("s01", "short", 92, None), ("s02", None, 93, None)]
+    df = spark.createDataFrame(rows, "section_id string, context string, ord int, source string")
+    digest = f"qa_{hashlib.sha256(b'z' * 50).hexdigest()[:16]}"
+    whole = {r.section_id: r for r in passages.passage_corpus(df).collect()}
+    assert set(whole) == {*(f"s{i:02d}" for i in range(30)), digest} and {r.split for r in whole.values()} == {"train"}
+    assert whole["s05"].text == "x" * 40 + "yy\n" and whole["s05"].char_count == 42 and whole["s05"].source == "qa" and whole["s04"].source == "src"
+    assert all(r.document_id == r.section_id for r in whole.values())
+    monitored = passages.passage_corpus(df, monitor_ratio=0.1)
+    by_hash = sorted(whole, key=lambda k: hashlib.sha256(f"42:{k}".encode()).hexdigest())
+    assert {r.section_id for r in monitored.collect() if r.split == "val"} == set(by_hash[:3])
+    first = {r.section_id for r in passages.passage_corpus(df, max_passages=7).collect()}
+    assert first == set(sorted(whole)[:7])
+    assert tuple(passages.corpus_manifest(df, monitored).first()) == (94, 1, 1, 31, 61, 31, 28, 3)
+    passages.write_corpus(monitored, str(tmp_path))
+    counts = [spark.read.json(f"{tmp_path}/passages_{n}.jsonl").count() for n in ("full", "train", "val")]
+    assert counts == [31, 28, 3]
+    assert passages.passage_corpus(df.limit(0), monitor_ratio=0.1, max_passages=3).count() == 0
+    one = passages.passage_corpus(df.filter("section_id = 's01'"), monitor_ratio=0.9).collect()
+    assert [r.split for r in one] == ["train"]
