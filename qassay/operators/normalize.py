@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from qassay.functions.judging import passage_id
 from qassay.functions.text import blank_to_null, clean_markdown, first_filled, strip
@@ -109,6 +110,16 @@ def resolve_fields(rows: DataFrame) -> DataFrame:
     )
 
 
+def gold_texts(rows: DataFrame, answers: str = "answers", golds: str = "golds") -> DataFrame:
+    """Adds the accepted answers of a row: the stripped texts of ``answers`` (texts, or structs with a text) that are not blank; without any, the
+    gold, or the answer where the gold is missing or empty. A row without either has an empty list."""
+    kind = rows.schema[answers].dataType.elementType
+    listed = F.transform(F.coalesce(answers, F.array().cast(rows.schema[answers].dataType)), lambda a: strip(a["text"] if isinstance(kind, T.StructType) else a))
+    single = strip(F.coalesce(F.nullif("gold", F.lit("")), F.col("answer"), F.lit("")))
+    filled = F.filter(listed, lambda a: a != "")
+    return rows.withColumn(golds, F.when(F.size(filled) > 0, filled).when(single != "", F.array(single)).otherwise(F.array().cast("array<string>")))
+
+
 def excerpts(chunks: DataFrame, min_chars: int = 40) -> DataFrame:
     """Title (unless INTRO), text and image notes joined by blank lines; too short ones dropped."""
     title = F.nullif(_text("title"), F.lit("INTRO"))

@@ -165,11 +165,12 @@ def stratified_split(
 
 def split_corpora(
     rows: DataFrame, corpora: Sequence[str], corpus: str = "corpus", val_ratio: float = 0.1, seed: int = 42,
-    ood_corpus: str | None = None,
+    ood_corpus: str | None = None, ood_rows: DataFrame | None = None,
 ) -> DataFrame:
     """Grouped split of several corpora in one pass, the i-th with seed + i; adds ood_test for one corpus's val.
 
-    Rows of a corpus that is not listed, or of none, stay with a null split."""
+    Rows of a corpus that is not listed, or of none, stay with a null split. Where a table of test rows is given, its rows are
+    the test (with a null split, columns they lack are null) and no corpus's val is."""
     seeds = F.create_map(*[x for i, c in enumerate(corpora) for x in (F.lit(c), F.lit(seed + i))])
     keyed = (
         rows.withColumn("split_key", row_document_id())
@@ -189,11 +190,16 @@ def split_corpora(
     out = keyed.join(F.broadcast(cuts), corpus, "left")
     in_val = F.coalesce(F.col("_k") <= F.col("_cut"), F.lit(False))
     ood = in_val & F.lit(ood_corpus is not None) & (F.col(corpus) == F.lit(ood_corpus or ""))
-    return (
+    split = (
         out.withColumn("split", F.when(in_val, "val").when(F.col("_k").isNotNull(), "train"))
-        .withColumn("ood_test", ood)
+        .withColumn("ood_test", ood if ood_rows is None else F.lit(False))
         .drop("_k", "_cut")
     )
+    if ood_rows is None:
+        return split
+    known = ood_rows.select(*[c for c in ood_rows.columns if c in rows.columns])
+    test = known.withColumn("split", F.lit(None).cast("string")).withColumn("ood_test", F.lit(True))
+    return split.unionByName(test, allowMissingColumns=True)
 
 
 def random_holdout(rows: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:

@@ -175,6 +175,26 @@ def resolve_fields(t: Tables):
     return normalize.resolve_fields(rows)
 
 
+@query(
+    "gold_texts",
+    f"""WITH x AS (SELECT eval_id, CASE WHEN turn % 3 = 0 THEN '' WHEN turn % 3 = 1 THEN gold END AS g, question AS a,
+  list_filter(list_transform(string_split(CASE WHEN conv_id % 2 = 0 THEN gold || chr(10) || ' ' || chr(10) || question || ' ' ELSE ' ' END, chr(10)), lambda t: {s.strip('t')}), lambda t: t <> '') AS l FROM v_pred WHERE condition = 'candidate')
+SELECT eval_id, len(CASE WHEN len(l) > 0 THEN l WHEN {s.strip("coalesce(nullif(g, ''), a, '')")} <> '' THEN [{s.strip("coalesce(nullif(g, ''), a, '')")}] ELSE [] END) AS n_golds,
+  md5(array_to_string(CASE WHEN len(l) > 0 THEN l WHEN {s.strip("coalesce(nullif(g, ''), a, '')")} <> '' THEN [{s.strip("coalesce(nullif(g, ''), a, '')")}] ELSE [] END, '|')) AS golds_md5 FROM x""",
+)
+def gold_texts(t: Tables):
+    """Every question once: half of them with a list of answers, the others with only blanks in it."""
+    listed = F.when(F.col("conv_id") % 2 == 0, F.concat("gold", F.lit("\n \n"), "question", F.lit(" "))).otherwise(" ")
+    rows = t.pred.filter("condition = 'candidate'").select(
+        "eval_id",
+        F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, F.col("gold")).alias("gold"),
+        F.col("question").alias("answer"),
+        F.transform(F.split(listed, "\n"), lambda x: F.struct(x.alias("text"))).alias("answers"),
+    )
+    golds = normalize.gold_texts(rows)
+    return golds.select("eval_id", F.size("golds").alias("n_golds"), F.md5(F.array_join("golds", "|")).alias("golds_md5"))
+
+
 @query(
     "clean_markdown",
     """SELECT document_id, md5(replace(replace(x, chr(13), ''), chr(10) || chr(10) || chr(10), chr(10) || chr(10))) AS text_md5

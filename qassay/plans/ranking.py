@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qassay.functions import judging
-from qassay.operators import bootstrap, enrich, listwise, order_bootstrap, requests
+from qassay.operators import bootstrap, categories, enrich, listwise, order_bootstrap, requests
 from qassay.plans import sqltext as s
 from qassay.plans.corpus import fill_sql
 from qassay.plans.evaluation import _SCORED, scored
@@ -196,13 +196,29 @@ def _categories(t: Tables) -> DataFrame:
     f"WITH {_CATS} SELECT field, value, count(*) AS n_rows FROM (SELECT 'topic' AS field, topic AS value FROM cats UNION ALL SELECT 'gain', gain FROM cats) GROUP BY 1, 2",
 )
 def category_counts(t: Tables):
-    long = _categories(t).unpivot("eval_id", ["topic", "gain"], "field", "value")
-    return long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+    return categories.category_counts(_categories(t), ["topic", "gain"])
 
 
 @query("cross_tab", f"WITH {_CATS} SELECT topic, gain, count(*) AS n_rows FROM cats GROUP BY 1, 2")
 def cross_tab(t: Tables):
-    return _categories(t).groupBy("topic", "gain").agg(F.count(F.lit(1)).alias("n_rows"))
+    return categories.cross_tab(_categories(t), "topic", "gain")
+
+
+@query(
+    "category_counts_errors",
+    """WITH c AS (SELECT CASE WHEN turn % 4 <> 1 THEN topic END AS topic, CASE WHEN gain = 'low' THEN 'classifier_timeout' WHEN gain <> '__error__' THEN gain END AS gain, turn % 3 = 0 AS failed
+  FROM (SELECT q.turn, cats.* FROM cats JOIN v_qa q USING (eval_id))), l AS (SELECT 'topic' AS field, topic AS v, failed FROM c UNION ALL SELECT 'gain', gain, failed FROM c)
+SELECT field, CASE WHEN v NOT LIKE 'classifier_%' THEN v ELSE '__error__' END AS value, count(*) AS n_rows FROM l WHERE v NOT LIKE 'classifier_%' OR failed GROUP BY 1, 2""".replace("WITH c AS", f"WITH {_CATS}, c AS"),
+)
+def category_counts_errors(t: Tables):
+    """Missing labels and classifier faults, some with the mark of a failed classifier."""
+    turn = t.qa.select("eval_id", "turn")
+    rows = _categories(t).join(turn, "eval_id").select(
+        F.when(F.col("turn") % 4 != 1, F.col("topic")).alias("topic"),
+        F.when(F.col("gain") == "low", "classifier_timeout").when(F.col("gain") != "__error__", F.col("gain")).alias("gain"),
+        (F.col("turn") % 3 == 0).alias("failed"),
+    )
+    return categories.category_counts(rows, ["topic", "gain"], "failed")
 
 
 @query(

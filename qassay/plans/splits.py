@@ -186,6 +186,22 @@ def multi_corpus_split(t: Tables):
     return splitting.split_corpora(rows, _CORPORA, ood_corpus="fr").select("eval_id", "corpus", "split", "ood_test")
 
 
+@query(
+    "multi_corpus_ood_table",
+    " UNION ALL ".join(
+        f"SELECT eval_id, document_topic AS corpus, split, false AS ood_test FROM ({group_split_sql('v_judged', seed=42 + i, where=f'document_topic = {s.quote(c)} AND ' + _TRAINABLE)})"
+        for i, c in enumerate(_CORPORA[:3])
+    )
+    + f" UNION ALL SELECT eval_id, NULL, NULL, true FROM v_judged WHERE document_topic = {s.quote(_CORPORA[3])} AND {_TRAINABLE}",
+)
+def multi_corpus_ood_table(t: Tables):
+    """Three corpora are split; the rows of the fourth come as a test table of their own."""
+    usable = splitting.trainable_judged_rows(t.judged)
+    listed = usable.filter(F.col("document_topic").isin(*_CORPORA[:3])).withColumn("corpus", F.col("document_topic"))
+    test = usable.filter(F.col("document_topic") == _CORPORA[3])
+    return splitting.split_corpora(listed, _CORPORA[:3], ood_corpus="fr", ood_rows=test).select("eval_id", "corpus", "split", "ood_test")
+
+
 @query(
     "zero_shot_holdout",
     f"SELECT eval_id, document_id FROM ({group_split_sql('v_judged', where=_TRAINABLE)}) WHERE split = 'val'",

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qassay import schemas
-from qassay.operators import agreement, bootstrap, coverage, enrich, judged, listwise, mining, normalize, requests, responses, scoring
+from qassay.operators import agreement, bootstrap, categories, coverage, enrich, judged, listwise, mining, normalize, requests, responses, scoring
 from qassay.sources import discovery, jsonl, markdown, shards
 from qassay.streaming.spans import start_span_rollup
 
@@ -372,3 +372,22 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
     context = SimpleNamespace(getCheckpointDir=lambda: None, master="local-cluster[2,1,1024]")
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+
+
+def test_gold_texts(spark):
+    rows = [(["a ", " ", "b"], "g", "x"), ([" "], "g ", "x"), ([], "", " x"), (None, None, "x"), (None, "  ", "x"), (None, None, None), ([None, "c"], None, None)]
+    df = spark.createDataFrame(rows, "answers array<string>, gold string, answer string")
+    want = [["a", "b"], ["g"], ["x"], ["x"], [], [], ["c"]]
+    assert [r.golds for r in normalize.gold_texts(df).collect()] == want
+    structs = df.withColumn("answers", F.transform("answers", lambda a: F.struct(a.alias("text"))))
+    assert [r.golds for r in normalize.gold_texts(structs).collect()] == want
+
+
+def test_category_counts(spark):
+    rows = [("a", "x", False), ("a", None, True), ("classifier_json", "x", True), ("classifier_json", "x", False), (None, "y", None)]
+    df = spark.createDataFrame(rows, "f string, g string, bad boolean")
+    got = {(r.field, r.value): r.n_rows for r in categories.category_counts(df, ["f", "g"], "bad").collect()}
+    assert got == {("f", "a"): 2, ("f", "__error__"): 1, ("g", "x"): 3, ("g", "__error__"): 1, ("g", "y"): 1}
+    assert ("f", "__error__") not in {(r.field, r.value) for r in categories.category_counts(df, ["f"]).collect()}
+    tab = {(r.f, r.g): r.n_rows for r in categories.cross_tab(df, "f", "g").collect()}
+    assert tab == {("a", "x"): 1, ("a", "unknown"): 1, ("classifier_json", "x"): 2, ("unknown", "y"): 1}
