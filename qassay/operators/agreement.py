@@ -70,7 +70,7 @@ def _with_rank(cells: DataFrame, side: str, total: Column, hot_share: int = 64)
     """Adds r<side>, the average rank of the value. Fewer than hot_share values hold more than 1 / hot_share of all rows
     each; their ranks are broadcast, so no task gets all cells of such a value."""
     values = running_totals(cells.groupBy(side).agg(F.sum("w").alias("_same")), side, "_same")
-    ranks = written(values.select(side, (F.col("_before") + (F.col("_same") + 1) / 2).alias(f"r{side}"), "_same"))
+    ranks = values.select(side, (F.col("_before") + (F.col("_same") + 1) / 2).alias(f"r{side}"), "_same")
     is_hot = F.col("_same") * hot_share > total
     hot, rest = ranks.filter(is_hot).drop("_same"), ranks.filter(~is_hot).drop("_same")
     return cells.join(F.broadcast(hot), side).unionByName(cells.join(F.broadcast(hot), side, "left_anti").join(rest, side))
