@@ -3,8 +3,9 @@
 A revisit belongs to the latest earlier full response of the same canonical URL. If their validators agree, the response's headers are brought up to
 date with those headers that a not-modified answer may change, and the payload is the response's.
 
-The as-of join needs no task that holds all captures of one URL: time is cut into slices, a window looks back within (URL, slice), and what a slice
-inherits is the latest response of the slices before it, from one aggregated row per (URL, slice). Payloads do not travel; a result names the record.
+The as-of join needs no task that holds all captures of one URL: captures are dealt by range over (URL, time), so that slices follow the counts of rows
+and not the clock. A window looks back within (URL, slice), and what a slice inherits is the latest response of the slices before it, from one aggregated
+row per (URL, slice). Payloads do not travel; a result names the record.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qassay.llm.shared import settle
+
 # Headers that a 304 answer carries over.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 
@@ -32,7 +35,7 @@ def _lower_keys(headers: Column) -> Column:
     return F.map_from_arrays(names, F.transform(names, lambda n: F.get(F.filter(entries, lambda e: e["key"] == n), F.lit(0))["value"]))
 
 
-def resolve_revisits(records: DataFrame, slices: int = 256) -> DataFrame:
+def resolve_revisits(records: DataFrame) -> DataFrame:
     """One row per revisit of records (record_id, kind: response or revisit, url, ts long, etag, last_modified, headers map): record_id,
     canonical_url, matched_id, verdict and headers.
 
@@ -48,13 +51,13 @@ def resolve_revisits(records: DataFrame, slices: int = 256) -> DataFrame:
     placed = own.filter(F.col("canonical_url").isNotNull() & F.col("ts").isNotNull())
     lost = own.filter((F.col("kind") == "revisit") & (F.col("canonical_url").isNull() | F.col("ts").isNull()))
 
-    first, last = placed.agg(F.min("ts"), F.max("ts")).first()
-    width = max(1, -(-((last or 0) - (first or 0) + 1) // slices))
-    placed = placed.withColumn("slice", F.floor((F.col("ts") - F.lit(first or 0)) / width))
+    placed = placed.withColumn("is_response", F.col("kind") == "response")
+    in_time = ["canonical_url", "ts", "is_response", "record_id"]
+    placed = settle(placed.repartitionByRange(*in_time).sortWithinPartitions(*in_time).withColumn("slice", F.spark_partition_id()), "captures")
     response = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "last_modified", F.map_entries("headers").alias("headers")))
     placed = placed.withColumn("response", response)
 
-    back = Window.partitionBy("canonical_url", "slice").orderBy("ts", F.col("kind") == "response", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("canonical_url", "slice").orderBy("ts", "is_response", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     seen = placed.withColumn("near", F.last("response", ignorenulls=True).over(back)).filter(F.col("kind") == "revisit")
     before = Window.partitionBy("canonical_url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     heads = placed.groupBy("canonical_url", "slice").agg(F.max("response").alias("latest"))
