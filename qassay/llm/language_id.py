@@ -7,7 +7,6 @@ by their bytes, give the language. The network is trained in numpy on a bounded
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,6 @@ from qassay.llm.shared import text_chunks
 from qassay.llm.training import Adam, collect_texts, draw
 
 WIDTHS = (2, 3, 4)
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 class ByteNet:
@@ -126,15 +124,18 @@ class ByteNet:
         p = np.exp(total - total.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
-        lettered = np.array([bool(_LETTER.search(t.decode(errors="ignore"))) for t in texts], dtype=bool)
+        lettered = np.array([any(map(str.isalpha, t.decode(errors="ignore"))) for t in texts], dtype=bool)
         return np.where(lettered, best, -1), np.where(lettered, p[np.arange(len(texts)), best], 0.0)
 
 
 def fit(rows: DataFrame, lang: str = "lang", text: str = "text", per_language: int = 600, chars: int = 1500) -> ByteNet:
-    """A network trained on at most per_language labelled rows of each language, chars code points of each. Null labels and texts are left out."""
-    rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and length(text) > 0")
-    drawn, counts = draw(rows, "lang", per_language, "text")
-    sample = collect_texts(drawn, "lang", per_language, chars)
+    """A network trained on at most per_language labelled texts of each language, chars code points of each. Null labels and texts are left out; a text
+    that repeats is one text, so copies neither crowd out others nor pass the bound."""
+    rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("_text")).filter("lang is not null and length(text) > 0")
+    drawn, counts = draw(rows.select("lang", "_text").distinct(), "lang", per_language, "_text")
+    # About 1.3 * per_language rows of each language are broadcast; only the texts they name are shuffled, one copy a task.
+    texts = rows.join(F.broadcast(drawn), ["lang", "_text"]).dropDuplicates(["lang", "_text"])
+    sample = collect_texts(texts, "lang", per_language, chars)
     net = ByteNet(sorted(counts))
     if counts:
         net.train([t.encode() for t in sample["text"]], np.searchsorted(net.languages, sample["lang"].to_numpy(dtype=object)))
