@@ -4,6 +4,9 @@ Every line becomes a 128-bit hash of its key. The hashes are dealt by range over
 document and position, so a line that stands in a third of all documents is spread over many partitions, while one document's repeats of a line
 lie side by side. Streaming over this order gives each (line, document) once, with its first and all its positions; their counts per hash decide.
 Back to the documents goes no text, but a compressed bitmap: the runs of dropped line numbers.
+
+Lines that more than 1/HOT_LINES of all (line, document) rows hold are fewer than HOT_LINES, so they are broadcast and their rows are not shuffled by
+line again; the others meet their counts in a shuffle whose largest key is bounded by that share.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from qassay.llm.shared import row_keys, settle
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RUNS = "array<struct<first:int,last:int>>"
+HOT_LINES = 1024
 
 
 def split_lines(text: Column) -> Column:
@@ -57,8 +61,12 @@ def drop_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     once = settle(once, "line_documents")
 
     counted = once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "k1", "k2", "first")).alias("origin"))
-    common = counted.filter(F.col("n_docs") >= min_docs).select("h1", "h2", *(["origin"] if keep_first else []))
-    dropped = once.join(common, ["h1", "h2"])
+    common = settle(counted.filter(F.col("n_docs") >= min_docs).select("h1", "h2", "n_docs", *(["origin"] if keep_first else [])), "common_lines")
+    share = once.count() // HOT_LINES
+    hot, other = common.filter(F.col("n_docs") > share).drop("n_docs"), common.filter(F.col("n_docs") <= share).drop("n_docs")
+    # At most HOT_LINES rows can pass the share.
+    cold = once.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti")
+    dropped = once.join(F.broadcast(hot), ["h1", "h2"]).unionByName(cold.join(other, ["h1", "h2"]))
     if keep_first:
         is_origin = (F.col("k1") == F.col("origin.k1")) & (F.col("k2") == F.col("origin.k2"))
         dropped = dropped.withColumn("positions", F.when(is_origin, F.array_remove("positions", F.col("first"))).otherwise(F.col("positions")))

@@ -260,6 +260,29 @@ def test_token_counts_on_edges(spark, definition):
     assert got[1] == got[2] == got[5] == (0, 0) and got[3][0] == 3 and got[4][0] == 30_000 and got[6][1] > 100
 
 
+def test_line_dedup_hot_lines(spark, monkeypatch):
+    rows = [(i, "hot\nother" if i % 2 else f"hot\nown {i}") for i in range(40)] + [(None, "hot"), (None, None)]
+    for hot_lines in (1, 3, 1000):  # none hot, one hot, both hot
+        monkeypatch.setattr(line_dedup, "HOT_LINES", hot_lines)
+        for keep_first in (False, True):
+            docs = spark.createDataFrame(rows, "doc_id long, text string")
+            got = line_dedup.apply_bitmaps(docs, line_dedup.drop_bitmaps(docs, keep_first=keep_first)).collect()
+            firsts = {(None, "hot"): "hot", (1, "hot\nother"): "other"} if keep_first else {}
+            want = [(i, firsts.get((i, t), "" if i is None or i % 2 else f"own {i}")) for i, t in rows]
+            assert Counter((r.doc_id, r["_kept"]) for r in got) == Counter(want)
+
+
+def test_language_sample_holds_distinct_texts(spark):
+    copies = [("en", "the same words of a copied text") for _ in range(3000)]
+    others = [("en", f"the words of text number {i} and {i * 7}") for i in range(40)] + [("de", f"die Wörter des Textes {i}") for i in range(40)]
+    rows = spark.createDataFrame(copies + others, "lang string, text string")
+    net = language_id.fit(rows, per_language=20)
+    assert net.languages == ["de", "en"]
+    docs = spark.createDataFrame([(1, "die Wörter"), (2, "the words of a text"), (3, "² ½ Ⅷ 12_"), (4, "日本")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, net).collect()}
+    assert got[1] == "de" and got[2] == "en" and got[3] == "und" and got[4] != "und"
+
+
 def test_models_on_edges(spark):
     docs, none = frame(spark, EDGES), frame(spark, [])
     labels = spark.createDataFrame([(3, 0), (4, 1), (1, None)], "doc_id long, toxic int")
@@ -368,6 +391,19 @@ def test_warc_revisits_on_edges(spark):
     assert warc_revisits.resolve_revisits(records.limit(0)).count() == 0
 
 
+def test_warc_revisits_of_a_hot_url_with_a_stray_time(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["response", "revisit", "revisit"]), "http://a.org/" if i % 3 else f"http://b.org/{i % 50}", rng.randrange(400), "t", None) for i in range(3000)]
+    rows += [(5000, "response", "http://a.org/", -(10**15), "t", None), (5001, "revisit", "http://a.org/", 10**15, "t", None), rows[0], rows[1]]
+    got = warc_revisits.resolve_revisits(spark.createDataFrame(rows, "record_id long, kind string, url string, ts long, etag string, last_modified string").withColumn("headers", F.lit(None).cast("map<string,string>")))
+    want = Counter()
+    for record, kind, url, ts, _, _ in rows:
+        if kind == "revisit":
+            earlier = [(r[3], r[0]) for r in rows if r[1] == "response" and r[2] == url and r[3] < ts]
+            want[record, max(earlier)[1] if earlier else None] += 1
+    assert Counter((r.record_id, r.matched_id) for r in got.collect()) == want
+
+
 def test_ids_crc_is_little_endian(spark):
     ids = np.array([1, 50256], dtype="<u4").tobytes()
     got = spark.createDataFrame([(ids,)], "ids binary").select(F.crc32("ids")).first()[0]
