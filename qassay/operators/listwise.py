@@ -160,16 +160,19 @@ def swap_merge_ranks(first: DataFrame, second: DataFrame, order: str = "ord") ->
 
 def slice_metrics(
     classified: DataFrame, results: DataFrame, scored: DataFrame, fields: Sequence[str], baseline: str,
-    conditions: Sequence[str],
+    conditions: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Per slice value and condition: points, F1, exact match and win rate against the baseline. Results with an error do not count.
+    """Per slice value and condition: points, F1, exact match, cosine (where scored) and win rate against the baseline. Results with an error do not count.
 
-    Slices are exploded only after the per-question facts are joined, so nothing is joined per slice.
+    Without conditions, those of the results are taken. Slices are exploded only after the per-question facts are joined, so nothing is joined per slice.
     """
     ranks = F.col("ranks_by_condition")
+    given = None if conditions is None else F.array(*[F.lit(c) for c in conditions])
+    arms = condition_names(results).agg(F.collect_set("condition")).scalar() if given is None else given
+    metrics = [m for m in ("token_f1", "exact_match", "pred_gold_cosine") if m in scored.columns]
     per_question = (
-        ranked_ok(results).select("eval_id", "points_by_condition", "ranks_by_condition")
-        .withColumn("condition", F.explode(F.array(*[F.lit(c) for c in conditions])))
+        ranked_ok(results).select("eval_id", "points_by_condition", "ranks_by_condition", arms.alias("_arms"))
+        .withColumn("condition", F.explode("_arms"))
         .withColumn("points", F.try_element_at("points_by_condition", F.col("condition")))
         .withColumn("_r", F.try_element_at(ranks, F.col("condition")))
         .withColumn("_b", F.when(F.col("condition") != baseline, F.try_element_at(ranks, F.lit(baseline))))
@@ -179,7 +182,7 @@ def slice_metrics(
         )
         .select("eval_id", "condition", "points", "outcome")
     )
-    facts = per_question.join(scored.select("eval_id", "condition", "token_f1", "exact_match"), ["eval_id", "condition"], "left")
+    facts = per_question.join(scored.select("eval_id", "condition", *metrics), ["eval_id", "condition"], "left")
     value = {f: F.coalesce(F.nullif(strip(F.col(f)), F.lit("")), F.lit("unknown")) for f in fields}
     slices = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in value.items()])
     return (
@@ -189,8 +192,7 @@ def slice_metrics(
         .agg(
             F.count(F.lit(1)).alias("n_questions"),
             mean4(F.col("points")).alias("mean_points"),
-            mean4(F.col("token_f1")).alias("mean_token_f1"),
-            mean4(F.col("exact_match")).alias("mean_exact_match"),
+            *[mean4(F.col(m)).alias(f"mean_{m}") for m in metrics],
             *win_counts(),
         )
         .withColumn(

@@ -30,6 +30,16 @@ def score_predictions(rows: DataFrame) -> DataFrame:
     )
 
 
+def add_cosines(scored: DataFrame, cosines: DataFrame, key: tuple[str, ...] = ("eval_id", "condition")) -> DataFrame:
+    """Scored rows with pred_gold_cosine from a table of at most one cosine per key; null for invalid predictions and where none was measured."""
+    measured = cosines.select(*key, F.bround("cosine", 6).alias("_cosine"))
+    return (
+        scored.join(measured, list(key), "left")
+        .withColumn("pred_gold_cosine", F.when(~F.col("pred_invalid"), F.col("_cosine")))
+        .drop("_cosine")
+    )
+
+
 def score_long_predictions(rows: DataFrame, key: list[str]) -> DataFrame:
     """Token F1 by joining token counts, for texts of many thousand tokens; adds token_f1 to the keys."""
 

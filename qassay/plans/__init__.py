@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus", "splits", "evaluation", "ranking", "cases", "interchange")
+MODULES = ("corpus", "splits", "evaluation", "ranking", "cases", "costs", "interchange")
 
 
 def load_all() -> None:

@@ -158,12 +158,15 @@ sm AS (SELECT sl.field AS field, sl.value AS value, condition, count(*) AS n_que
   {s.r('avg(exact_match)')} AS mean_exact_match, {_WINS}, {s.r('count(*) FILTER (WHERE outcome = 1) / nullif(count(outcome), 0)')} AS win_rate FROM facts JOIN cls USING (eval_id) GROUP BY 1, 2, 3)"""
 
 
-def _slices(t: Tables) -> DataFrame:
+def slice_fields(t: Tables) -> DataFrame:
     n = F.length("answer")
-    classified = t.qa.select(
+    return t.qa.select(
         "eval_id", F.col("document_topic").alias("topic"), F.when(n < 300, "short").when(n < 900, "mid").otherwise(" ").alias("size")
     )
-    return listwise.slice_metrics(classified, t.rank, scored(t), ["topic", "size"], "baseline_a", ARMS)
+
+
+def _slices(t: Tables) -> DataFrame:
+    return listwise.slice_metrics(slice_fields(t), t.rank, scored(t), ["topic", "size"], "baseline_a", ARMS)
 
 
 @query("slice_metrics", f"WITH {_SLICES_SQL} SELECT * FROM sm")

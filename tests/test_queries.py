@@ -13,6 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SAMPLE = [
     "leaderboard_scores", "md_sections", "word_chunks", "stratified_split", "group_split", "dedupe_first", "judge_stats", "parse_judge",
     "win_rate", "bootstrap_mean", "coverage_per_doc", "case_catalog", "grounded_rates", "timing_stats", "span_rollup_stream", "scan_jsonl",
+    "condition_costs", "tier_costs", "score_summary_cosine", "slice_metrics_cosine",
 ]
 
 
