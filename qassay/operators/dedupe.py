@@ -10,12 +10,16 @@ from qassay.functions.text import strip
 from qassay.operators.ranking import first_per_key
 
 
-def _acceptable(rows: DataFrame, key: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
-    tidy = (
+def _tidy(rows: DataFrame, key: str) -> DataFrame:
+    return (
         rows.withColumn(key, strip(F.coalesce(key, F.lit(""))))
         .withColumn("context", strip(F.coalesce("context", F.lit(""))))
         .filter(F.col(key) != "")
     )
+
+
+def _acceptable(rows: DataFrame, key: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    tidy = _tidy(rows, key)
     return tidy.filter(F.length("context") >= min_chars), tidy.filter(F.length("context") < min_chars)
 
 
@@ -29,20 +33,32 @@ def dedupe_first(
 ) -> DataFrame:
     """First row with a long enough context per key, plus how many rows follow it and in which splits.
 
-    Rows before the first acceptable one are all short, so only short rows are joined back.
+    One aggregate gives the first row and what all rows of a key have in common. Only keys with short rows on both sides of their first acceptable one
+    need a second look, at those short rows.
     """
-    good, short = _acceptable(rows, key, min_context_chars)
-    kept = good.groupBy(key).agg(
-        F.min_by(F.struct("context", *keep), F.col(order)).alias("_row"), F.min(order).alias("_first")
+    tidy, short = _tidy(rows, key), _acceptable(rows, key, min_context_chars)[1]
+    fine, at = F.length("context") >= min_context_chars, F.col(order)
+    met = tidy.groupBy(key).agg(
+        F.min_by(F.when(fine, F.struct("context", *keep)), F.when(fine, at)).alias("_row"),
+        F.min(F.when(fine, at)).alias("_first"),
+        F.min(F.when(~fine, at)).alias("_short_from"),
+        F.max(F.when(~fine, at)).alias("_short_to"),
+        F.count_if(fine).alias("_n_good"),
+        F.count_if(~fine).alias("_n_short"),
+        *([F.collect_set(F.when(f, F.col(split))).alias(f"_{n}_splits") for n, f in (("good", fine), ("short", ~fine))] if split else []),
     )
-    firsts = good.groupBy(key).agg(F.min(order).alias("_first"))
-    extra = [split] if split else []
-    late = short.select(key, order, *extra).join(firsts, key).filter(F.col(order) > F.col("_first"))
-    seen = good.select(key, *extra).unionByName(late.select(key, *extra)).groupBy(key)
-    aggs = [F.count(F.lit(1)).alias("n_source_rows")]
+    met = met.filter(F.col("_first").isNotNull())
+    mixed = met.filter((F.col("_short_from") <= F.col("_first")) & (F.col("_short_to") > F.col("_first"))).select(key, "_first")
+    late = short.select(key, order, *([split] if split else [])).join(mixed, key).filter(at > F.col("_first")).groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n_late"), *([F.collect_set(split).alias("_late_splits")] if split else [])
+    )
+    all_late = F.col("_short_from") > F.col("_first")
+    n_late = F.coalesce(F.when(all_late, F.col("_n_short")).otherwise(F.col("_n_late")), F.lit(0))
+    out = [key, "_row.*", (F.col("_n_good") + n_late).alias("n_source_rows")]
     if split:
-        aggs.append(F.array_sort(F.collect_set(split)).alias("splits"))
-    return kept.select(key, "_row.*").join(seen.agg(*aggs), key)
+        more = F.coalesce(F.when(all_late, F.col("_short_splits")).otherwise(F.col("_late_splits")), F.slice("_good_splits", 1, 0))
+        out.append(F.array_sort(F.array_union("_good_splits", more)).alias("splits"))
+    return met.join(late, key, "left").select(*out)
 
 
 def dedupe_first_stats(

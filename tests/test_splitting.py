@@ -1,3 +1,4 @@
+import random
 import hashlib
 
 import numpy as np
@@ -157,6 +158,23 @@ def test_dedupe_first_counts_from_the_first_good_row(spark):
     assert tuple(stats) == (7, 2, 2, 1)
 
 
+def test_dedupe_first_with_short_rows_anywhere(spark):
+    rng = random.Random(3)
+    rows = [(f"d{rng.randrange(25)}", ("x" * 40 if rng.random() < p else "short") + str(i), rng.choice("abcd"), i, "t") for p in (0.2, 0.9) for i in rng.sample(range(1000), 60)]
+    rows = [(*r[:3], i, r[4]) for i, r in enumerate(rows)]
+    want = {}
+    for doc, context, split, _, _ in rows:
+        if doc in want:
+            want[doc][1] += 1
+            want[doc][2].add(split)
+        elif len(context) >= 40:
+            want[doc] = [context, 1, {split}]
+    df = spark.createDataFrame(rows, "document_id string, context string, split string, ord int, document_topic string")
+    got = {r.document_id: [r.context, r.n_source_rows, set(r.splits)] for r in dedupe.dedupe_first(df).collect()}
+    assert got == want and len(want) > 15
+    assert dedupe.dedupe_first(df.limit(0)).count() == 0
+
+
 def test_dedupe_longest_ties(spark):
     rows = [("s", "y" * 40, 1), ("s", "z" * 41, 3), ("s", "w" * 41, 2), ("t", "q" * 39, 4)]
     df = spark.createDataFrame(rows, "section_id string, context string, ord int").withColumn("source", F.lit("src"))
