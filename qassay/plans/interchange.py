@@ -103,8 +103,8 @@ def filter_conditions(t: Tables):
 @query("scan_markdown", "SELECT length(md) AS n_chars, md5(md) AS md_md5 FROM v_md")
 def scan_markdown(t: Tables):
     path = scratch(t.spark, "markdown")
-    # One file per document; Spark ends each with one line break and chooses the names.
-    t.md.select("md").write.option("maxRecordsPerFile", 1).text(path)
+    # One file per document, each ended with one line break.
+    markdown.write_texts(t.md.select("md"), path)
     rows = markdown.scan_markdown(t.spark, path, file_glob="*.txt")
     body = F.regexp_replace("md", "\\n\\z", "")
     return rows.select(F.length(body).alias("n_chars"), F.md5(body).alias("md_md5"))
