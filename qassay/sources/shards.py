@@ -6,15 +6,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RANGE = "shard(\\d+)_(\\d+)"
+PIECE_ROWS = 1 << 20  # rows of a shard that one task writes
 
 
 def is_sharded_run(start: int, end: int, total: int) -> bool:
     return start > 0 or 0 < end < total
 
 
-def write_shards(rows: DataFrame, path: str) -> None:
-    """One folder per shard name (column shard)."""
-    rows.write.mode("overwrite").partitionBy("shard").json(path)
+def write_shards(rows: DataFrame, path: str, piece_rows: int = PIECE_ROWS) -> None:
+    """One folder per shard name (column shard), with one file; shards of more than piece_rows rows have one for each so many.
+
+    Rows of a shard are brought together first, else every task writes a file to every shard. The number of tasks is given, because
+    the cost lies in the files: by the bytes, Spark would leave many thousands of small ones to one task.
+    """
+    start, end = (F.regexp_extract("shard", RANGE, i).try_cast("bigint") for i in (1, 2))
+    piece = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.greatest(F.ceil((end - start) / piece_rows), F.lit(1)))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(tasks, "shard", piece).write.mode("overwrite").partitionBy("shard").json(path)
 
 
 def shard_ranges(rows: DataFrame, name: str = "shard") -> DataFrame:

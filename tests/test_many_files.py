@@ -3,9 +3,11 @@
 import glob
 import os
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry_module
 from qassay.session import ensure_checkpoint_dir
-from qassay.sources import markdown
+from qassay.sources import markdown, shards
 from tests.test_queries import SF_DIR, test_query_matches_sql as query_matches_sql
 
 
@@ -50,3 +52,30 @@ def test_scan_markdown_starts_no_process_per_file(spark):
 
 def test_scan_markdown_matches_sql(spark):
     query_matches_sql(spark, "scan_markdown")
+
+
+def _files_by_folder(root):
+    return {os.path.basename(d): sum(f.endswith(".json") for f in files) for d, _, files in os.walk(root) if "shard=" in d}
+
+
+def test_a_shard_is_one_file_wherever_its_rows_lie(spark, tmp_path):
+    rows = spark.range(0, 300, 1, 6).withColumn("row", (F.col("id") * 77) % 300)
+    lo = F.floor(F.col("row") / 30) * 30
+    named = rows.select("row", F.format_string("shard%06d_%06d", lo, lo + 30).alias("shard")).cache()
+    shards.write_shards(named, f"{tmp_path}/one")
+    files = _files_by_folder(tmp_path / "one")
+    assert len(files) == 10 and set(files.values()) == {1}
+    shards.write_shards(named, f"{tmp_path}/pieces", piece_rows=10)
+    assert all(1 <= n <= 3 for n in _files_by_folder(tmp_path / "pieces").values()) and max(_files_by_folder(tmp_path / "pieces").values()) > 1
+    for folder in ("one", "pieces"):
+        merged = shards.merge_shards(spark, f"{tmp_path}/{folder}", "row bigint")
+        assert sorted((r.row, r.shard_start) for r in merged.collect()) == [(i, i // 30 * 30) for i in range(300)]
+
+
+def test_shards_of_other_names_are_written(spark, tmp_path):
+    shards.write_shards(spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "x int, shard string"), f"{tmp_path}/s")
+    assert spark.read.json(f"{tmp_path}/s").count() == 3
+
+
+def test_shard_merge_check_matches_sql(spark):
+    query_matches_sql(spark, "shard_merge_check")
