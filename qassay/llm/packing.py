@@ -10,7 +10,6 @@ power of two have at most log2(size) + 1 possible starts each, found by search.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,42 +29,55 @@ KINDS = ("document", "sentence", "inside")
 
 def cut_points(doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending positions where a window may begin or end, the first 0 and the last the end of the stream, and their kinds (places in KINDS)."""
-    ends = np.unique(np.concatenate([[0], sentence_ends, doc_ends]))
+    marks = np.full(doc_ends[-1] + 1, len(KINDS), dtype=np.uint8)
+    marks[sentence_ends] = 1
+    marks[doc_ends] = 0
+    marks[0] = 0
+    ends = np.flatnonzero(marks < len(KINDS))
     longest, step = max(size // 16, 1), max(size // 32, 1)
     gaps = np.diff(ends)
-    inner = [np.arange(ends[g] + step, ends[g + 1], step) for g in np.flatnonzero(gaps > longest)]
-    positions = np.unique(np.concatenate([ends, *inner]))
-    kinds = np.full(len(positions), 2)
-    kinds[np.searchsorted(positions, sentence_ends)] = 1
-    kinds[np.searchsorted(positions, doc_ends)] = 0
-    kinds[0] = 0
-    return positions, kinds
+    wide = np.flatnonzero(gaps > longest)
+    inside = (gaps[wide] - 1) // step
+    nth = np.arange(inside.sum()) - np.repeat(np.cumsum(inside) - inside, inside) + 1
+    marks[np.repeat(ends[wide], inside) + nth * step] = 2
+    positions = np.flatnonzero(marks < len(KINDS))
+    return positions, marks[positions].astype(np.int64)
 
 
 def best_cuts(positions: np.ndarray, cost: np.ndarray, size: int) -> np.ndarray:
     """Indices of the chosen cut points, first and last included."""
-    exact: dict[int, list[int]] = {}
+    n, first = len(positions), int(positions[0])
+    at = np.full(int(positions[-1]) - first + 1, -1, dtype=np.int32)
+    at[positions - first] = np.arange(n)
+    exact: list[tuple[int, ...]] = [()] * n
     for b in range(size.bit_length()):
-        at = np.searchsorted(positions, positions - (1 << b))
-        for j in np.flatnonzero(positions[at] == positions - (1 << b)):
-            exact.setdefault(int(j), []).append(int(at[j]))
+        start = np.searchsorted(positions, first + (1 << b))
+        before = at[positions[start:] - first - (1 << b)]
+        hits = np.flatnonzero(before >= 0)
+        for j, i in zip((hits + start).tolist(), before[hits].tolist(), strict=True):
+            exact[j] += (i,)
     place, charge = positions.tolist(), cost.tolist()
-    total, back = [0] * len(place), [0] * len(place)
-    queue: deque[tuple[int, int]] = deque([(place[0], 0)])
-    for j in range(1, len(place)):
-        here = place[j]
-        while place[queue[0][1]] < here - size:
-            queue.popleft()
-        least, start = queue[0]
-        least += size - here
-        for i in exact.get(j, ()):
+    oldest = np.searchsorted(positions, positions - size).tolist()
+    total, back = [0], [0]
+    # The queue: starts and their keys from head on.
+    starts, keys, head = [0], [place[0]], 0
+    for j, here, extra, oldest_start, exact_starts in zip(range(1, n), place[1:], charge[1:], oldest[1:], exact[1:], strict=True):
+        while starts[head] < oldest_start:
+            head += 1
+        start = starts[head]
+        least = keys[head] + size - here
+        for i in exact_starts:
             if total[i] < least:
                 least, start = total[i], i
-        total[j], back[j] = least + charge[j], start
-        key = total[j] + here
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
+        least += extra
+        total.append(least)
+        back.append(start)
+        key = least + here
+        while len(keys) > head and keys[-1] >= key:
+            keys.pop()
+            starts.pop()
+        starts.append(j)
+        keys.append(key)
     chosen = [len(place) - 1]
     while chosen[-1]:
         chosen.append(back[chosen[-1]])

@@ -28,13 +28,15 @@ class ByteTokenizer:
         table, model = byte_of(), json.loads(definition)
         added = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
         ranks = {bytes(table[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}
-        self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        # Without any special token tiktoken looks for an empty one at every character; none of these are ever allowed below.
+        special = added or {"\x00": max(ranks.values(), default=0) + 1}
+        self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         self.exact = Tokenizer.from_str(definition)
-        self.spelled_out = re.compile("|".join([_BEYOND_LATIN.pattern, *map(re.escape, added)]))
+        self.added = [t for t in added if t]
         self.ends_sentence = np.zeros(max(*ranks.values(), *added.values(), 1) + 1, dtype=bool)
         self.ends_sentence[[i for token, i in ranks.items() if token.endswith((b".", b"!", b"?", b"\n"))]] = True
 
     def encode(self, text: str) -> np.ndarray:
-        if self.spelled_out.search(text):
+        if not text.isascii() and _BEYOND_LATIN.search(text) or any(t in text for t in self.added):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
