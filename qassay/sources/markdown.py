@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,23 +13,89 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FOLDER_FILES = 4096  # files of one folder: folders are listed side by side
+BATCH_FILES, BATCH_BYTES = 4096, 4 << 20  # files and bytes that a task holds at once
 
 
 def scan_markdown(spark: SparkSession, path: str, file_glob: str = "*.{md,markdown}") -> DataFrame:
     """Files with their stem as source, *.md and *.markdown unless told otherwise; invalid bytes become replacement characters.
+    Empty files have no row, as with Spark's readers.
 
-    Read as binary files, which cost half as much a file as texts read whole.
+    The path is a file, a folder with its key=value folders, or a pattern of these. On a local file system (of the driver and all executors)
+    the tasks list and read the files, so the driver holds none of their paths. On others Spark's reader does, whose
+    driver holds one entry per file; read as binary files, which cost half as much a file as texts read whole.
     """
-    file_name = F.regexp_extract("path", "([^/]+)$", 1)
-    return (
-        spark.read.format("binaryFile").load(path, pathGlobFilter=file_glob)
-        .select(
-            F.regexp_replace(file_name, "\\.(md|markdown)$", "").alias("source"),
-            F.make_valid_utf8(F.col("content").cast("string")).alias("md"),
-        )
+    found = _local_paths(spark, path)
+    if found:
+        files = _local_files(spark, found, file_glob)
+    else:
+        files = spark.read.format("binaryFile").load(path, pathGlobFilter=file_glob)
+        files = files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content")
+    return files.select(
+        F.regexp_replace("name", "\\.(md|markdown)$", "").alias("source"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("md"),
     )
 
 
+def _local_files(spark: SparkSession, found: list[tuple[str, bool]], file_glob: str) -> DataFrame:
+    """Name and content of the files at (path, is a folder); the files that Spark's reader would read, and those beside key=value folders.
+
+    One task lists the top of a folder and deals its key=value folders, then the files of all folders are dealt, so neither
+    many folders nor many files in one stay with one task.
+    """
+    matches = re.compile(spark._jvm.org.apache.hadoop.fs.GlobPattern(file_glob).compiled().pattern(), re.DOTALL).fullmatch
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def visible(name: str) -> bool:
+        return not name.startswith(".") and not (name.startswith("_") and "=" not in name) and not name.endswith("._COPYING_")
+
+    def walk(folder: bytes, deep: bool) -> Iterator[tuple[bytes, bool]]:
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                name = os.fsdecode(entry.name)
+                if not visible(name):
+                    continue
+                if entry.is_dir():
+                    if "=" in name:
+                        yield from walk(entry.path, True) if deep else [(entry.path, True)]
+                elif entry.is_file() and matches(name):
+                    yield entry.path, False
+
+    def listing(deep: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            given = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            rows = (row for path, folder in given for row in (walk(path, deep) if folder else [(path, False)]))
+            while chunk := list(itertools.islice(rows, BATCH_FILES)):
+                paths, folders = zip(*chunk)
+                yield pa.record_batch([pa.array(paths, pa.binary()), pa.array(folders, pa.bool_())], names=["path", "folder"])
+
+        return run
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, contents, size = [], [], 0
+        for path in (path for batch in batches for path in batch.column(0).to_pylist()):
+            with open(path, "rb") as file:
+                content = file.read()
+            if not content:
+                continue
+            if names and (size + len(content) > BATCH_BYTES or len(names) == BATCH_FILES):
+                yield _binary_files(names, contents)
+                names, contents, size = [], [], 0
+            names.append(os.path.basename(path).decode("utf-8", "replace"))
+            contents.append(content)
+            size += len(content)
+        if names:
+            yield _binary_files(names, contents)
+
+    given = [(os.fsencode(path), folder) for path, folder in found if folder or visible(name := os.path.basename(path)) and matches(name)]
+    top = spark.createDataFrame(given, "path binary, folder boolean").mapInArrow(listing(False), "path binary, folder boolean")
+    files = top.repartition(tasks).mapInArrow(listing(True), "path binary, folder boolean").select("path")
+    return files.repartition(tasks).mapInArrow(read, "name string, content binary")
+
+
+def _binary_files(names: list[str], contents: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["name", "content"])
+
+
 def write_texts(texts: DataFrame, path: str, folder_files: int = FOLDER_FILES) -> None:
     """One *.txt file per row of a single text column, ended with one line break; null is written as an empty text.
 
@@ -60,6 +128,15 @@ def write_texts(texts: DataFrame, path: str, folder_files: int = FOLDER_FILES) -
         os.rename(f"{root}/{row.folder}", f"{root}/part={i}")
 
 
+def _local_paths(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """What a path or pattern stands for on the local file system, each with whether it is a folder; none on another one."""
+    if _local_folder(spark, path) is None:
+        return []
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = named.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(named)
+    return [(status.getPath().toUri().getPath(), status.isDirectory()) for status in found or []]
+
+
 def _local_folder(spark: SparkSession, path: str) -> str | None:
     """The path on the local file system, or None when it lies on another one."""
     named = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -3,6 +3,8 @@
 import glob
 import os
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
@@ -79,3 +81,60 @@ def test_shards_of_other_names_are_written(spark, tmp_path):
 
 def test_shard_merge_check_matches_sql(spark):
     query_matches_sql(spark, "shard_merge_check")
+
+
+def _by_sparks_reader(spark, path, file_glob):
+    rows = spark.read.format("binaryFile").load(path, pathGlobFilter=file_glob).select("path", "content").collect()
+    return sorted((r.path.rsplit("/", 1)[1], bytes(r.content)) for r in rows)
+
+
+def _scanned(spark, path, file_glob):
+    return sorted((r.source, r.md.encode()) for r in markdown.scan_markdown(spark, path, file_glob).collect())
+
+
+def test_the_driver_holds_no_paths_of_files(spark, tmp_path):
+    """Spark's reader keeps an entry per file in the driver, and reads few files per task."""
+    for folder in range(3):
+        (tmp_path / f"part={folder}").mkdir()
+        for i in range(200):
+            (tmp_path / f"part={folder}" / f"{i}.txt").write_text(f"{folder} {i}")
+    rows = markdown.scan_markdown(spark, str(tmp_path), "*.txt")
+    assert rows.inputFiles() == []
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(r.md for r in rows.collect()) == sorted(f"{folder} {i}" for folder in range(3) for i in range(200))
+
+
+def test_scanned_files_are_those_of_sparks_reader(spark, tmp_path):
+    flat, deep = tmp_path / "a [b]", tmp_path / "deep"
+    for name in ("x.txt", "y.txt.log", ".x.txt", "_x.txt", "_k=v.txt", "x.txt._COPYING_", "a+%20é.txt", "empty.txt", "sub/z.txt", "_hidden=0.txt"):
+        for folder in (flat,) if "/" in name else (flat, deep / "k=1" / "l=a%2Fb", deep / "k=2" / "l=c", deep / "_k" / "l=1", deep / "_k=3" / ".l=1"):
+            (folder / name).parent.mkdir(parents=True, exist_ok=True)
+            (folder / name).write_bytes(b"" if name == "empty.txt" else f"{folder.name}\r\n{name}".encode())
+    os.symlink(flat / "x.txt", flat / "link.txt")
+    os.symlink(flat / "none", flat / "broken.txt")
+    escaped = str(flat).replace("[", "\\[").replace("]", "\\]")
+    for path in (escaped, f"file://{tmp_path}/deep", f"{tmp_path}/{{a,b}}*", f"{deep}/k=1", f"{deep}/k=1/l=*/[xy].t*", f"{escaped}/x.txt", f"{escaped}/_x.txt"):
+        for file_glob in ("*.txt", "*.{txt,log}", "?.txt", "[!x]*.txt"):
+            assert _scanned(spark, path, file_glob) == _by_sparks_reader(spark, path, file_glob), (path, file_glob)
+    assert len(_scanned(spark, escaped, "*.txt")) == 5 and len(_scanned(spark, str(deep), "*.txt")) == 8  # with link.txt in the first
+
+
+def test_files_beside_folders_are_scanned(spark, tmp_path):
+    (tmp_path / "k=1").mkdir()
+    (tmp_path / "a.md").write_text("a")
+    (tmp_path / "k=1" / "b.md").write_text("b")
+    assert _scanned(spark, str(tmp_path), "*.md") == [("a", b"a"), ("b", b"b")]
+
+
+def test_files_are_held_in_small_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(markdown, "BATCH_BYTES", 10)
+    monkeypatch.setattr(markdown, "BATCH_FILES", 3)
+    for i in range(1, 41):
+        (tmp_path / f"{i}.txt").write_bytes(b"x" * i + (b"\xff" if i % 2 else b""))
+    got = {r.source: r.md for r in markdown.scan_markdown(spark, str(tmp_path), "*.txt").collect()}
+    assert got == {f"{i}.txt": "x" * i + ("�" if i % 2 else "") for i in range(1, 41)}
+
+
+def test_a_missing_path_is_an_error(spark, tmp_path):
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        markdown.scan_markdown(spark, str(tmp_path / "none")).count()
