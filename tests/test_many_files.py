@@ -2,6 +2,7 @@
 
 import glob
 import os
+import uuid
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -138,3 +139,36 @@ def test_files_are_held_in_small_batches(spark, tmp_path, monkeypatch):
 def test_a_missing_path_is_an_error(spark, tmp_path):
     with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
         markdown.scan_markdown(spark, str(tmp_path / "none")).count()
+
+
+def _other_file_system(spark, folder):
+    """The folder by the name that only Spark's readers know."""
+    name = f"t{uuid.uuid4().hex}"
+    spark._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.{name}.link./in", f"file://{folder}")
+    return f"viewfs://{name}/in"
+
+
+def test_other_file_systems_are_listed_by_groups_of_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(markdown, "GROUP_FILES", 25)
+    for i in range(120):
+        (tmp_path / f"k={i // 40}" / f"l=[{i // 10}] {{é,a}}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"k={i // 40}" / f"l=[{i // 10}] {{é,a}}" / f"{i}*=.md").write_bytes(b"x%d\xff" % i)
+    for name in ("k=1/beside.md", "above.md", "_hidden/no.md", "k=1/.no=0/no.md", "k=2/l=[8] {é,a}/_no.md", "k=2/l=[8] {é,a}/no.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("beside")
+    rows = markdown.scan_markdown(spark, _other_file_system(spark, tmp_path))
+    assert len(rows.inputFiles()) < 120 and all(name.endswith(".parquet") for name in rows.inputFiles())
+    want = sorted([(f"{i}*=", f"x{i}�".encode()) for i in range(120)] + [("above", b"beside"), ("beside", b"beside")])
+    assert sorted((r.source, r.md.encode()) for r in rows.collect()) == want
+    assert _scanned(spark, str(tmp_path), "*.md") == want
+    monkeypatch.setattr(markdown, "GROUP_FILES", 1000)
+    assert _scanned(spark, _other_file_system(spark, tmp_path), "*.{md,markdown}") == want
+
+
+def test_texts_on_other_file_systems_have_short_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(markdown, "GROUP_FILES", 8)
+    path = _other_file_system(spark, tmp_path) + "/t"
+    markdown.write_texts(spark.range(0, 40, 1, 3).select(F.col("id").cast("string")), path, folder_files=4)
+    folders = [f for f in os.listdir(tmp_path / "t") if f.startswith("part=")]
+    assert len(folders) == 12 and max(len(glob.glob(f"{tmp_path}/t/{f}/*.txt")) for f in folders) == 4
+    assert sorted(r.md for r in markdown.scan_markdown(spark, path, "*.txt").collect()) == sorted(f"{i}\n" for i in range(40))
